@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op10_simhash": simhash.op10_simhash,
 }
 
