@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, media, simhash
+from . import bpe, media, simhash, toxicity
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_audio": media.op9_audio,
     "op10_simhash": simhash.op10_simhash,
 }
