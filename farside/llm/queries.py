@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, simhash, toxicity
+from . import bpe, media, mixing, simhash, toxicity, urls
 
 QUERIES = {
+    "op3_url_filter": urls.op3_url_filter,
     "op4_bpe": bpe.op4_bpe,
+    "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_audio": media.op9_audio,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.SQL,
+}
