@@ -108,11 +108,11 @@ WITH RECURSIVE w AS (
   SELECT s, CASE s {_CASES} ELSE {DEFAULT} END AS a FROM (SELECT DISTINCT coalesce(source, chr(0)) AS s FROM documents)),
 l AS (SELECT list(s ORDER BY s) AS names, list(a ORDER BY s) AS a, sum(a)::BIGINT AS d, count(*)::BIGINT AS n FROM w),
 t AS (
-  SELECT 0::BIGINT AS now, list_transform(names, x -> 0::BIGINT) AS k, NULL::BIGINT AS c, NULL::BIGINT AS turn FROM l
+  SELECT 0::BIGINT AS now, list_transform(names, lambda x: 0::BIGINT) AS k, NULL::BIGINT AS c, NULL::BIGINT AS turn FROM l
   UNION ALL
-  SELECT now + 1, list_transform(range(1, n + 1), i -> k[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick, k[pick]
+  SELECT now + 1, list_transform(range(1, n + 1), lambda i: k[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick, k[pick]
   FROM (SELECT now, k, n, list_position(due, list_min(due))::BIGINT AS pick
-        FROM (SELECT now, k, n, list_transform(range(1, n + 1), i -> CASE WHEN (k[i] * d) // a[i] <= now
+        FROM (SELECT now, k, n, list_transform(range(1, n + 1), lambda i: CASE WHEN (k[i] * d) // a[i] <= now
                 THEN ((k[i] + 1) * d + a[i] - 1) // a[i] ELSE 1000000000000 END) AS due
               FROM t, l WHERE now < d))),
 plan AS (SELECT names[c] AS s, a[c] AS a, d, turn, now - 1 AS at FROM t, l WHERE c IS NOT NULL),

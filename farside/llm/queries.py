@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, simhash, toxicity, urls
+from . import bpe, embeddings, media, mixing, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_bpe": bpe.op4_bpe,
     "op6_mixing": mixing.op6_mixing,
