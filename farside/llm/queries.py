@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, media, mixing, simhash, toxicity, urls
+from . import bpe, embeddings, media, mixing, pii, simhash, toxicity, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_bpe": bpe.op4_bpe,
+    "op5_pii": pii.op5_pii,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_audio": media.op9_audio,
