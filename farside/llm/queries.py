@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, media, mixing, pii, simhash, toxicity, urls
+from . import bpe, embeddings, lines, media, mixing, pii, simhash, toxicity, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_audio": media.op9_audio,
     "op10_simhash": simhash.op10_simhash,
 }

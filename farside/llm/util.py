@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -120,3 +121,22 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     if larger:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bloom(ids: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """(word, bits) of the ids' hash bits: at most `words` rows, so its size is bounded whatever the number of ids."""
+    bit = F.shiftright(F.xxhash64("id"), 6)
+    return ids.select(F.pmod(bit, F.lit(words)).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("b")).groupBy("word").agg(F.expr("bit_or(b)").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, id_col: str, filter_: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """rows whose id may be among those of bloom(); none that is gets lost."""
+    h = F.xxhash64(F.col(id_col))
+    joined = rows.withColumn("_word", F.pmod(F.shiftright(h, 6), F.lit(words))).join(F.broadcast(filter_), F.col("_word") == F.col("word"))
+    return joined.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64({id_col}), 64) as int))) <> 0")).drop("_word", "word", "bits")
