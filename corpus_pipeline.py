@@ -1,21 +1,54 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Defined results: an empty table passes through; documents keep their columns, whatever else these are, up to the last
+stage, which returns a digest of the encoded text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from farside.llm import simhash
+from farside.llm import bpe, lines, mixing, simhash, toxicity
 from farside.llm.util import stash
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, does not find toxic."""
+    source, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.screen(docs, toxicity.train(source, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that come earlier in the corpus; n_chars follows the text."""
+    out = lines.dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates by SimHash."""
     return simhash.dedup(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order that interleaves their sources by weight."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
+    return bpe.digest(docs, bpe.default_tokenizer(), keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-#: SQL cannot express the trained classifier; tests hold run() against brute-force versions.
+#: SQL cannot express the trained classifier; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
