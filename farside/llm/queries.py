@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, lines, media, mixing, pii, simhash, toxicity, urls
+from . import bpe, embeddings, lines, media, mixing, pii, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
