@@ -170,42 +170,50 @@ def shingles(line: str, n: int = SHINGLE) -> set[str]:
     return {line[k : k + n] for k in range(max(1, len(line) - n + 1))}
 
 
-def linked(lines: list[tuple[int, str]], threshold: float, n: int = SHINGLE) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of lines with a Jaccard similarity of threshold or more."""
-    sets = [shingles(t, n) for _, t in lines]
-    order = sorted(range(len(lines)), key=lambda k: len(sets[k]))
-    root = list(range(len(lines)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+class Links:
+    """Union-find over lines of one Spark task: pairs that it knows as connected are not compared again, so all buckets
+    together hand on a forest. Its size is bounded by the task's lines."""
+
+    def __init__(self, threshold: float, shingle: int = SHINGLE):
+        self.threshold, self.shingle = threshold, shingle
+        self.root: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
         return x
 
-    out = []
-    for p, i in enumerate(order):
-        a = sets[i]
-        for j in order[p + 1 :]:
-            b = sets[j]
-            if len(a) < threshold * len(b):
-                break  # sizes alone rule out this one and all longer ones
-            if find(i) != find(j):
-                both = len(a & b)
-                if both >= threshold * (len(a) + len(b) - both):
-                    root[find(j)] = find(i)
-                    out.append((lines[i][0], lines[j][0]))
-    return out
+    def bucket(self, lines: list[tuple[int, str]]) -> None:
+        """Compare the members of one bucket."""
+        n, share = self.shingle, self.threshold
+        sets: list[set[str] | None] = [None] * len(lines)
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines)):
+                x, y = self.find(lines[i][0]), self.find(lines[j][0])
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if sets[k] is None:
+                        sets[k] = shingles(lines[k][1], n)
+                p, q = sets[i], sets[j]
+                if min(len(p), len(q)) < share * max(len(p), len(q)):
+                    continue  # sizes alone rule the pair out
+                both = len(p & q)
+                if both >= share * (len(p) + len(q) - both):
+                    self.root[y] = x
+                    self.found.append((lines[i][0], lines[j][0]))
 
 
 def _verify(threshold, shingle):
     def run(batches):
-        task, members, links = None, [], []
+        links, task, members = Links(threshold, shingle), None, []
 
         def emit():
-            nonlocal links
-            if links:
-                a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
-                links = []
+            if links.found:
+                a, b = (pa.array([x[k] for x in links.found], pa.int64()) for k in (0, 1))
+                links.found = []
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
@@ -213,12 +221,12 @@ def _verify(threshold, shingle):
                 part = batch.slice(at, 512)
                 for t, h, line in zip(*(part.column(k).to_pylist() for k in range(3))):
                     if t != task:
-                        links += linked(members, threshold, shingle)
+                        links.bucket(members)
                         task, members = t, []
                     members.append((h, line))
-                if len(links) > 10_000:
+                if len(links.found) > 10_000:
                     yield from emit()
-        links += linked(members, threshold, shingle)
+        links.bucket(members)
         yield from emit()
 
     return run
