@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom, column_name, components, discard, maybe_in, release, stash
+from .util import bloom, bloom_bits, bloom_has, column_name, components, discard, release, split_by_bloom, stash
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 5, 16, 6, 0.8, 128
 _U = np.uint64
@@ -46,22 +46,29 @@ def signatures(lines: list[str], bins: int, shingle: int = SHINGLE) -> np.ndarra
     """Least hash in each bin, of every line (n, bins)."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(size) - size
     hashes = np.zeros(len(codes), np.uint64)
     for k in range(shingle):
-        hashes[: len(codes) - k] = hashes[: len(codes) - k] * _ODD[0] + codes[k:] + _U(1)
-    count = np.maximum(size - shingle + 1, 0)
-    owner = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-    hashes = hashes[at]
-    short = np.flatnonzero((count == 0) & (size > 0))
-    if len(short):
-        owner = np.r_[owner, short]
-        hashes = np.r_[hashes, [_U(xxhash.xxh64_intdigest(lines[i].encode())) for i in short]]
-    hashes = _mixed(hashes)
-    place = owner * bins + (((hashes >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
+        head = hashes[: len(codes) - k]
+        head *= _ODD[0]
+        head += codes[k:]
+        head += _U(1)
+    end = np.cumsum(size)
+    short = np.flatnonzero((size > 0) & (size < shingle))
+    for i in short:  # the whole line is its only shingle
+        hashes[end[i] - size[i]] = xxhash.xxh64_intdigest(lines[i].encode())
+    hashes ^= hashes >> _U(31)
+    hashes *= _ODD[1]
+    hashes ^= hashes >> _U(29)
+    value = hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE)
+    for k in range(1, shingle):  # a shingle does not reach into the next line
+        value[end[size >= k] - k] = 0xFFFFFFFF
+    value[(end - size)[short]] = hashes[(end - size)[short]].astype(np.uint32) & np.uint32(0xFFFFFFFE)
+    hashes >>= _U(32)
+    hashes *= _U(bins)
+    hashes >>= _U(32)
+    place = hashes.view(np.int64) + np.repeat(np.arange(len(lines)) * bins, size)
     out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, place, (hashes & _U(0xFFFFFFFE)).astype(np.uint32))
+    np.minimum.at(out, place, value)
     out = out.reshape(-1, bins)
     filled = out != 0xFFFFFFFF
     whole, choice = out.copy(), _choices(bins)
@@ -106,7 +113,7 @@ def _banded(bands, rows, shingle):
                 for text in batch.column(0).slice(at, 64).to_pylist():
                     for line in (text or "").split("\n"):
                         h = xxhash.xxh64_intdigest(line.encode(), 42)
-                        if h not in seen and line.strip(" \t\r\v\f"):
+                        if h not in seen and comparable(line):
                             seen.add(h)
                             lines.append(line)
                             ids.append(h)
@@ -121,7 +128,8 @@ def _banded(bands, rows, shingle):
 
 
 def _buckets(block):
-    """Sorted (key, h) to (task, h): members of each bucket with two lines or more."""
+    """(key, h) of one partition by key to (task, h): members of each bucket with two lines or more. Sorted here, at 16
+    bytes a row of the partition."""
 
     def tasks(members: np.ndarray):
         mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
@@ -131,37 +139,33 @@ def _buckets(block):
         return [(int(xxhash.xxh64_intdigest(np.array([mark, i, j]).tobytes())) >> 1, np.concatenate([cuts[i], cuts[j]])) for i in range(len(cuts)) for j in range(i + 1, len(cuts))]
 
     def run(batches):
-        last, held = None, []
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        key, h = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
+        seen: set[int] = set()
+        found = []
 
-        def done(groups):
-            found = [t for g in groups for t in tasks(g)]
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in part], np.int64), [len(m) for _, m in part])), pa.array(np.concatenate([m for _, m in part]))], names=["task", "h"])
-
-        for batch in batches:
-            key, h = (batch.column(k).to_numpy() for k in (0, 1))
-            if not len(key):
-                continue
-            fresh = np.r_[last is None or key[0] != last[0] or h[0] != last[1], (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
-            begins = key != np.r_[key[0] if last is None else last[0], key[:-1]]
-            last = (key[-1], h[-1])
-            key, h, begins = key[fresh], h[fresh], begins[fresh]
-            cuts = np.flatnonzero(begins)
-            if not len(cuts):
-                held.append(h)
-                continue
-            groups = []
-            first = np.concatenate([*held, h[: cuts[0]]])
-            if len(first) > 1:
-                groups.append(first)
-            size = np.diff(cuts)
-            groups += [h[a : a + n] for a, n in zip(cuts[:-1][size > 1], size[size > 1])]
-            held = [h[cuts[-1] :]]
-            yield from done(groups)
-        rest = np.concatenate(held) if held else np.empty(0, np.int64)
-        if len(rest) > 1:
-            yield from done([rest])
+        def emit():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in found], np.int64), [len(m) for _, m in found])), pa.array(np.concatenate([m for _, m in found]))], names=["task", "h"])
+
+        for a, n in zip(start[size > 1], size[size > 1]):
+            members = np.unique(h[a : a + n])
+            if len(members) > 1:
+                for task in tasks(members):
+                    if task[0] not in seen:
+                        seen.add(task[0])
+                        found.append(task)
+            if len(found) >= 4096:
+                yield from emit()
+                found = []
+        if found:
+            yield from emit()
 
     return run
 
@@ -232,46 +236,90 @@ def _verify(threshold, shingle):
     return run
 
 
-def exploded(docs: DataFrame, text_col: str, *keep) -> DataFrame:
-    """(*keep, pos, line, h) for each line that can be compared."""
-    rows = docs.select(*keep, F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length(F.translate("line", " \t\r\u000b\f", "")) > 0).withColumn("h", F.xxhash64("line"))
+def comparable(line: str) -> bool:
+    return bool(line.strip(" \t\r\v\f"))
+
+
+def _wanted(bits: np.ndarray):
+    """(text) to (h, line): lines whose hash may be among those wanted, each once a task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids, found = [], []
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    lines = (text or "").split("\n")
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in lines), np.uint64, len(lines))
+                    for k in np.flatnonzero(bloom_has(bits, hashes)):
+                        if (h := int(hashes[k])) not in seen and comparable(lines[k]):
+                            seen.add(h)
+                            ids.append(h)
+                            found.append(lines[k])
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.string())], names=["h", "line"])
+
+    return run
+
+
+def _occurrences(batches):
+    """(i, t, text) to (i, t, pos, h) of every line that can be compared."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            row, pos, ids = [], [], []
+            for k, text in enumerate(part.column(2).to_pylist()):
+                for place, line in enumerate((text or "").split("\n")):
+                    if comparable(line):
+                        row.append(k)
+                        pos.append(place)
+                        ids.append(xxhash.xxh64_intdigest(line.encode(), 42))
+            row = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(pos, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["i", "t", "pos", "h"])
 
 
 def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Links (a, b: line hashes) whose similarity is verified; a spanning forest of each task's."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    tasks = stash(keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_buckets(block), "task long, h long").distinct())
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, h long").distinct())
     release(spark)
-    wanted = tasks.select("h").distinct()
-    near = maybe_in(exploded(docs, text_col).select("h", "line"), "h", bloom(wanted.withColumnRenamed("h", "id")))
-    texts = near.groupBy("h").agg(F.first("line").alias("line"))
-    dealt = tasks.join(texts, "h").select("task", "h", "line").repartition("task").sortWithinPartitions("task", "h")
+    bits = bloom_bits(tasks.select("h").distinct().withColumnRenamed("h", "id"))
+    near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
+    dealt = tasks.join(near, "h").select("task", "h", "line").repartition("task").sortWithinPartitions("task", "h")
     found = stash(dealt.mapInArrow(_verify(threshold, shingle), "a long, b long"))
     discard(tasks)
     return found
 
 
-def removals(docs: DataFrame, key: str, id_col: str, text_col: str, **settings) -> DataFrame:
-    """(_key, removed array<int>): the lines to remove from each document, by key, a struct of id and text hash."""
+def removals(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
+    """(i, t, removed array<int>): the lines to remove from each document, by its id and the hash of its text."""
     roots = components(link(docs, text_col, **settings))
     release(docs.sparkSession)
-    lines = exploded(docs, text_col, F.col(key)).select(key, "pos", "h").join(roots, F.col("h") == F.col("node"), "left")
-    lines = stash(lines.select(key, "pos", F.coalesce("root", "h").alias("root")))
-    kept = lines.groupBy("root").agg(F.min(F.struct(F.col(key), "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = lines.join(kept, "root").where(F.struct(F.col(key), F.col("pos")) != F.col("first"))
-    return gone.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    text = F.col(f"`{text_col}`").cast("string")
+    lines = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_occurrences, "i long, t long, pos int, h long")
+    lines = stash(lines.join(roots, F.col("h") == F.col("node"), "left").select("i", "t", "pos", F.coalesce("root", "h").alias("root")))
+    place = F.struct("i", "t", "pos")
+    kept = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = lines.join(kept, "root").where(place != F.col("first"))
+    return stash(gone.groupBy("i", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> tuple[DataFrame, str]:
     """docs with the removed lines' places (null: none) behind the other columns, and that column's name."""
     key, removed = column_name(docs, "_line_key"), column_name(docs, "removed")
-    text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("t")))
-    found = removals(keyed, key, id_col, text_col, **settings).withColumnRenamed("removed", "_gone")
-    out = keyed.join(found, F.col(key) == F.col("_key"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_gone").alias(removed)), removed
+    found = removals(docs, id_col, text_col, **settings)
+    release(docs.sparkSession)
+    both = F.struct(F.col("i"), F.col("t"))
+    found = found.select(both.alias("_key"), F.xxhash64(both).alias("id"), F.col("removed").alias("_gone"))
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t")))
+    keyed = keyed.withColumn(key + "_h", F.xxhash64(key))
+    # rows that surely lose no line stay where they are
+    hit, miss = split_by_bloom(keyed, key + "_h", bloom(found))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    joined = hit.join(found, hit[key] == found["_key"], "left").select(*own, F.col("_gone").alias(removed))
+    return joined.unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
 
 
 def _rest(text, removed: str):
@@ -289,5 +337,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Of every document: its lines, those removed, and the digest of the rest."""
     rows, removed = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(removed).isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"), F.coalesce(F.col(removed), F.array().cast("array<int>")).alias("removed"), F.sha2(F.coalesce(_rest(F.col("text"), removed), F.lit("")), 256).alias("kept_sha256"))

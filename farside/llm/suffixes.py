@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom, column_name, discard, maybe_in, release, stash
+from .util import bloom, column_name, discard, release, split_by_bloom, stash
 
 LENGTH, GRAM = 200, 64
 #: Anchors in one sorted run, and aimed at in one range of the merge.
@@ -426,7 +426,7 @@ def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     release(spark)
     total = held.agg(F.sum(F.size("packed"))).first()[0] or 0
     some = bloom(held.select(F.col("h").alias("id")))
-    near = maybe_in(texts, "h", some)
+    near, _ = split_by_bloom(texts, "h", some)
     # range bounds: first bytes at a bounded sample of anchors
     n_ranges, splitters = max(1, total // RANGE), []
     if n_ranges > 1:
@@ -493,13 +493,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     found = windows(docs.select(t.alias("text"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("n")), length, gram)
     some = bloom(found.select(F.col("h").alias("id")))
     # texts that surely have no repeats are finished where they are; the others meet their spans
-    word = F.pmod(F.shiftright(F.xxhash64(F.col(h)), 6), F.lit(1 << 18))
-    marked = rows.join(F.broadcast(some), word == F.col("word"), "left")
-    hit = F.coalesce(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64(`{h}`), 64) as int))) <> 0"), F.lit(False))
+    hit, miss = split_by_bloom(rows, h, some)
     kept = [F.col(f"`{c}`") for c in keep]
-    none = F.lit(None).cast(found.schema["spans"].dataType)
-    clear = marked.where(~hit).select(*kept, text, none.alias(spans))
-    spanned = marked.where(hit).drop("word", "bits").join(found.select(F.col("h").alias("_fh"), F.col("n").alias("_fn"), F.col("spans").alias(spans)), (F.col(h) == F.col("_fh")) & (F.col(n) == F.col("_fn")), "left")
+    clear = miss.select(*kept, text, F.lit(None).cast(found.schema["spans"].dataType).alias(spans))
+    spanned = hit.join(found.select(F.col("h").alias("_fh"), F.col("n").alias("_fn"), F.col("spans").alias(spans)), (F.col(h) == F.col("_fh")) & (F.col(n) == F.col("_fn")), "left")
     fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     names = [column_name(docs.select(*kept), f) for f in fields]
     types = ["long", "long", "long", "string", "binary"]

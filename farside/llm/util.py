@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import checkpoint_dir, discard, release, stash  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    own = os.path.join(tempfile.gettempdir(), "farside-checkpoints")
-    os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared checkpoint folder and read it back: lineage ends there, and a lost executor
-    costs only the tasks it was running. The path is kept on the result for discard()."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what stash() wrote for df; only for tables that no pending plan reads."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def column_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of df's, compared without case."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -123,20 +89,44 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bloom(ids: DataFrame, words: int = 1 << 18) -> DataFrame:
     """(word, bits) of the ids' hash bits: at most `words` rows, so its size is bounded whatever the number of ids."""
     bit = F.shiftright(F.xxhash64("id"), 6)
     return ids.select(F.pmod(bit, F.lit(words)).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("b")).groupBy("word").agg(F.expr("bit_or(b)").alias("bits"))
 
 
-def maybe_in(rows: DataFrame, id_col: str, filter_: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """rows whose id may be among those of bloom(); none that is gets lost."""
-    h = F.xxhash64(F.col(id_col))
-    joined = rows.withColumn("_word", F.pmod(F.shiftright(h, 6), F.lit(words))).join(F.broadcast(filter_), F.col("_word") == F.col("word"))
-    return joined.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64({id_col}), 64) as int))) <> 0")).drop("_word", "word", "bits")
+_BIT = "shiftleft(1L, cast(pmod(xxhash64(`{0}`), 64) as int))"
+
+
+def split_by_bloom(rows: DataFrame, id_col: str, filter_: DataFrame, words: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """rows whose id may be among those of bloom(), and rows whose id surely is not."""
+    word = F.pmod(F.shiftright(F.xxhash64(F.col(id_col)), 6), F.lit(words))
+    joined = rows.join(F.broadcast(filter_), word == F.col("word"), "left")
+    hit = F.coalesce(F.expr(f"(bits & {_BIT.format(id_col)}) <> 0"), F.lit(False))
+    return joined.where(hit).select(*rows.columns), joined.where(~hit).select(*rows.columns)
+
+
+def bloom_bits(ids: DataFrame, words: int = 1 << 18) -> np.ndarray:
+    """bloom() as an array of fixed size, to be sent along with Python functions."""
+    found = bloom(ids, words).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found.column(0).to_numpy().astype(np.int64)] = found.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def hash_of_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a long: XXH64 of its eight little-endian bytes."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    h = np.uint64((seed + int(p5) + 8) & (1 << 64) - 1) ^ turn(x * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def bloom_has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id (unsigned 64-bit) may be among those of bloom_bits()."""
+    h = hash_of_long(ids)
+    word = (h.view(np.int64) >> 6) % len(bits)
+    return bits[word] >> (h & np.uint64(63)) & np.uint64(1) != 0
