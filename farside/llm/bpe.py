@@ -50,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    def __init__(self, source: bytes, cache_words: int = 200_000):
+    def __init__(self, source: bytes, cache_words: int = 100_000):
         spec = json.loads(source)
         letters = byte_letters()
         vocab = {bytes(letters[x] for x in t): i for t, i in spec["model"]["vocab"].items()}
@@ -96,7 +96,7 @@ class Automaton:
         key = x << 32 | y
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 400_000:
                 self.arcs.clear()
             found = self.arcs[key] = not self._taken(x, y, NEVER)
         return found

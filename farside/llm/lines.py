@@ -174,6 +174,34 @@ def shingles(line: str, n: int = SHINGLE) -> set[str]:
     return {line[k : k + n] for k in range(max(1, len(line) - n + 1))}
 
 
+class Shingles:
+    """The shingle set of a line: of characters below 4096, each packed into 12 bits, a sorted array at 8 bytes a shingle
+    (very long lines come in buckets too), else a Python set."""
+
+    def __init__(self, line: str, n: int):
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        self.packed = n <= 5 and len(codes) >= n and int(codes.max()) < 4096
+        if self.packed:
+            key = np.zeros(len(codes) - n + 1, np.uint64)
+            for k in range(n):
+                key <<= _U(12)
+                key |= codes[k : len(key) + k]
+            self.items = np.unique(key)
+        else:
+            self.items = shingles(line, n)
+        self.line, self.n = line, n
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def shared(self, other: Shingles) -> int:
+        if self.packed and other.packed:
+            both = np.concatenate([self.items, other.items])
+            both.sort(kind="stable")  # two sorted runs
+            return int(np.count_nonzero(both[1:] == both[:-1]))
+        return len(shingles(self.line, self.n) & shingles(other.line, other.n))
+
+
 class Links:
     """Union-find over lines of one Spark task: pairs that it knows as connected are not compared again, so all buckets
     together hand on a forest. Its size is bounded by the task's lines."""
@@ -192,7 +220,7 @@ class Links:
     def bucket(self, lines: list[tuple[int, str]]) -> None:
         """Compare the members of one bucket."""
         n, share = self.shingle, self.threshold
-        sets: list[set[str] | None] = [None] * len(lines)
+        sets: list[Shingles | None] = [None] * len(lines)
         for i in range(len(lines)):
             for j in range(i + 1, len(lines)):
                 x, y = self.find(lines[i][0]), self.find(lines[j][0])
@@ -200,11 +228,11 @@ class Links:
                     continue
                 for k in (i, j):
                     if sets[k] is None:
-                        sets[k] = shingles(lines[k][1], n)
+                        sets[k] = Shingles(lines[k][1], n)
                 p, q = sets[i], sets[j]
                 if min(len(p), len(q)) < share * max(len(p), len(q)):
                     continue  # sizes alone rule the pair out
-                both = len(p & q)
+                both = p.shared(q)
                 if both >= share * (len(p) + len(q) - both):
                     self.root[y] = x
                     self.found.append((lines[i][0], lines[j][0]))
