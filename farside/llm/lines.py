@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .util import bloom, bloom_bits, bloom_has, column_name, components, discard, release, split_by_bloom, stash
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 5, 16, 6, 0.8, 128
+SET_BYTES = 32 << 20
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -128,8 +129,8 @@ def _banded(bands, rows, shingle):
 
 
 def _buckets(block):
-    """(key, h) of one partition by key to (task, h): members of each bucket with two lines or more. Sorted here, at 16
-    bytes a row of the partition."""
+    """(key, h) of one partition by key to (task, lead, h): members of each bucket with two lines or more, and the least
+    of them. Sorted here, at 16 bytes a row of the partition."""
 
     def tasks(members: np.ndarray):
         mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
@@ -152,7 +153,7 @@ def _buckets(block):
         found = []
 
         def emit():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in found], np.int64), [len(m) for _, m in found])), pa.array(np.concatenate([m for _, m in found]))], names=["task", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in found], np.int64), [len(m) for _, m in found])), pa.array(np.repeat(np.array([m.min() for _, m in found]), [len(m) for _, m in found])), pa.array(np.concatenate([m for _, m in found]))], names=["task", "lead", "h"])
 
         for a, n in zip(start[size > 1], size[size > 1]):
             members = np.unique(h[a : a + n])
@@ -209,6 +210,8 @@ class Links:
     def __init__(self, threshold: float, shingle: int = SHINGLE):
         self.threshold, self.shingle = threshold, shingle
         self.root: dict[int, int] = {}
+        self.sets: dict[int, Shingles] = {}  # of lines seen lately, up to SET_BYTES
+        self.size = 0
         self.found: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
@@ -217,19 +220,24 @@ class Links:
             root[x] = x = root.get(up, up)
         return x
 
+    def shingles(self, h: int, line: str) -> Shingles:
+        found = self.sets.get(h)
+        if found is None:
+            if self.size > SET_BYTES:
+                self.sets, self.size = {}, 0
+            found = self.sets[h] = Shingles(line, self.shingle)
+            self.size += len(line) * (8 if found.packed else 120)
+        return found
+
     def bucket(self, lines: list[tuple[int, str]]) -> None:
         """Compare the members of one bucket."""
-        n, share = self.shingle, self.threshold
-        sets: list[Shingles | None] = [None] * len(lines)
+        share = self.threshold
         for i in range(len(lines)):
             for j in range(i + 1, len(lines)):
                 x, y = self.find(lines[i][0]), self.find(lines[j][0])
                 if x == y:
                     continue
-                for k in (i, j):
-                    if sets[k] is None:
-                        sets[k] = Shingles(lines[k][1], n)
-                p, q = sets[i], sets[j]
+                p, q = self.shingles(*lines[i]), self.shingles(*lines[j])
                 if min(len(p), len(q)) < share * max(len(p), len(q)):
                     continue  # sizes alone rule the pair out
                 both = p.shared(q)
@@ -311,11 +319,12 @@ def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, h long").distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
     release(spark)
     bits = bloom_bits(tasks.select("h").distinct().withColumnRenamed("h", "id"))
     near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
-    dealt = tasks.join(near, "h").select("task", "h", "line").repartition("task").sortWithinPartitions("task", "h")
+    # buckets with the same least line lie together, one of each band at most: most of a cluster meets in one task
+    dealt = tasks.join(near, "h").repartition("lead").sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
     found = stash(dealt.mapInArrow(_verify(threshold, shingle), "a long, b long"))
     discard(tasks)
     return found
@@ -346,7 +355,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     # rows that surely lose no line stay where they are
     hit, miss = split_by_bloom(keyed, key + "_h", bloom(found))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = hit.join(found, hit[key] == found["_key"], "left").select(*own, F.col("_gone").alias(removed))
+    # one row a document on the build side, so texts need no sorting
+    joined = hit.join(found.hint("shuffle_hash"), hit[key] == found["_key"], "left").select(*own, F.col("_gone").alias(removed))
     return joined.unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
 
 
@@ -365,5 +375,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Of every document: its lines, those removed, and the digest of the rest."""
     rows, removed = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(removed).isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"), F.coalesce(F.col(removed), F.array().cast("array<int>")).alias("removed"), F.sha2(F.coalesce(_rest(F.col("text"), removed), F.lit("")), 256).alias("kept_sha256"))
