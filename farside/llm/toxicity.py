@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from .util import column_name
 
 WIDTH, STRIDE = 24, 12
+GAPPED = 0.8
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -172,8 +173,8 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, s: Settings) ->
     counts, copies = (Counter(), Counter()), set()
     for words, label in zip(texts, toxic):
         # of texts that share the least hash of their long words, so of most near copies, the first one speaks for all
-        mark = min((zlib.crc32(w.encode()) for w in set(words) if len(w) >= 8), default=0)
-        if mark in copies:
+        mark = min((zlib.crc32(w.encode()) for w in set(words) if len(w) >= 8), default=None)
+        if mark is not None and mark in copies:
             continue
         copies.add(mark)
         found = set()
@@ -261,10 +262,11 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), sh
     clean = np.concatenate([b for b, t in zip(bags, toxic) if not t])
     chosen = [b[np.argmax((b**2).sum(axis=1))] for b, t in zip(bags, toxic) if t]
     for _ in range(s.rounds):
-        x = np.concatenate([clean, np.array(chosen)])
-        y = np.r_[-np.ones(len(clean)), np.ones(len(chosen))]
+        # values fall to GAPPED or above when a letter is inserted: such forms of the toxic examples are examples too
+        x = np.concatenate([clean, np.array(chosen), GAPPED * np.array(chosen)])
+        y = np.r_[-np.ones(len(clean)), np.ones(2 * len(chosen))]
         # the two kinds weigh as their texts do, however many sentences each clean text brings
-        weights = _machine(x, y, np.where(y > 0, 1 / len(chosen), 1 / len(clean)) * len(chosen), s.cost)
+        weights = _machine(x, y, np.where(y > 0, 0.5, len(chosen) / len(clean)), s.cost)
         new = [b[np.argmax(b @ weights[:-1])] for b, t in zip(bags, toxic) if t]
         if all(np.array_equal(a, b) for a, b in zip(new, chosen)):
             break
