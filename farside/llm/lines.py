@@ -48,7 +48,7 @@ def signatures(lines: list[str], bins: int, shingle: int = SHINGLE) -> np.ndarra
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     hashes = np.zeros(len(codes), np.uint64)
-    for k in range(shingle):
+    for k in range(min(shingle, len(codes))):
         head = hashes[: len(codes) - k]
         head *= _ODD[0]
         head += codes[k:]
@@ -348,15 +348,15 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     key, removed = column_name(docs, "_line_key"), column_name(docs, "removed")
     found = removals(docs, id_col, text_col, **settings)
     release(docs.sparkSession)
-    both = F.struct(F.col("i"), F.col("t"))
-    found = found.select(both.alias("_key"), F.xxhash64(both).alias("id"), F.col("removed").alias("_gone"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    id_, gone = column_name(docs, "_line_hash"), column_name(docs, "_gone")
     keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t")))
-    keyed = keyed.withColumn(key + "_h", F.xxhash64(key))
+    keyed = keyed.withColumn(id_, F.xxhash64(key))
+    found = found.select(F.struct("i", "t").alias("_found"), F.xxhash64(F.struct("i", "t")).alias("id"), F.col("removed").alias(gone))
     # rows that surely lose no line stay where they are
-    hit, miss = split_by_bloom(keyed, key + "_h", bloom(found))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    hit, miss = split_by_bloom(keyed, id_, bloom(found))
     # one row a document on the build side, so texts need no sorting
-    joined = hit.join(found.hint("shuffle_hash"), hit[key] == found["_key"], "left").select(*own, F.col("_gone").alias(removed))
+    joined = hit.join(found.drop("id").hint("shuffle_hash"), hit[key] == found["_found"], "left").select(*own, F.col(gone).alias(removed))
     return joined.unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
 
 

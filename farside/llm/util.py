@@ -100,10 +100,12 @@ _BIT = "shiftleft(1L, cast(pmod(xxhash64(`{0}`), 64) as int))"
 
 def split_by_bloom(rows: DataFrame, id_col: str, filter_: DataFrame, words: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """rows whose id may be among those of bloom(), and rows whose id surely is not."""
-    word = F.pmod(F.shiftright(F.xxhash64(F.col(id_col)), 6), F.lit(words))
-    joined = rows.join(F.broadcast(filter_), word == F.col("word"), "left")
-    hit = F.coalesce(F.expr(f"(bits & {_BIT.format(id_col)}) <> 0"), F.lit(False))
-    return joined.where(hit).select(*rows.columns), joined.where(~hit).select(*rows.columns)
+    word, bits = (column_name(rows, c) for c in ("_bloom_word", "_bloom_bits"))
+    at = F.pmod(F.shiftright(F.xxhash64(F.col(id_col)), 6), F.lit(words))
+    joined = rows.join(F.broadcast(filter_.toDF(word, bits)), at == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(`{bits}` & {_BIT.format(id_col)}) <> 0"), F.lit(False))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return joined.where(hit).select(*own), joined.where(~hit).select(*own)
 
 
 def bloom_bits(ids: DataFrame, words: int = 1 << 18) -> np.ndarray:
