@@ -26,7 +26,7 @@ from .util import column_name
 
 # The patterns.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
+IPV4 = r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE = r"(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
