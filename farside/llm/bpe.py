@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .util import column_name
+from .util import column_name, small_batches
 
 #: Fixed value: the pre-splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,6 +206,7 @@ def compiled(source: bytes) -> Automaton:
 
 
 def _sent(spark: SparkSession, path: str):
+    small_batches(spark)
     with open(path, "rb") as f:
         source = f.read()
     if len(source) > MAX_FILE_MB << 20:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom, bloom_bits, bloom_has, column_name, components, discard, release, split_by_bloom, stash
+from .util import bloom, bloom_bits, bloom_has, column_name, components, discard, release, small_batches, split_by_bloom, stash
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 5, 16, 6, 0.8, 128
 SET_BYTES = 32 << 20
@@ -283,15 +283,14 @@ def _wanted(bits: np.ndarray):
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                lines = [x for text in batch.column(0).slice(at, 256).to_pylist() for x in (text or "").split("\n")]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in lines), np.uint64, len(lines))
                 ids, found = [], []
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    lines = (text or "").split("\n")
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in lines), np.uint64, len(lines))
-                    for k in np.flatnonzero(bloom_has(bits, hashes)):
-                        if (h := int(hashes[k])) not in seen and comparable(lines[k]):
-                            seen.add(h)
-                            ids.append(h)
-                            found.append(lines[k])
+                for k in np.flatnonzero(bloom_has(bits, hashes)):
+                    if (h := int(hashes[k])) not in seen and comparable(lines[k]):
+                        seen.add(h)
+                        ids.append(h)
+                        found.append(lines[k])
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.string())], names=["h", "line"])
 
@@ -317,6 +316,7 @@ def _occurrences(batches):
 def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Links (a, b: line hashes) whose similarity is verified; a spanning forest of each task's."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
     tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
@@ -361,9 +361,12 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
 
 
 def _rest(text, removed: str):
-    lines = F.split(text.cast("string"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
-    return F.when(F.col(removed).isNull(), text.cast("string")).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    """text without the removed lines. The split lines are bound once by the outer transform; named within the inner one
+    they would be split anew for every line."""
+    gone = F.col(removed)
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    rest = F.transform(F.array(F.split(text.cast("string"), "\n", -1)), lambda lines: F.array_join(F.transform(left(lines), lambda k: F.get(lines, k)), "\n"))
+    return F.when(gone.isNull(), text.cast("string")).otherwise(rest[0])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

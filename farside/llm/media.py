@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name
+from .util import column_name, small_batches
 
 # WAVE format tags, IMA ADPCM step sizes and step index changes.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima": 17}
@@ -152,6 +152,7 @@ def decode(stored: bytes) -> tuple[str, int, np.ndarray]:
 
 def to_pcm(df: DataFrame, media_col: str = "media", rate: int = TARGET_RATE) -> DataFrame:
     """df with codec, source_rate, n_samples, pcm (a container of 16-bit samples at `rate`) and error behind it."""
+    small_batches(df.sparkSession)
     names = []
     for base in ("codec", "source_rate", "n_samples", "pcm", "error"):
         names.append(column_name(df, base))
@@ -205,6 +206,7 @@ def _features(payloads: list[bytes]) -> list[str]:
 
 def op9_audio(spark, sf_dir: str) -> DataFrame:
     """Every document's bytes stored as mu-law samples, read back and described."""
+    small_batches(spark)
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]

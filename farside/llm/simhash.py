@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import column_name, components, forest, stash
+from .util import column_name, components, forest, small_batches, stash
 
 SEED, WORDS = 42, 3
 _LANES = np.uint64(0x0101010101010101)
@@ -66,6 +66,7 @@ def _texts(column, step: int = 64):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp long: the unsigned fingerprint's bits) for each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_batches(words), "doc_id long, fp long")
 
@@ -190,6 +191,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _fingerprints_with_key(marked: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    small_batches(marked.sparkSession)
     rows = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(f"{key}.h").alias("h"))
 
     def run(batches):

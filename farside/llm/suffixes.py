@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom, column_name, discard, release, split_by_bloom, stash
+from .util import bloom, column_name, discard, release, small_batches, split_by_bloom, stash
 
 LENGTH, GRAM = 200, 64
 #: Anchors in one sorted run, and aimed at in one range of the merge.
@@ -420,6 +420,7 @@ def _merged(length, gram):
 def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """texts (text, h, n) to (h, n, spans array<struct<a, b>>): starts a..b of windows that repeat, for texts with any."""
     spark = texts.sparkSession
+    small_batches(spark)
     counted = texts.where(F.col("n") >= length).mapInArrow(_counted(length, gram), "key long, weight int, h long, n int, packed long")
     held = counted.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "h long, n int, packed long").distinct()
     held = stash(held.groupBy("h", "n").agg(F.collect_list("packed").alias("packed")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name
+from .util import column_name, small_batches
 
 WIDTH, STRIDE = 24, 12
 GAPPED = 0.8
@@ -303,6 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column score_col (double) behind the others."""
+    small_batches(docs.sparkSession)
     out, at = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]), docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: their number is a setting
 
