@@ -323,8 +323,10 @@ def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     release(spark)
     bits = bloom_bits(tasks.select("h").distinct().withColumnRenamed("h", "id"))
     near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
-    # buckets with the same least line lie together, one of each band at most: most of a cluster meets in one task
-    dealt = tasks.join(near, "h").repartition("lead").sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
+    # buckets with the same least line lie together, in four shares as a large cluster's are cut into many blocks: most of
+    # a cluster meets in few tasks, and what one of them has connected need not be compared again there
+    share = F.pmod(F.col("task"), F.lit(4))
+    dealt = tasks.join(near, "h").repartition("lead", share).sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
     found = stash(dealt.mapInArrow(_verify(threshold, shingle), "a long, b long"))
     discard(tasks)
     return found
