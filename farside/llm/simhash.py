@@ -162,13 +162,18 @@ def link(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
     return dealt.select("k", "fp").mapInArrow(_verify(found, max_bits), "a long, b long")
 
 
+def rooted(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
+    """(fp, root) of every distinct fingerprint: root is the smallest fingerprint (as a signed number) reachable."""
+    roots = components(link(fps, n_blocks, max_bits))
+    distinct = fps.select("fp").distinct()
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    roots = components(link(fps, n_blocks, max_bits))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = rooted(fps, n_blocks, max_bits)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,10 +187,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     key, fp_col = column_name(docs, "_row"), column_name(docs, "_kept")
     marked = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h")))
     found = stash(_fingerprints_with_key(marked, id_col, text_col, key))
-    all_ = classes(found.select("doc_id", "fp"))
-    by_fp = all_.groupBy("fp").agg(F.min("component_id").alias("component_id"))
-    kept = found.join(by_fp, "fp").groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
-    kept = kept.select(F.struct(F.col("k.doc_id").alias("i"), F.col("k.h").alias("h")).alias(fp_col)).distinct()
+    # the first row of each fingerprint, then of each class: a fingerprint that many rows share never meets in a join
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")
+    kept = found.groupBy("fp").agg(first).join(rooted(found.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    kept = kept.select(F.struct(F.col("k.doc_id").alias("i"), F.col("k.h").alias("h")).alias(fp_col))
     # the key is a struct that is never null itself, so one exchange by it serves the join and the removal of repeated rows
     return marked.join(kept, marked[key] == kept[fp_col], "left_semi").dropDuplicates([key]).drop(key)
 
