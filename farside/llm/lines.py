@@ -155,13 +155,13 @@ def _buckets(block):
         def emit():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in found], np.int64), [len(m) for _, m in found])), pa.array(np.repeat(np.array([m.min() for _, m in found]), [len(m) for _, m in found])), pa.array(np.concatenate([m for _, m in found]))], names=["task", "lead", "h"])
 
-        for a, n in zip(start[size > 1], size[size > 1]):
-            members = np.unique(h[a : a + n])
-            if len(members) > 1:
-                for task in tasks(members):
-                    if task[0] not in seen:
-                        seen.add(task[0])
-                        found.append(task)
+        # one line that several tasks have banded makes no bucket
+        many = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start) if len(h) else size > 1
+        for a, n in zip(start[many], size[many]):
+            for task in tasks(np.unique(h[a : a + n])):
+                if task[0] not in seen:
+                    seen.add(task[0])
+                    found.append(task)
             if len(found) >= 4096:
                 yield from emit()
                 found = []
