@@ -121,4 +121,5 @@ ORACLE_SQL = {
     "image_total": f"WITH {_image(False)} {_TOTAL}",
     "image_total_blockage": f"WITH {_image(True)} {_TOTAL}",
     "text_roundtrip": f"WITH {_NUMBERED}, d AS (SELECT DISTINCT day FROM half ORDER BY day LIMIT 2) SELECT day, rn, true AS same FROM num WHERE day IN (SELECT day FROM d)",
+    "text_roundtrip_all": f"WITH {_NUMBERED} SELECT day, rn, true AS same FROM num",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -187,37 +189,48 @@ def image_total_blockage(spark: SparkSession, sf: str) -> DataFrame:
     return I.total(_images(spark, sf, True)).select("ipix", _r("c", 3))
 
 
-def text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Day files of triples and lengths written as text, read back, joined by position, and told apart from the input."""
+def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """(day, rn, same) of every baseline of every day: files of triples and lengths written as text, one a day, read back,
+    joined by position and compared with their source in all columns; a baseline that the files lack is not the same."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     rows = stash(_numbered(spark, sf))
-    days = sorted(r[0] for r in rows.select("day").distinct().collect())
-
-    def write(day: int, name: str, head: str, *columns: str) -> None:  # one file: the format has no other order than its own
-        body = rows.where(F.col("day") == day).select("rn", F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value"))
-        first = spark.createDataFrame([(-1, head)], "rn long, value string")
-        first.unionAll(body).repartition(1).sortWithinPartitions("rn").select("value").write.text(f"{root}/{name}{day}day1M.txt")
-
+    days = rows.select("day").distinct()
     groups = {"uvw": ("u v w", "u", "v", "w"), "xyza": ("a b c", "x1", "y1", "z1"), "xyzb": ("a b c", "x2", "y2", "z2"), "bll": ("n", "bll")}
     out = []
     for name, (head, *columns) in groups.items():
-        for day in days[:2]:
-            write(day, name, head, *columns)
-        out.append(_day_folders(spark, f"{root}/{name}", days[:2], list(columns), len(columns)))
-    joined = B.zipped(*out)
-    return joined.join(rows.select("day", "rn", F.col("bll").alias("was")), ["day", "rn"]).select("day", "rn", (F.abs(F.col("bll") - F.col("was")) < 1e-9).alias("same"))
+        body = rows.select("day", "rn", F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value"))
+        lines = days.select("day", F.lit(-1).cast("long").alias("rn"), F.lit(head).alias("value")).unionAll(body)
+        # one file a day: the format has no other order than its own
+        lines.repartition("day").sortWithinPartitions("day", "rn").select("day", "value").write.partitionBy("day").text(f"{root}/{name}")
+        out.append(_day_folders(spark, f"{root}/{name}", columns, len(columns)))
+    back = B.zipped(*out)
+    names = back.columns[2:]
+    both = rows.join(back.select("day", "rn", *(F.col(c).alias(f"{c}_back") for c in names)), ["day", "rn"], "left")
+    same = functools.reduce(operator.and_, (F.coalesce(F.abs(F.col(c) - F.col(f"{c}_back")) < 1e-9, F.lit(False)) for c in names))
+    return both.select("day", "rn", same.alias("same"))
+
+
+def text_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All days' files against their source."""
+    return _roundtrip(spark, sf)
+
+
+def text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two days' rows, as the SQL has them, of files of all days; a difference in any day is an error."""
+    found = stash(_roundtrip(spark, sf))
+    wrong = found.where(~F.col("same")).count()
+    if wrong:
+        raise ValueError(f"{wrong} baselines differ from their files")
+    first = found.select("day").distinct().orderBy("day").limit(2)
+    return found.join(F.broadcast(first), "day", "left_semi")
 
 
-def _day_folders(spark: SparkSession, prefix: str, days: list[int], names: list[str], header: int) -> DataFrame:
-    """Days written as folders of one file each."""
-    out = None
-    for day in days:
-        found = text.numbers(spark, f"{prefix}{day}day1M.txt", header)
-        width = len(names)
-        rows = found.select(F.lit(day).alias("day"), F.floor(F.col("at") / width).cast("long").alias("rn"), (F.col("at") % width).alias("k"), "value")
-        part = rows.groupBy("day", "rn").agg(*(F.max(F.when(F.col("k") == k, F.col("value"))).alias(n) for k, n in enumerate(names)))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _day_folders(spark: SparkSession, path: str, names: list[str], header: int) -> DataFrame:
+    """Days written as folders day=... of one file each, all read in one scan."""
+    found = text.numbers(spark, path, header)
+    width = len(names)
+    rows = found.select(F.regexp_extract("file", r"/day=(-?\d+)/[^/]*$", 1).cast("int").alias("day"), F.floor(F.col("at") / width).cast("long").alias("rn"), (F.col("at") % width).alias("k"), "value")
+    return rows.groupBy("day", "rn").agg(*(F.max(F.when(F.col("k") == k, F.col("value"))).alias(n) for k, n in enumerate(names)))
 
 
 QUERIES = {
@@ -226,6 +239,6 @@ QUERIES = {
         pix_face, pix_xy, pix_ring, pix_jp, pix_region_counts, pix2ang, pix_resolution, sky_lmn, satellite_norm, baseline_mirror, baseline_zip, baseline_half,
         shell_id, shell_hist, shell_sorted, shell_dcf, shell_dcf_shifted, incl_gain, weight, weight_shifted, vis_mask_count, vis_forward,
         vis_amplitude, vis_rephased, preview_vis, point_source, image_noblockage, image_blockage, image_blockage_shifted, image_total,
-        image_total_blockage, text_roundtrip,
+        image_total_blockage, text_roundtrip, text_roundtrip_all,
     )
 }

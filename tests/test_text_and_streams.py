@@ -1,7 +1,9 @@
 """Text sources and sinks, and the stream of day images."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from farside.plans import queries
 from farside.sources import text
 from farside.streaming import days
 
@@ -56,3 +58,19 @@ def test_running_total(spark, tmp_path):
     query = days.running_total(days.day_images(spark, f"{tmp_path}/in/*"), "totals", f"{tmp_path}/state")
     query.awaitTermination(120)
     assert {r.ipix: r.c for r in spark.sql("SELECT * FROM totals").collect()} == {0: 3.0, 1: 0.0}
+
+
+def test_round_trip_has_every_day(spark, sf_dir, monkeypatch):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    out = queries.text_roundtrip_all(spark, sf_dir).collect()
+    assert len(out) == n and {r.day for r in out} == set(range(10)) and all(r.same for r in out)
+    whole = queries._day_folders
+
+    def spoilt(*a):  # a value of the last day
+        df = whole(*a)
+        return df.withColumn("y1", F.when((F.col("day") == 9) & (F.col("rn") == 0), 99.0).otherwise(F.col("y1"))) if "y1" in df.columns else df
+
+    monkeypatch.setattr(queries, "_day_folders", spoilt)
+    assert [(r.day, r.rn) for r in queries.text_roundtrip_all(spark, sf_dir).where("not same").collect()] == [(9, 0)]
+    with pytest.raises(ValueError):
+        queries.text_roundtrip(spark, sf_dir)
