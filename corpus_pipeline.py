@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates by SimHash."""
+    """One document of each class of near duplicates: by SimHash, and by a Jaccard similarity of 0.8 of sets of five words."""
     return simhash.dedup(docs)
 
 

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingled
 from .util import column_name, components, forest, small_batches, stash
 
 SEED, WORDS = 42, 3
@@ -164,7 +165,11 @@ def link(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
 
 def rooted(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
     """(fp, root) of every distinct fingerprint: root is the smallest fingerprint (as a signed number) reachable."""
-    roots = components(link(fps, n_blocks, max_bits))
+    return _rooted(fps, link(fps, n_blocks, max_bits))
+
+
+def _rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links)
     distinct = fps.select("fp").distinct()
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -181,30 +186,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(stash(fingerprints(docs, id_col, text_col)))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingled.WORDS, max_bits: int = 2, threshold: float = shingled.THRESHOLD) -> DataFrame:
     """docs with one row of each class: the one with the smallest id (of rows that share it, one); a row with a null id
-    stays if its text's class has no id at all, one for each class."""
+    stays if its text's class has no id at all, one for each class. Two texts are linked if their fingerprints of `words`
+    words differ in at most max_bits bits, or if the Jaccard similarity of their sets of such shingles reaches the
+    threshold: at 0.8 fingerprints differ in about ten bits, which no choice of blocks finds."""
     key, fp_col = column_name(docs, "_row"), column_name(docs, "_kept")
     marked = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h")))
-    found = stash(_fingerprints_with_key(marked, id_col, text_col, key))
+    found = stash(_fingerprints_with_key(marked, id_col, text_col, key, words))
+    # similar texts as links of their fingerprints; texts of equal words have equal ones
+    near = shingled.link(docs.select(F.col(text_col).cast("string").alias("text")), found.select("node", "keys"), words, threshold)
+    of = found.groupBy("node").agg(F.min("fp").alias("fp"))
+    near = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = link(found, max_bits=max_bits, n_blocks=max_bits + 3).unionAll(near)
     # the first row of each fingerprint, then of each class: a fingerprint that many rows share never meets in a join
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")
-    kept = found.groupBy("fp").agg(first).join(rooted(found.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    kept = found.groupBy("fp").agg(first).join(_rooted(found, links), "fp").groupBy("root").agg(F.min("k").alias("k"))
     kept = kept.select(F.struct(F.col("k.doc_id").alias("i"), F.col("k.h").alias("h")).alias(fp_col))
     # the key is a struct that is never null itself, so one exchange by it serves the join and the removal of repeated rows
     return marked.join(kept, marked[key] == kept[fp_col], "left_semi").dropDuplicates([key]).drop(key)
 
 
-def _fingerprints_with_key(marked: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+def _fingerprints_with_key(marked: DataFrame, id_col: str, text_col: str, key: str, words: int) -> DataFrame:
+    """(doc_id, fp, h, node, keys) of each row: node and keys as shingled.link() takes them."""
     small_batches(marked.sparkSession)
     rows = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(f"{key}.h").alias("h"))
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t) for t in _texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "h"])
-
-    return rows.mapInArrow(run, "doc_id long, fp long, h long")
+            fps, nodes, keys = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), []
+            for k, text in enumerate(_texts(batch.column(1))):
+                parts = shingled.split(text)
+                fps[k], nodes[k] = fingerprint(text, words), shingled.node_of(parts)
+                keys.append(shingled.keys_of(shingled.shingle_set(parts, words)).view(np.int64))
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32))
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), pa.array(nodes.view(np.int64)), keys], names=["doc_id", "fp", "h", "node", "keys"])
+
+    return rows.mapInArrow(run, "doc_id long, fp long, h long, node long, keys array<long>")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

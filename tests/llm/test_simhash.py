@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import xxhash
@@ -62,3 +63,19 @@ def test_dedup_keeps_one_of_each(spark):
     assert list(out.columns) == df.columns
     assert sorted(out.doc_id.dropna()) == [1, 4, 5, 7] and out.doc_id.isna().sum() == 1
     assert simhash.dedup(plain(spark, [])).count() == 0
+
+
+def test_dedup_reaches_the_similarity_that_it_states(spark):
+    rng, rows, near, far = random.Random(8), [], set(), set()
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 100, 300]))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 4, len(words) // 8])):
+            other[at] = f"x{rng.randrange(5000)}"
+        a, b = grams(words), grams(other)
+        (near if len(a & b) >= 0.8 * len(a | b) else far).add(1000 + k)
+        rows += [(k, " ".join(words), "en", "s", 1), (1000 + k, "\n".join(other).upper(), "en", "s", 1)]
+    assert len(near) > 50 and len(far) > 20
+    kept = {r.doc_id for r in simhash.dedup(docs(spark, rows)).select("doc_id").collect()}
+    assert kept == set(range(150)) | far
