@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Defined results: an empty table passes through; documents keep their columns, whatever else these are, up to the last
-stage, which returns a digest of the encoded text.
+stage, which returns a digest of the encoded text and its place in the mixed order, sorted by it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return bpe.digest(docs, bpe.default_tokenizer(), keep=("doc_id", "source"))
+    """Token counts and digests of ids and decoded texts, with slot and position in the mixed order, by position. Files
+    are not read in the order of their names, so the places are worked out again, from narrow rows: they follow from
+    ids, sources and hashes of texts alone."""
+    hashed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    rows = stash(bpe.digest(hashed, bpe.default_tokenizer(), keep=("doc_id", "source", "text_hash")))
+    placed = mixing.mix(rows, hash_col="text_hash")
+    return placed.drop("text_hash", "source_rank", "block").orderBy("position")
 
 
 STAGES = [

@@ -48,8 +48,9 @@ def period(weights: dict[str, int]) -> list[str]:
     return slots
 
 
-def ranked(docs: DataFrame, source: str, rank: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with the source (null made NO_SOURCE) and the row's rank in it, counted from 0 by a hash of the id."""
+def ranked(docs: DataFrame, source: str, rank: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
+    """docs with the source (null made NO_SOURCE) and the row's rank in it, counted from 0 by a hash of the id. hash_col:
+    XXH64 of the text, for rows that have it in place of the text."""
     h = column_name(docs, "_hash")
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("null"))
@@ -57,13 +58,13 @@ def ranked(docs: DataFrame, source: str, rank: str, id_col: str = "doc_id", sour
     rows = docs.withColumn(source, name).withColumn(h, digest)
     counts = docs.select(name.alias(source), digest.alias(h)).groupBy(source, cell.alias("_cell")).count()
     before = counts.select(F.col(source).alias("_s"), "_cell", (F.sum("count").over(Window.partitionBy(source).orderBy("_cell")) - F.col("count")).alias("_before"))
-    own = Window.partitionBy(source, "_cell").orderBy(h, id_col, F.xxhash64(F.col(text_col)))
+    own = Window.partitionBy(source, "_cell").orderBy(h, id_col, F.col(hash_col) if hash_col else F.xxhash64(F.col(text_col)))
     dealt = rows.withColumn("_cell", cell).withColumn("_in", F.row_number().over(own) - 1).alias("r")
     out = dealt.join(before.alias("b"), (F.col(f"r.{source}") == F.col("b._s")) & (F.col("r._cell") == F.col("b._cell")))
     return out.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.col(f"r.{source}"), (F.col("_in") + F.col("_before")).alias(rank))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
     """docs with source_rank, block, slot and position (slot * block + place in the block) behind the other columns;
     reading by position interleaves the sources."""
     spark = docs.sparkSession
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     plan = F.broadcast(spark.createDataFrame(slots, "_s string, _w int, _k int, _at int"))  # as long as one period
     source, rank = column_name(docs, "_source"), column_name(docs, "source_rank")
     names = [column_name(docs, c) for c in ("block", "slot", "position")]
-    rows = ranked(docs, source, rank, id_col, source_col, text_col).withColumn(names[0], F.floor(F.col(rank) / block).cast("long"))
+    rows = ranked(docs, source, rank, id_col, source_col, text_col, hash_col).withColumn(names[0], F.floor(F.col(rank) / block).cast("long"))
     weight = F.broadcast(spark.createDataFrame(list(own.items()), "_n string, _of int"))
     rows = rows.join(weight, F.col(source) == F.col("_n")).withColumn("_turn", F.col(names[0]) % F.col("_of"))
     rows = rows.join(plan, (F.col(source) == F.col("_s")) & (F.col("_turn") == F.col("_k")))

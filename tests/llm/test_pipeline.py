@@ -1,12 +1,13 @@
 """Stages and the whole pipeline on a small corpus."""
 
+import hashlib
 import random
 
 import corpus_pipeline
 from common import ODD, directory, docs, frame
 from tokenizers import Tokenizer
 
-from farside.llm import bpe
+from farside.llm import bpe, mixing
 
 
 def made(rnd):
@@ -51,3 +52,14 @@ def test_stages(spark, tmp_path):
         out = stage(spark, df, d)
         assert out.columns == df.columns
     assert corpus_pipeline.run(spark, directory(tmp_path / "none", documents=df.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
+
+
+def test_mixed_order_reaches_the_result(spark, tmp_path):
+    rows = [(k, f"text number {k} " + " ".join(f"w{k * 31 + j}" for j in range(k % 40)), "en", f"src{k % 3}", 1) for k in range(400)]
+    rows += [(None, f"without an id {k * 7919} {k}", "en", "src1", 1) for k in range(9)]
+    mixing.mixed(docs(spark, rows).repartition(5)).repartition(7).write.parquet(f"{tmp_path}/mixed")  # several files, scrambled
+    out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(r.doc_id, hashed(r.text), r.slot, r.position) for r in mixing.mix(docs(spark, rows)).orderBy("position").collect()]
+    assert [(r.doc_id, r.decoded_sha256, r.slot, r.position) for r in out] == want
+    assert [r.source for r in out[:48]] == ["src0"] * 16 + [out[16].source] * 16 + [out[32].source] * 16 and {r.source for r in out[:112]} == {"src0", "src1", "src2"}
