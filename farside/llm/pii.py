@@ -31,7 +31,8 @@ ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE = r"(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 NANP = r"(?:\+?1[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
-ABROAD = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9])"
+# digits one by one, 15 at most with the country code and the part in brackets, so that no later number is drawn in
+ABROAD = r"\+(?:[0-9](?:[ .\-]?[0-9]){6,14}|" + "|".join(rf"[0-9]{{{c}}}[ .\-]?\([0-9]{{{p}}}\)(?:[ .\-]?[0-9]){{2,{15 - c - p}}}" for c in (1, 2, 3) for p in (1, 2, 3, 4)) + ")(?![0-9])"
 CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|3[47][0-9]{2}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])"
 ALL = r"(?<![A-Za-z0-9])(?:" + "|".join([EMAIL, IPV4, ISO_DATE, DATE, SSN, NANP, ABROAD, CARD]) + ")"
 KINDS = ("card", "ssn", "ipv4", "phone", "date", "email")

@@ -101,3 +101,13 @@ def test_odd_rows_and_plan(spark, tmp_path):
     plan = pii.op5_pii(spark, directory(tmp_path, documents=docs(spark, rows)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert pii.pseudonymise(plain(spark, []), "k").count() == 0
+
+
+def test_numbers_abroad_are_replaced_to_their_last_digit(spark):
+    texts = ["+33 1 42 68 53 00", "+33 1 42 68 53 01", "+49 30 12 34 56 78", "+49 30 12 34 56 79", "+44 (0) 20 7946 0958", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5"]
+    out = run(spark, [f"call {t} now" for t in texts])
+    for t, x in zip(texts, out.text):
+        assert re.fullmatch("call " + re.escape(re.match(r"\+\d+", t)[0]) + re.sub(r"\d", r"\\d", re.escape(t[len(re.match(r"\+\d+", t)[0]) :])) + " now", x) and t not in x
+    assert list(out.n_phone) == [1] * len(texts) and out.text.nunique() == len(texts)
+    card = run(spark, ["+44 20 7946 0958 4111 1111 1111 1111", "+12 3 4"])
+    assert list(card.n_phone) == [1, 0] and "0958" not in card.text[0] and card.text[1] == "+12 3 4"
