@@ -7,8 +7,8 @@ template is rejected if the share of its labelled urls that are to be blocked, s
 threshold. Rules of hosts and path prefixes come first.
 
 Defined results: a null url, or one without "://", has an empty host and path, and is allowed unless its template is
-rejected; labels other than 0 and 1 count as none; repeated urls count each time; a path deeper than max_depth keeps its
-first segments and one mark for the rest; an empty table gives an empty result; other columns are kept.
+rejected; labels other than 0 and 1 count as none; repeated urls count each time; paths of any depth
+keep all segments; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -43,18 +43,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, says
 
 
-def pattern_of(path: Column, max_depth: int) -> Column:
+def pattern_of(path: Column) -> Column:
     """Segments with numbers and identifiers as wildcards; what follows a segment's last dot stays."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    plain = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\d+(?=\.[A-Za-z]{1,5}$|$)", "{n}"), r"^(?=[^.]*\d)[0-9A-Fa-f]{8,}(?=\.[A-Za-z]{1,5}$|$)|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "{x}"))
-    return F.when(F.size(plain) > max_depth, F.concat(F.slice(plain, 1, max_depth), F.array(F.lit("{more}")))).otherwise(plain)
+    return F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\d+(?=\.[A-Za-z]{1,5}$|$)", "{n}"), r"^(?=[^.]*\d)[0-9A-Fa-f]{8,}(?=\.[A-Za-z]{1,5}$|$)|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "{x}"))
 
 
 def templates(patterns: DataFrame, max_children: int = 16, min_labelled: int = 5, z: float = 1.96) -> DataFrame:
     """(host, pattern, n, n1, n0) to (host, pattern, template)."""
     rows = stash(patterns.select("host", "pattern", "n", "n1", "n0", F.slice("pattern", 1, 0).alias("done"), F.col("pattern").alias("rest")))
-    depth = rows.agg(F.max(F.size("rest"))).first()[0] or 0
-    for _ in range(depth):
+    while rows.agg(F.max(F.size("rest"))).first()[0]:
+        rows = _descended(rows)
         here = rows.where(F.size("rest") > 0).select("host", "done", F.element_at("rest", 1).alias("seg"), F.expr("slice(rest, 2, size(rest))").alias("below"), "n1", "n0")
         # a branch's shape: its distinct remainders, folded into one number
         inner = here.groupBy("host", "done", "seg", "below").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -82,14 +81,27 @@ def templates(patterns: DataFrame, max_children: int = 16, min_labelled: int = 5
     return rows.select("host", "pattern", F.concat(F.lit("/"), F.array_join("done", "/")).alias("template"), "n", "n1", "n0")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url", label_col: str | None = None, prior: float = 0.25, strength: float = 4.0, threshold: float = 0.5, max_depth: int = 4, **tree) -> DataFrame:
+def _descended(rows: DataFrame) -> DataFrame:
+    """rows moved down to the next place with different children: only children stand for themselves, so there are no more
+    rounds than branchings, however deep the paths."""
+    spans = rows.where(F.size("rest") > 0).groupBy("host", "done").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    differ = F.array_position(F.transform(F.arrays_zip("low", "high"), lambda x: x["low"].eqNullSafe(x["high"])), F.lit(False))
+    spans = spans.select("host", "done", F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int").alias("same"))
+    moved = rows.join(spans, ["host", "done"], "left").withColumn("same", F.when(F.size("rest") > 0, F.col("same")).otherwise(0))
+    down = F.expr("concat(done, slice(rest, 1, same))").alias("done"), F.expr("slice(rest, same + 1, size(rest))").alias("rest")
+    new = stash(moved.select("host", "pattern", "n", "n1", "n0", *down))
+    discard(rows)
+    return new
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url", label_col: str | None = None, prior: float = 0.25, strength: float = 4.0, threshold: float = 0.5, **tree) -> DataFrame:
     """pages with host, path, rule, verdict, template and purity behind the others (purity: the smoothed share of labelled
     urls of the template that are to be blocked). label_col: 1 to block, 0 to allow; without it the rules give labels."""
     names = {c: column_name(pages, c) for c in ("host", "path", "rule", "verdict", "template", "purity", "_says", "_label", "_pattern")}
     host, path = F.col(names["host"]), F.col(names["path"])
     rows = pages.withColumn(names["host"], host_of(F.col(url_col).cast("string"))).withColumn(names["path"], path_of(F.col(url_col).cast("string")))
     rule, says = rule_of(host, path, rules)
-    rows = rows.withColumn(names["rule"], rule).withColumn(names["_says"], says).withColumn(names["_pattern"], pattern_of(path, max_depth))
+    rows = rows.withColumn(names["rule"], rule).withColumn(names["_says"], says).withColumn(names["_pattern"], pattern_of(path))
     label = F.col(label_col).cast("int") if label_col else F.when(F.col(names["_says"]) == "block", 1).when(F.col(names["_says"]) == "allow", 0)
     rows = rows.withColumn(names["_label"], label)
     counted = rows.groupBy(host.alias("host"), F.col(names["_pattern"]).alias("pattern")).agg(F.count("*").alias("n"), F.count(F.when(F.col(names["_label"]) == 1, 1)).alias("n1"), F.count(F.when(F.col(names["_label"]) == 0, 1)).alias("n0"))

@@ -65,3 +65,11 @@ def test_few_labels_are_smoothed(spark):
 
 def test_empty_table(spark):
     assert urls.judge(pages(spark, [])).count() == 0
+
+
+def test_branches_below_the_fourth_segment_differ(spark):
+    bad, good = ([f"http://h.org/a/b/c/d/{name}/{k}.html" for k in range(20)] for name in ("spam", "news"))
+    df = spark.createDataFrame([(u, 1) for u in bad] + [(u, 0) for u in good], "url string, y int")
+    out = frame(urls.judge(df, rules=[], label_col="y")).set_index("url")
+    assert (out.loc[bad].verdict == "block").all() and (out.loc[good].verdict == "allow").all()
+    assert set(out.template) == {"/a/b/c/d/spam/{n}.html", "/a/b/c/d/news/{n}.html"}
