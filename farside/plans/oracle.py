@@ -104,6 +104,7 @@ ORACLE_SQL = {
     "shell_id": f"WITH {BOTH} SELECT day, bid, g FROM shell WHERE sgn = 1",
     "shell_hist": f"WITH {BOTH} SELECT day, g, cnt FROM hist",
     "shell_sorted": f"WITH {BOTH} SELECT day, g, bid FROM shell WHERE sgn = 1 ORDER BY day, g, bid LIMIT 100",
+    "shell_sorted_all": f"WITH {BOTH} SELECT day, g, bid FROM shell WHERE sgn = 1 ORDER BY day, g, bid",
     "shell_dcf": f"WITH {BOTH} SELECT day, g, round(dcf, 6) AS dcf FROM dens",
     "shell_dcf_shifted": f"WITH {BOTH} SELECT day, g - 1 AS g, round(dcf, 6) AS dcf FROM dens WHERE g > 1",
     "incl_gain": f"WITH {HALF} SELECT day, bid, round({GAIN}, 4) AS dg FROM half",

@@ -104,6 +104,11 @@ def shell_sorted(spark: SparkSession, sf: str) -> DataFrame:
     return W.with_shell(fixtures.half(spark, sf)).select("day", "g", "bid").orderBy("day", "g", "bid").limit(100)
 
 
+def shell_sorted_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All baselines in the order of their shells."""
+    return W.with_shell(fixtures.half(spark, sf)).select("day", "g", "bid").orderBy("day", "g", "bid")
+
+
 def shell_dcf(spark: SparkSession, sf: str) -> DataFrame:
     return W.shell_density(shell_hist(spark, sf)).select("day", "g", _r("dcf", 6))
 
@@ -237,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pix_face, pix_xy, pix_ring, pix_jp, pix_region_counts, pix2ang, pix_resolution, sky_lmn, satellite_norm, baseline_mirror, baseline_zip, baseline_half,
-        shell_id, shell_hist, shell_sorted, shell_dcf, shell_dcf_shifted, incl_gain, weight, weight_shifted, vis_mask_count, vis_forward,
+        shell_id, shell_hist, shell_sorted, shell_sorted_all, shell_dcf, shell_dcf_shifted, incl_gain, weight, weight_shifted, vis_mask_count, vis_forward,
         vis_amplitude, vis_rephased, preview_vis, point_source, image_noblockage, image_blockage, image_blockage_shifted, image_total,
         image_total_blockage, text_roundtrip, text_roundtrip_all,
     )

@@ -134,3 +134,10 @@ def test_stash_and_discard(spark):
     discard(df)
     with pytest.raises(Exception):
         spark.read.parquet(df._stash_path)
+
+
+def test_all_shells_are_sorted(spark, sf_dir):
+    from farside.plans import queries
+
+    out = [tuple(r) for r in queries.shell_sorted_all(spark, sf_dir).collect()]
+    assert len(out) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() and out == sorted(out)
