@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 from common import clash, directory, frame
 
 from farside.llm import urls
@@ -73,3 +78,88 @@ def test_branches_below_the_fourth_segment_differ(spark):
     out = frame(urls.judge(df, rules=[], label_col="y")).set_index("url")
     assert (out.loc[bad].verdict == "block").all() and (out.loc[good].verdict == "allow").all()
     assert set(out.template) == {"/a/b/c/d/spam/{n}.html", "/a/b/c/d/news/{n}.html"}
+
+
+def brute_pattern(path):
+    parts = [re.sub(r"^\d+(?=\.[A-Za-z]{1,5}$|$)", "{n}", x) for x in path.split("/") if x]
+    return tuple(re.sub(r"^(?=[^.]*\d)[0-9A-Fa-f]{8,}(?=\.[A-Za-z]{1,5}$|$)", "{x}", x) for x in parts)
+
+
+def brute_tree(counts, done, purity, seen, out, unseen=0.2, z=1.96, prior=0.25, strength=4.0):
+    """counts: {(whole, rest): (n, n1, n0)} of one place; out: {whole: (template, purity)}."""
+    q = sum(c[1] + c[2] for c in counts.values())
+    if q < seen or seen < 0:
+        purity = (sum(c[1] for c in counts.values()) + strength * purity) / (q + strength)
+    while True:  # a place with one child is no place of its own
+        for whole, rest in counts:
+            if not rest:
+                out[whole] = ("/" + "/".join(done), purity)
+        counts = {k: c for k, c in counts.items() if k[1]}
+        if len(first := {rest[0] for _, rest in counts}) != 1:
+            break
+        done, counts = [*done, *first], {(w, r[1:]): c for (w, r), c in counts.items()}
+    kids = defaultdict(Counter)
+    for (whole, rest), (n, n1, n0) in counts.items():
+        if rest:
+            kids[rest[0]].update({"n": n, "n1": n1, "n0": n0, ("below", rest[1:]): n})
+    if not kids:
+        return
+    total, a1, a0 = (sum(k[c] for k in kids.values()) for c in ("n", "n1", "n0"))
+    below = Counter()
+    for k in kids.values():
+        below.update({b: n for b, n in k.items() if isinstance(b, tuple)})
+    variable = len(kids) > 2 and sum(k["n"] == 1 for k in kids.values()) >= unseen * total
+    share, branch = (a1 + 0.5) / (a1 + a0 + 1), defaultdict(list)
+    for seg, k in kids.items():
+        m = k["n1"] + k["n0"]
+        off = (k["n1"] - m * share) / math.sqrt(max(m, 1) * share * (1 - share))
+        chi = sum((k[b] - k["n"] * n / total) ** 2 / (k["n"] * n / total) for b, n in below.items())
+        f = len(below) - 1
+        unlike = f > 0 and ((chi / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)) > z
+        kind = "*" if variable else frozenset(b for b in k if isinstance(b, tuple)) if unlike else ""
+        branch[kind, "+" if off > z else "-" if off < -z else ""].append(seg)
+    for (kind, label), segs in branch.items():
+        wild = kind == "*" and len(segs) > 1 or len(segs) > 16
+        name = "*" + label if wild else "(" + "|".join(sorted(segs)) + ")" if len(segs) > 1 else segs[0]
+        own = {(w, r[1:]): c for (w, r), c in counts.items() if r and r[0] in segs}
+        alone = isinstance(kind, frozenset)
+        brute_tree(own, [*done, name], prior if alone else purity, -1 if alone else q, out)
+
+
+def test_against_a_tree_by_hand(spark):
+    rnd = random.Random(5)
+    rows = []
+    for host in ("a.org", "b.org", "c.org", "d.org"):
+        bad = {s: rnd.random() for s in ("en", "de", "spam", "news", "x", "list")}
+        for _ in range(400):
+            path = [rnd.choice(list(bad)) for _ in range(rnd.randint(0, 3))]
+            if host == "c.org" and rnd.random() < 0.5:
+                path.insert(1, "name" + "".join(rnd.choice("abcdefgh") for _ in range(4)))
+            path += rnd.choice([[], [str(rnd.randint(1, 999))], [f"{rnd.randint(1, 999)}.html"], ["a1b2c3d4e5"]])
+            y = int(rnd.random() < bad[path[0]]) if path and path[0] in bad else 0
+            rows.append((host, "/" + "/".join(path), y if rnd.random() < 0.4 and host != "d.org" else None))
+    out = frame(urls.judge(spark.createDataFrame([(f"http://{h}{p}", y) for h, p, y in rows], "url string, y int"), rules=[], label_col="y"))
+    places = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+    for h, p, y in rows:
+        c = places[h][brute_pattern(p), brute_pattern(p)]
+        c[0] += 1
+        c[1] += y == 1
+        c[2] += y == 0
+    want = {}
+    for h, counts in places.items():
+        found = {}
+        brute_tree(counts, [], 0.25, -1, found)
+        want[h] = found
+    assert len(out) == len(rows) and len({t for f in want.values() for t, _ in f.values()}) > 20
+    for r in out.itertuples():
+        template, purity = want[r.host][brute_pattern(r.path)]
+        assert r.template == template and abs(r.purity - purity) < 1e-9, (r.url, template, purity)
+        assert r.verdict == ("block" if purity >= 0.5 else "allow")
+
+
+def test_urls_without_a_rule_share_their_siblings_labels(spark):
+    rows = [f"http://a.net/{s}/{k}" for s in ("es", "fr", "en") for k in range(20)] + [f"http://a.org/en/{k}" for k in range(20)]
+    out = frame(urls.judge(pages(spark, rows)))
+    free = out[out.rule.isna()]
+    assert len(free) == 40 and free.groupby("host").verdict.unique().map(list).to_dict() == {"a.net": ["block"], "a.org": ["allow"]}
+    assert set(free[free.host == "a.net"].template) == {"/(en|es|fr)/{n}"}
