@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -11,34 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode where that is unset (tests). On a
+    cluster every machine has temporary folders of its own, so there an unset folder is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "farside-checkpoints")
     os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """The session's setting has this value inside, and its own again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared checkpoint folder and read it back: lineage ends there, and a lost executor
-    costs only the tasks it was running. The path is kept on the result for discard()."""
+    costs only the tasks it was running. Shuffle files of the write go with it. The path is kept on the result for
+    discard()."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what stash() wrote for df; only for tables that no pending plan reads."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what stash() wrote for these; only for tables that no pending plan reads."""
+    for df in tables:
+        path = getattr(df, "_stash_path", None)
+        if path:
+            jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
