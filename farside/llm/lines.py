@@ -11,8 +11,8 @@ With 16 bands of 6 rows a pair at the threshold of 0.8 shares a bucket with prob
 Lines are known by 64-bit hashes (XXH64, seed 42) of their text.
 
 Defined results: null and empty texts stay as they are; lines of white space only stay and are never compared; lines
-shorter than a shingle are one shingle; a null id sorts before all others; rows with equal id and text are treated alike
-(they keep the same lines); an empty table gives an empty result; other columns are kept by dedup().
+shorter than a shingle are one shingle; a null id sorts before all others; of rows with equal id and text one
+counts as the first, the others keep nothing of what it holds; an empty table gives an empty result; other columns are kept by dedup().
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import bloom, bloom_bits, bloom_has, column_name, components, discard, release, small_batches, split_by_bloom, stash
+from .util import bloom_bits, bloom_has, column_name, components, discard, hot_join, small_batches, split_by_bloom, stash
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 5, 16, 6, 0.8, 128
 SET_BYTES = 32 << 20
@@ -320,8 +320,7 @@ def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
     tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
-    release(spark)
-    bits = bloom_bits(tasks.select("h").distinct().withColumnRenamed("h", "id"))
+    bits = bloom_bits(tasks.select("h"))
     near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
     # buckets with the same least line lie together, in four shares as a large cluster's are cut into many blocks: most of
     # a cluster meets in few tasks, and what one of them has connected need not be compared again there
@@ -333,33 +332,51 @@ def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
-    """(i, t, removed array<int>): the lines to remove from each document, by its id and the hash of its text."""
-    roots = components(link(docs, text_col, **settings))
-    release(docs.sparkSession)
+    """(i, t, copies, removed array<int>, own array<int>) of the documents that lose lines, by id and hash of the text: how
+    many rows have both, the places of the lines that go from the first of these rows, and from the others (all that can
+    be compared)."""
+    found = link(docs, text_col, **settings)
+    roots = components(found)
     text = F.col(f"`{text_col}`").cast("string")
-    lines = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_occurrences, "i long, t long, pos int, h long")
-    lines = stash(lines.join(roots, F.col("h") == F.col("node"), "left").select("i", "t", "pos", F.coalesce("root", "h").alias("root")))
-    place = F.struct("i", "t", "pos")
-    kept = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = lines.join(kept, "root").where(place != F.col("first"))
-    return stash(gone.groupBy("i", "t").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_occurrences, "i long, t long, pos int, h long")
+    lines = stash(rows.join(roots, F.col("h") == F.col("node"), "left").select("i", "t", "pos", F.coalesce("root", "h").alias("root")))
+    kept = lines.groupBy("root").agg(F.min(F.struct("i", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = stash(kept)
+    gone = hot_join(lines, kept, "root").where("first is not null")
+    first = F.struct("i", "t", "pos").eqNullSafe(F.col("first"))
+    places = (F.sort_array(F.collect_set(c)) for c in (F.when(~first, F.col("pos")), F.col("pos")))
+    gone = gone.groupBy("i", "t").agg(F.count("*").alias("n"), *(c.alias(name) for c, name in zip(places, ("removed", "own"))))
+    # rows of the same id and text bring each of their places once
+    gone = gone.withColumn("copies", F.expr("n div size(own)")).where("copies > 1 or size(removed) > 0")
+    out = stash(gone.select("i", "t", "copies", "removed", "own"))
+    discard(lines, kept, found, roots)
+    return out
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> tuple[DataFrame, str]:
     """docs with the removed lines' places (null: none) behind the other columns, and that column's name."""
-    key, removed = column_name(docs, "_line_key"), column_name(docs, "removed")
+    removed = column_name(docs, "removed")
+    key, id_, gone, copies, all_, its, salt, rank, rank2 = (column_name(docs, c) for c in ("_line_key", "_line_hash", "_gone", "_copies", "_own", "_its_key", "_salt", "_rank", "_rank_of_ranks"))
     found = removals(docs, id_col, text_col, **settings)
-    release(docs.sparkSession)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    id_, gone = column_name(docs, "_line_hash"), column_name(docs, "_gone")
-    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("t")))
+    same = lambda a, b: F.struct(a.alias("i"), b.alias("t"))
+    keyed = docs.withColumn(key, same(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
     keyed = keyed.withColumn(id_, F.xxhash64(key))
-    found = found.select(F.struct("i", "t").alias("_found"), F.xxhash64(F.struct("i", "t")).alias("id"), F.col("removed").alias(gone))
     # rows that surely lose no line stay where they are
-    hit, miss = split_by_bloom(keyed, id_, bloom(found))
+    hit, miss = split_by_bloom(keyed, id_, found.select(F.xxhash64(same(F.col("i"), F.col("t"))).alias("id")))
+    found = found.select(same(F.col("i"), F.col("t")).alias(its), F.col("copies").alias(copies), F.col("removed").alias(gone), F.col("own").alias(all_))
     # one row a document on the build side, so texts need no sorting
-    joined = hit.join(found.drop("id").hint("shuffle_hash"), hit[key] == found["_found"], "left").select(*own, F.col(gone).alias(removed))
-    return joined.unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
+    joined = hit.join(found.hint("shuffle_hash"), hit[key] == found[its], "left")
+    single = joined.where(F.coalesce(F.col(copies), F.lit(1)) == 1).select(*own, F.when(F.size(gone) > 0, F.col(gone)).alias(removed))
+    # of repeated rows one is the first: they are counted in shares, then one for each share is
+    many = joined.where(F.col(copies) > 1).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    many = many.withColumn(rank, F.row_number().over(Window.partitionBy(key, salt).orderBy(id_)))
+    share = F.when(F.col(rank) == 1, F.lit(-1)).otherwise(F.col(salt))
+    many = many.withColumn(rank2, F.row_number().over(Window.partitionBy(key, share).orderBy(rank)))
+    first = (F.col(rank) == 1) & (F.col(rank2) == 1)
+    lost = F.when(first, F.col(gone)).otherwise(F.col(all_))
+    many = many.select(*own, F.when(F.size(lost) > 0, lost).alias(removed))
+    return single.unionAll(many).unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
 
 
 def _rest(text, removed: str):

@@ -133,7 +133,7 @@ def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: flo
     of the same documents."""
     keyed = banded.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("h"))
     tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
-    bits = bloom_bits(tasks.select("h").distinct().withColumnRenamed("h", "id"))
+    bits = bloom_bits(tasks.select("h"))
     near = texts.mapInArrow(_wanted(bits, words), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles"))
     dealt = tasks.join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4))).sortWithinPartitions("lead", "task", "h").select("task", "h", "shingles")
     found = stash(dealt.mapInArrow(_verify(threshold), "a long, b long"))

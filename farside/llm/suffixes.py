@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom, column_name, discard, release, small_batches, split_by_bloom, stash
+from .util import column_name, discard, small_batches, split_by_bloom, stash
 
 LENGTH, GRAM = 200, 64
 #: Anchors in one sorted run, and aimed at in one range of the merge.
@@ -424,10 +424,8 @@ def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     counted = texts.where(F.col("n") >= length).mapInArrow(_counted(length, gram), "key long, weight int, h long, n int, packed long")
     held = counted.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "h long, n int, packed long").distinct()
     held = stash(held.groupBy("h", "n").agg(F.collect_list("packed").alias("packed")))
-    release(spark)
     total = held.agg(F.sum(F.size("packed"))).first()[0] or 0
-    some = bloom(held.select(F.col("h").alias("id")))
-    near, _ = split_by_bloom(texts, "h", some)
+    near, _ = split_by_bloom(texts, "h", held.select("h"))
     # range bounds: first bytes at a bounded sample of anchors
     n_ranges, splitters = max(1, total // RANGE), []
     if n_ranges > 1:
@@ -437,14 +435,11 @@ def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         splitters = [found[k * len(found) // n_ranges] for k in range(1, n_ranges)] if len(found) >= n_ranges else found[1:]
     dealt = near.join(held, ["h", "n"]).select("text", "h", "n", "packed").sortWithinPartitions("h", "n")
     runs = stash(dealt.mapInArrow(_runs(length, gram, splitters), "range int, run long, seq int, blob binary, h long, n long, a long, b long"))
-    release(spark)
     merged = runs.where("range >= 0").select("range", "run", "blob").repartition(max(1, len(splitters) + 1), "range").sortWithinPartitions("range", "run")
     found = merged.select("range", "blob").mapInArrow(_merged(length, gram), "h long, n long, a long, b long")
     known = runs.where("range < 0").select("h", "n", "a", "b")
     out = stash(found.unionAll(known).groupBy("h", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    discard(held)
-    discard(runs)
-    release(spark)
+    discard(held, runs)
     return out
 
 
@@ -492,12 +487,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     text, h, n, spans = (column_name(docs, c) for c in ("_text", "_h", "_n", "_spans"))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias(text), F.xxhash64(t).alias(h), F.octet_length(t).alias(n))
     found = windows(docs.select(t.alias("text"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("n")), length, gram)
-    some = bloom(found.select(F.col("h").alias("id")))
     # texts that surely have no repeats are finished where they are; the others meet their spans
-    hit, miss = split_by_bloom(rows, h, some)
+    hit, miss = split_by_bloom(rows, h, found.select("h"))
     kept = [F.col(f"`{c}`") for c in keep]
     clear = miss.select(*kept, text, F.lit(None).cast(found.schema["spans"].dataType).alias(spans))
-    spanned = hit.join(found.select(F.col("h").alias("_fh"), F.col("n").alias("_fn"), F.col("spans").alias(spans)), (F.col(h) == F.col("_fh")) & (F.col(n) == F.col("_fn")), "left")
+    its_h, its_n = column_name(docs, "_found_h"), column_name(docs, "_found_n")
+    spanned = hit.join(found.toDF(its_h, its_n, spans), (F.col(h) == F.col(its_h)) & (F.col(n) == F.col(its_n)), "left")
     fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     names = [column_name(docs.select(*kept), f) for f in fields]
     types = ["long", "long", "long", "string", "binary"]

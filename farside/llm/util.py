@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import checkpoint_dir, discard, release, stash  # noqa: F401
+from ..plans.staging import checkpoint_dir, discard, stash  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,24 +71,27 @@ def components(links: DataFrame) -> DataFrame:
 
     Returns (node long, root long) for every node with a link to another one; root is the smallest id of its component
     (signed order). Each task first turns its links into stars, then large-star and small-star steps over shuffled,
-    map-side combined minima alternate until the set of links no longer changes (logarithmically many rounds). Every
-    round is written to the shared checkpoint folder; links never reach the driver.
+    map-side combined minima alternate until all links are stars (logarithmically many rounds). Every round is written to
+    the shared checkpoint folder, the last one is the result; links never reach the driver.
     """
     spark = links.sparkSession
     clean = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b"))
     edges = stash(clean.where("a <> b").mapInArrow(_local_forest, "a long, b long"))
-    last = None
-    while True:
+    while _tangled(edges):
         large = _star(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         ordered = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         new = stash(_star(ordered, larger=False).mapInArrow(_local_forest, "a long, b long").distinct())
         discard(edges)
         edges = new
-        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(a as decimal(38,0)))"), F.expr("sum(cast(b as decimal(38,0)))")).first()
-        if state[0] == 0 or tuple(state) == last:
-            break
-        last = tuple(state)
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    out = edges.toDF("node", "root")
+    out._stash_path = edges._stash_path  # for discard()
+    return out
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node has two links down, or one down and one up: links (a, b) with b < a are stars otherwise."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return not ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down > 0 and up > 0").isEmpty()
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -101,28 +104,62 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
 
 
-def bloom(ids: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """(word, bits) of the ids' hash bits: at most `words` rows, so its size is bounded whatever the number of ids."""
-    bit = F.shiftright(F.xxhash64("id"), 6)
-    return ids.select(F.pmod(bit, F.lit(words)).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("b")).groupBy("word").agg(F.expr("bit_or(b)").alias("bits"))
+def hot_join(rows: DataFrame, table: DataFrame, key: str, parts: int = 512, least: int = 10_000) -> DataFrame:
+    """rows left-joined with a table that has one row for each key; both are stored tables. Keys that more than 1/parts of
+    all rows share (so at most `parts` of them, each with over `least` rows) are looked up in a broadcast table, the rest
+    meets in an exchange: no task gets all rows of a hot key."""
+    often = max(least, rows.count() // parts)
+    hot = table.join(F.broadcast(rows.groupBy(key).count().where(F.col("count") > often).select(key)), key, "left_semi")
+    hot = stash(hot.withColumn("_hot", F.lit(True)))
+    marked = rows.join(F.broadcast(hot.select(key, "_hot")), key, "left")
+    values = [c for c in table.columns if c != key]
+    few = rows.join(F.broadcast(hot.drop("_hot")), key)
+    rest = marked.where("_hot is null").select(*rows.columns).join(table, key, "left")
+    columns = [*rows.columns, *values]
+    return few.select(*columns).unionAll(rest.select(*columns))
+
+
+#: 64-bit words of the largest filters: in Python workers (32 MB) and as a broadcast table of as many rows.
+ARRAY_WORDS, TABLE_WORDS = 1 << 22, 1 << 20
+
+
+def filter_words(n: int, most: int) -> int | None:
+    """Words of a filter that gives every one of n ids eight bits. None if that takes more than `most`: such a filter would
+    be too large to send, a smaller one too full to be of use, and callers exchange all rows instead."""
+    words = 1 << 12
+    while words * 64 < 8 * n:
+        words *= 2
+    return words if words <= most else None
 
 
-_BIT = "shiftleft(1L, cast(pmod(xxhash64(`{0}`), 64) as int))"
+def _bloom(ids: DataFrame, words: int) -> DataFrame:
+    """(word, bits) of the hash bits of a single column."""
+    h = F.xxhash64(F.col(ids.columns[0]))
+    word = F.pmod(F.shiftright(h, 6), F.lit(words)).alias("word")
+    return ids.select(word, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{ids.columns[0]}`), 64) as int))").alias("b")).groupBy("word").agg(F.expr("bit_or(b)").alias("bits"))
 
 
-def split_by_bloom(rows: DataFrame, id_col: str, filter_: DataFrame, words: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """rows whose id may be among those of bloom(), and rows whose id surely is not."""
+def split_by_bloom(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose id may be among ids (one column, stored), and rows whose id surely is not. Sized by the count of ids;
+    beyond the bound of a broadcast all rows are in the first."""
+    words = filter_words(ids.count(), TABLE_WORDS)
+    if words is None:
+        return rows, rows.where(F.lit(False))
     word, bits = (column_name(rows, c) for c in ("_bloom_word", "_bloom_bits"))
     at = F.pmod(F.shiftright(F.xxhash64(F.col(id_col)), 6), F.lit(words))
-    joined = rows.join(F.broadcast(filter_.toDF(word, bits)), at == F.col(word), "left")
-    hit = F.coalesce(F.expr(f"(`{bits}` & {_BIT.format(id_col)}) <> 0"), F.lit(False))
+    joined = rows.join(F.broadcast(_bloom(ids, words).toDF(word, bits)), at == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(`{bits}` & shiftleft(1L, cast(pmod(xxhash64(`{id_col}`), 64) as int))) <> 0"), F.lit(False))
     own = [F.col(f"`{c}`") for c in rows.columns]
     return joined.where(hit).select(*own), joined.where(~hit).select(*own)
 
 
-def bloom_bits(ids: DataFrame, words: int = 1 << 18) -> np.ndarray:
-    """bloom() as an array of fixed size, to be sent along with Python functions."""
-    found = bloom(ids, words).toArrow()
+def bloom_bits(ids: DataFrame) -> np.ndarray | None:
+    """A filter of ids (one column of longs, repeats allowed), to be sent along with Python functions; None if they are
+    too many for its bound."""
+    words = filter_words(ids.agg(F.approx_count_distinct(ids.columns[0])).first()[0], ARRAY_WORDS)
+    if words is None:
+        return None
+    found = _bloom(ids, words).toArrow()
     out = np.zeros(words, np.uint64)
     out[found.column(0).to_numpy().astype(np.int64)] = found.column(1).to_numpy().view(np.uint64)
     return out
@@ -139,8 +176,10 @@ def hash_of_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def bloom_has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each id (unsigned 64-bit) may be among those of bloom_bits()."""
+def bloom_has(bits: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+    """Whether each id (unsigned 64-bit) may be among those of bloom_bits(); without a filter all may."""
+    if bits is None:
+        return np.ones(len(ids), bool)
     h = hash_of_long(ids)
     word = (h.view(np.int64) >> 6) % len(bits)
     return bits[word] >> (h & np.uint64(63)) & np.uint64(1) != 0

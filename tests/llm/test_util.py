@@ -38,8 +38,25 @@ def test_nulls_and_loops_are_no_links(spark):
 def test_bloom_loses_nothing(spark):
     df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 400)], "id long")
     some = df.limit(100)
-    hit, miss = util.split_by_bloom(df, "id", util.bloom(some))
+    hit, miss = util.split_by_bloom(df, "id", some)
     assert hit.join(some, "id", "left_semi").count() == 100 and hit.count() + miss.count() == 400
     bits = util.bloom_bits(some)
     ids = np.array([r.id for r in some.collect()], np.int64).view(np.uint64)
     assert util.bloom_has(bits, ids).all()
+
+
+def test_filters_beyond_their_bound_keep_all(spark, monkeypatch):
+    assert util.filter_words(1000, 1 << 20) * 64 >= 8000 and util.filter_words(1 << 40, 1 << 20) is None
+    monkeypatch.setattr(util, "ARRAY_WORDS", 1)
+    monkeypatch.setattr(util, "TABLE_WORDS", 1)
+    df = spark.createDataFrame([(x,) for x in range(100)], "id long")
+    hit, miss = util.split_by_bloom(df, "id", df.limit(5))
+    assert hit.count() == 100 and miss.count() == 0
+    assert util.bloom_bits(df) is None and util.bloom_has(None, np.arange(3, dtype=np.uint64)).all()
+
+
+def test_hot_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k < 300 else 99, k) for k in range(1000)], "k long, v long")
+    table = spark.createDataFrame([(k, str(k)) for k in (0, 1, 2, 99)], "k long, w string")
+    want = sorted(map(tuple, rows.join(table, "k", "left").collect()), key=str)
+    assert sorted(map(tuple, util.hot_join(rows, table, "k", parts=4, least=10).collect()), key=str) == want
