@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
@@ -56,9 +55,3 @@ def discard(*tables: DataFrame) -> None:
             jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
