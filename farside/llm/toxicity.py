@@ -1,23 +1,33 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
-Landmarks are strings that set apart the toxic texts of a bounded, labelled sample. A word is compared with each landmark
-by the gap-weighted subsequence kernel (subsequences of `order` letters, `decay` for every letter spanned), so inserted or
-left-out letters lower the value but do not lose the insult; the value is divided by the landmark's own and counts from
-`floor` on. A sentence has the greatest value of its words for each landmark, mapped by the inverse square root of the
-landmarks' own kernel matrix, and a linear support vector machine (squared hinge) judges it. Labels are known for whole
-texts only: in toxic ones the sentence that the machine finds most toxic is the example, chosen anew in every round. A text
-scores as its most toxic sentence, calibrated to 0..1.
-
-Letters spaced out one by one are read as one word, and characters that are not letters are dropped from within words.
-
-Defined results: null and empty texts score like a sentence without any landmark; texts are whole, words too long for one
-comparison are cut into overlapping pieces; without a label of each kind every score is 0; null labels and labels without
-a text are not used; of repeated ids any row may be in the sample; an empty table gives an empty result; other columns are
-kept by screen() and ignored by score().
+Two strings are compared by the gap-weighted subsequence kernel (subsequences of `order` letters, `decay` for every letter
+spanned in each), divided by the root of both strings' own values: 1 for equal strings, less for every letter inserted or
+left out. A word's features are its values for all landmarks times the inverse square root of the landmarks' own kernel
+matrix, as Nystroem's method has it; no value is cut off or rounded. Landmarks are strings that set apart the toxic texts
+of a bounded, labelled sample, and the words of its clean texts that come nearest to those.
+
+The machine (linear, squared hinge) is trained on sentences: one is as toxic as its most toxic word, so every word of a
+clean sentence is an example of its kind. Labels are known for whole texts only: of a toxic text the word that the machine
+finds most toxic is the example, chosen anew in every round, together with forms of it that have letters inserted or left
+out. A text scores as its most toxic sentence, calibrated to 0..1.
+
+Values are linear in a word's weighted subsequences, so when scoring the machine is one table: a number for every four
+letters, summed over a word's subsequences and divided by the root of the word's own value.
+
+Letters spaced out one by one are read as one word, characters that are not letters are dropped from within words, and
+longer words are read in overlapping pieces.
+
+Defined results: null and empty texts score like a sentence of short words (below `order` letters, so without a value);
+texts are whole, words of any length are read whole in pieces; without a label of each kind every score is 0; null labels,
+labels without a text and repeats of a labelled id are not used; an empty table gives an empty result; other columns are
+kept, and a clash of names with the new one is avoided by leading underscores.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -29,25 +39,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name, small_batches
+from .util import column_name, discard, small_batches, stash
 
-WIDTH, STRIDE = 24, 12
-GAPPED = 0.8
+#: Letters in a piece of a longer word, and from one piece's start to the next one's: short pieces for what stands within
+#: a word or before an ending, long ones for long insults.
+SCALES = ((8, 2), (12, 4))
+WIDTH = 12
+START = "^"
+#: From this kernel value on a word of a toxic text is an example for a landmark.
+HELD = 0.6
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 @dataclass
 class Settings:
-    """max_per_class bounds the labelled rows that the fit reads of each class, by order of a hash of their id."""
+    """max_per_class bounds the labelled rows that the fit reads of each class, by order of a hash of their id, and
+    max_bytes their texts together. clean_weight is the share that clean texts have in the calibration: above a half, as a
+    clean text lost counts for more than a toxic one kept. forms: a quarter of the altered forms of each landmark."""
 
     max_per_class: int = 2000
-    landmarks: int = 48
-    order: int = 3
-    decay: float = 0.7
-    floor: float = 0.65
+    max_bytes: int = 64 << 20
+    landmarks: int = 96
+    order: int = 4
+    decay: float = 0.9
     rounds: int = 4
-    cost: float = 10.0
+    cost: float = 1000.0
+    forms: int = 6
+    clean_weight: float = 0.96
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,10 +74,21 @@ def words_of(text: str | None) -> list[str]:
     return _SPACED.sub(lambda m: m.group().replace(" ", "").replace("\t", ""), text).split()
 
 
+def letters_of(word: str) -> str:
+    """START and the letters of a word."""
+    return START + (word if word.isalpha() else _NO_LETTERS.sub("", word))
+
+
+def _starts(size: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a string: of each scale so many that any width - stride + 1 letters are in one."""
+    found = [(k, min(k + width, size)) for width, stride in SCALES for k in range(0, max(1, size - width + stride), stride)]
+    return sorted(set(found))
+
+
 def pieces(word: str) -> list[str]:
-    """Letters of a word, in overlapping pieces of at most WIDTH."""
-    w = _NO_LETTERS.sub("", word)
-    return [w] if len(w) <= WIDTH else [w[k : k + WIDTH] for k in range(0, len(w) - STRIDE, STRIDE)]
+    """START and the letters of a word, in overlapping pieces of at most WIDTH."""
+    w = letters_of(word)
+    return [w[a:b] for a, b in _starts(len(w))]
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -89,115 +119,149 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int, decay: float) -
     return total.astype(np.float64)
 
 
-def _seen(codes: np.ndarray, gap: int = 1) -> np.ndarray:
-    """Which of 256 classes of ordered letter pairs each row holds, with at most `gap` letters between the two."""
-    out = np.zeros((len(codes), 256), np.float32)
-    for step in range(1, gap + 2):
-        row, col = np.nonzero(codes[:, step:])
-        out[row, (codes[row, col] * 37 + codes[row, col + step] * 101) & 255] = 1
-    return out
+@functools.cache
+def _choices(length: int, order: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of `order` letters of a word, and decay to the letters each spans."""
+    at = np.array(list(itertools.combinations(range(length), order)), np.int64).reshape(-1, order)
+    return at, (decay ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
+class Subsequences:
+    """The subsequences of `order` letters that some landmark has, numbered from 1; all others are 0. Letters are digits
+    of a key (0: in no landmark), and keys are looked up directly if the letters are few enough for a table of them."""
+
+    def __init__(self, strings: list[str], order: int, decay: float):
+        codes = _codes(strings)
+        self.letters, self.order, self.decay = np.unique(codes[codes > 0]), order, decay
+        self.base = len(self.letters) + 1
+        keys = [self._keys(c[c > 0][None, :])[0][:, 0] for c in codes]
+        self.found = np.unique(np.concatenate(keys))
+        self.direct = None
+        if self.base**order <= 1 << 24:
+            self.direct = np.zeros(self.base**order, np.int32)
+            self.direct[self.found] = np.arange(1, len(self.found) + 1)
+
+    def _keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(subsequences, rows) keys of rows of codes of one length, and the subsequences' weights."""
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        digits = np.where(self.letters[at] == codes, at + 1, 0).T
+        digits = np.ascontiguousarray(digits, np.int32 if self.base**self.order < 1 << 31 else np.int64)
+        places, weight = _choices(codes.shape[1], self.order, self.decay)
+        key = np.zeros((len(places), len(codes)), digits.dtype)
+        for place in places.T:
+            key *= self.base
+            key += digits[place]
+        return key, weight
+
+    def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, weight = self._keys(codes)
+        if self.direct is not None:
+            return self.direct[key], weight
+        at = np.minimum(np.searchsorted(self.found, key), len(self.found) - 1)
+        return np.where(self.found[at] == key, at + 1, 0), weight
+
+    def sums(self, codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """For rows of codes of one length: of all subsequences, the weight times the number in each of the tables."""
+        out = np.zeros((len(tables), len(codes)), np.float64)
+        for k in range(0, len(codes), 1024):
+            number, weight = self.numbers(codes[k : k + 1024])
+            for row, table in zip(out, tables):
+                row[k : k + 1024] = weight @ table[number]
+        return out
+
+    def profile(self, code: np.ndarray) -> np.ndarray:
+        """One string's own table: the summed weights of each of its subsequences."""
+        number, weight = self.numbers(code[code > 0][None, :])
+        return np.bincount(number[:, 0], weight, len(self.found) + 1).astype(np.float32)
+
+
+def _by_length(strings: list[str], least: int):
+    """(places, codes without padding) of the strings with `least` letters or more, length by length."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    for n in np.unique(size[size >= least]):
+        at = np.flatnonzero(size == n)
+        for k in range(0, len(at), 16384):
+            yield at[k : k + 16384], np.ascontiguousarray(_codes([strings[x] for x in at[k : k + 16384]])[:, :n])
 
 
 class Landmarks:
     def __init__(self, strings: list[str], s: Settings):
         self.strings, self.settings = strings, s
-        self.codes = _codes(strings)
-        self.own = subsequence_kernel(self.codes, self.codes, s.order, s.decay)
-        self.seen = _seen(self.codes, gap=0)
-        # a word without half of a landmark's letter pairs, adjacent or one letter apart, has the value 0 for it
-        self.needed = np.ceil(0.5 * self.seen.sum(axis=1))
-        n = len(strings)
-        i, j = (x.ravel() for x in np.indices((n, n)))
-        gram = (subsequence_kernel(self.codes[i], self.codes[j], s.order, s.decay) / np.sqrt(self.own[i] * self.own[j])).reshape(n, n)
-        value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(n))
-        self.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-
-    def rows(self, strings: list[str]) -> dict[int, np.ndarray]:
-        """For each string that reaches the floor for some landmark: its values."""
-        out: dict[int, np.ndarray] = {}
-        for at in range(0, len(strings), 4096):
-            codes = _codes(strings[at : at + 4096])
-            word, mark = np.nonzero(_seen(codes) @ self.seen.T >= self.needed)
-            order = np.argsort((codes != 0).sum(axis=1)[word], kind="stable")
-            word, mark = word[order], mark[order]
-            for k in range(0, len(word), 2048):
-                w, m = word[k : k + 2048], mark[k : k + 2048]
-                value = np.minimum(subsequence_kernel(codes[w], self.codes[m], self.settings.order, self.settings.decay) / self.own[m], 1)
-                for x, y, v in zip(*(z[value >= self.settings.floor] for z in (w, m, value))):
-                    row = out.setdefault(at + int(x), np.zeros(len(self.strings)))
-                    row[y] = max(row[y], v)
-        return out
+        self.subsequences, codes = Subsequences(strings, s.order, s.decay), _codes(strings)
+        self.own = np.sqrt(subsequence_kernel(codes, codes, s.order, s.decay))
+        self.tables = np.stack([self.subsequences.profile(c) for c in codes]) / self.own[:, None].astype(np.float32)
+        value, vector = np.linalg.eigh(self.values(strings))
+        self.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
 
+    def values(self, strings: list[str]) -> np.ndarray:
+        """Normalised kernel of each string and each landmark; 0 for strings of fewer than `order` letters."""
+        return _normalised(self.subsequences, self.tables, strings)
 
-class Reader:
-    """Values of words, kept for words seen; emptied when full."""
+    def features(self, strings: list[str]) -> np.ndarray:
+        return self.values(strings) @ self.whiten
 
-    def __init__(self, marks: Landmarks, most: int = 300_000):
-        self.marks, self.most = marks, most
-        self.known: set[str] = set()
-        self.hot: dict[str, np.ndarray] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set()
-        for words in texts:
-            new |= set(words) - self.known
-        if len(self.known) + len(new) > self.most:
-            self.known, self.hot = set(), {}
-            new = {w for words in texts for w in words}
-        strings, of = [], []
-        for w in new:
-            for p in pieces(w):
-                if len(p) >= self.marks.settings.order:
-                    strings.append(p)
-                    of.append(w)
-        for k, row in self.marks.rows(strings).items():
-            self.hot[of[k]] = np.maximum(row, self.hot[of[k]]) if of[k] in self.hot else row
-        self.known |= new
-
-    def sentences(self, words: list[str]) -> list[np.ndarray]:
-        """Values of every sentence that has any."""
-        if self.hot.keys().isdisjoint(words):
-            return []
-        out, now = [], None
-        for w in words:
-            if (row := self.hot.get(w)) is not None:
-                now = row if now is None else np.maximum(now, row)
-            if now is not None and w[-1] in ".!?":
-                out.append(now)
-                now = None
-        return out if now is None else [*out, now]
+def _values(subsequences: Subsequences, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(tables, rows) of the tables' sums over each row, divided by the root of its own kernel value."""
+    if codes.shape[1] < subsequences.order:
+        return np.zeros((len(tables), len(codes)))
+    own = [subsequence_kernel(codes[k : k + 2048], codes[k : k + 2048], subsequences.order, subsequences.decay) for k in range(0, len(codes), 2048)]
+    return subsequences.sums(codes, tables) / np.sqrt(np.concatenate(own))
+
+
+def _normalised(subsequences: Subsequences, tables: np.ndarray, strings: list[str]) -> np.ndarray:
+    out = np.zeros((len(strings), len(tables)))
+    for at, codes in _by_length(strings, subsequences.order):
+        out[at] = _values(subsequences, tables, codes).T
+    return out
+
+
+def _texts_once(texts: list[list[str]]) -> list[int]:
+    """Places of texts that are no near copy of an earlier one: of 8 least hashes of their words of 6 letters or more, 4
+    agree for most texts with a similarity of a half."""
+    seen: list[dict[int, list[int]]] = [{} for _ in range(8)]
+    turns = np.random.default_rng(3).integers(1, 1 << 32, 8, np.uint64) | np.uint64(1)
+    out = []
+    for k, words in enumerate(texts):
+        hashes = np.array([zlib.crc32(w.encode()) for w in {w for w in words if len(w) >= 6}], np.uint64)
+        if len(hashes) >= 8:
+            least = ((hashes[:, None] * turns) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
+            agree = Counter(x for found, m in zip(seen, least) for x in found.get(m, ()))
+            if agree and max(agree.values()) >= 4:
+                continue
+            for found, m in zip(seen, least):
+                found.setdefault(m, []).append(k)
+        out.append(k)
+    return out
 
 
 def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, s: Settings) -> list[str]:
-    """Words and their beginnings that are in many toxic texts and hardly any others, each unlike those before it."""
-    counts, copies = (Counter(), Counter()), set()
-    for words, label in zip(texts, toxic):
-        # of texts that share the least hash of their long words, so of most near copies, the first one speaks for all
-        mark = min((zlib.crc32(w.encode()) for w in set(words) if len(w) >= 8), default=None)
-        if mark is not None and mark in copies:
-            continue
-        copies.add(mark)
+    """Words and their beginnings that are in many toxic texts and hardly any others, each unlike those before it. Near
+    copies count once, or scraps of ordinary words in copies of a mislabelled text would look like insults."""
+    counts, used = (Counter(), Counter()), [0, 0]
+    for k in _texts_once(texts):
         found = set()
-        for w in set(words):
-            for p in pieces(w):
-                found.update(p[:n] for n in range(4, min(len(p), 9) + 1))
-        counts[int(label)].update(found)
-    pos, neg = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+        for w in set(texts[k]):
+            p = letters_of(w)
+            found.update(p[:n] for n in range(5, min(len(p), 11) + 1))
+        counts[int(toxic[k])].update(found)
+        used[int(toxic[k])] += 1
+    pos, neg = max(1, used[1]), max(1, used[0])
     worth = {}
     for p, n in counts[1].items():
         if n >= max(3, 0.008 * pos):
             a, b = n / pos, (counts[0][p] + 0.5) / (neg + 1)
             if a > 4 * b:
                 worth[p] = a * np.log(a / b) * (1 + 0.02 * len(p))
-    least = 0.04 * max(worth.values(), default=0)
-    ranked = sorted((p for p in worth if worth[p] >= least), key=lambda p: (-worth[p], p))[: 40 * s.landmarks]
+    least = 0.1 * max(worth.values(), default=0)
+    ranked = sorted((p for p in worth if worth[p] >= least), key=lambda p: (-worth[p], p))[: 20 * s.landmarks]
     chosen: list[str] = []
     if ranked:
         codes = _codes(ranked)
         own = subsequence_kernel(codes, codes, s.order, s.decay)
         free = np.ones(len(ranked), bool)
         for k, p in enumerate(ranked):
-            if free[k] and len(chosen) < s.landmarks and not any(p in q or q in p for q in chosen):
+            if free[k] and len(chosen) < s.landmarks // 2 and not any(p in q or q in p for q in chosen):
                 chosen.append(p)
                 rest = np.flatnonzero(free)
                 near = subsequence_kernel(codes[rest], np.repeat(codes[k : k + 1], len(rest), axis=0), s.order, s.decay) / np.sqrt(own[rest] * own[k])
@@ -205,6 +269,36 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, s: Settings) ->
     return chosen
 
 
+def with_neighbours(chosen: list[str], clean: list[str], s: Settings) -> Landmarks:
+    """Landmarks: the chosen ones and, for each in turn, the clean word nearest to it, up to `landmarks` in all."""
+    value = Landmarks(chosen, s).values(clean)
+    order, more, at = np.argsort(-value, axis=0, kind="stable"), [], 0
+    while len(chosen) + len(more) < s.landmarks and at < min(len(clean), s.landmarks):
+        for word in (clean[k] for k in order[at]):
+            if word not in more and word not in chosen and len(chosen) + len(more) < s.landmarks:
+                more.append(word)
+        at += 1
+    return Landmarks([*chosen, *more], s)
+
+
+def _forms(word: str, count: int) -> list[str]:
+    """The word with one or two letters inserted, with one left out, and as a piece within a longer word."""
+    rnd, out, word = random.Random(zlib.crc32(word.encode())), [], word.removeprefix(START)
+    other = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz")
+    for k in range(count):
+        x = list(word)
+        if k % 4 == 3:
+            out.append((other() + word + other())[:WIDTH])
+            continue
+        if k % 4 == 2 and len(x) > 4:
+            del x[rnd.randrange(len(x))]
+        else:
+            for _ in range(1 + k % 4):
+                x.insert(rnd.randint(1, len(x) - 1), other())
+        out.append(START + "".join(x)[: WIDTH - 1])
+    return out
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
     """Weights and, last, the bias of a linear machine with squared hinge loss, by Newton steps."""
     x = np.c_[x, np.ones(len(x))]
@@ -221,15 +315,16 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> n
     return w
 
 
-def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the sigmoid from margins to probabilities."""
     a, b = 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        v = p * (1 - p) + 1e-9
-        step = np.linalg.solve(np.array([[(v * margin * margin).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]]), g)
+        off, v = weight * (p - target), weight * p * (1 - p) + 1e-9
+        g = np.array([(off * margin).sum() + 1e-3 * a, off.sum()])
+        cross = (v * margin).sum()
+        step = np.linalg.solve(np.array([[(v * margin * margin).sum() + 1e-3, cross], [cross, v.sum() + 1e-6]]), g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
@@ -237,59 +332,133 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
+    """The machine as one table over subsequences; what is sent to executors."""
+
     def __init__(self, marks: Landmarks, weights: np.ndarray, slope: float, offset: float):
-        self.marks, self.slope, self.offset = marks, slope, offset
-        self.linear, self.bias = marks.whiten @ weights[:-1], float(weights[-1])
+        self.subsequences, self.strings, self.slope, self.offset = marks.subsequences, marks.strings, slope, offset
+        self.table = ((marks.whiten @ weights[:-1]) @ marks.tables).astype(np.float32)[None, :]
+        self.bias = float(weights[-1])
+
+    def margins_of_words(self, words: list[str]) -> np.ndarray:
+        """The greatest margin of each word's pieces; words begin with START."""
+        size, out = np.fromiter(map(len, words), np.int64, len(words)), np.full(len(words), self.bias)
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            step = max(1, 500_000 // int(n))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                codes = np.array([words[x] for x in part], f"U{n}").view(np.uint32).reshape(len(part), n)
+                for a, b in _starts(int(n)):
+                    out[part] = np.maximum(out[part], _values(self.subsequences, self.table, np.ascontiguousarray(codes[:, a:b]))[0] + self.bias)
+        return out
 
-    def margin(self, sentences: list[np.ndarray]) -> float:
-        return max([self.bias, *(float(r @ self.linear) + self.bias for r in sentences)])
+    def score(self, margin: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -700, 700))))
+
+
+class Reader:
+    """Margins of words, kept for words seen; emptied when full."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        self.model, self.most = model, most
+        self.known: dict[str, float] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        new = {w for words in texts for w in words} - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known = {}
+            new = {w for words in texts for w in words}
+        new = list(new)
+        best = self.model.margins_of_words(list(map(letters_of, new)))
+        self.known.update(zip(new, best.tolist()))
 
-    def score(self, sentences: list[np.ndarray]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(sentences) + self.offset, -700, 700))))
+    def score(self, words: list[str]) -> float:
+        """Of a text whose words are known: that of its most toxic word, so of its most toxic sentence."""
+        return self.model.score(max(map(self.known.__getitem__, words), default=self.model.bias))
 
 
-def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), share: float | None = None) -> Model | None:
-    """share: of toxic texts among all labelled ones, where the sample's own differs. Of a bounded sample in memory; None without texts of both kinds or without anything that sets them apart."""
+def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model | None:
+    """Of a bounded sample in memory; None without texts of both kinds or without anything that sets them apart."""
     toxic = np.array(labels, int) == 1
     words = [words_of(t) for t in texts]
-    strings = choose_landmarks(words, toxic, s) if toxic.any() and not toxic.all() else []
-    if not strings:
+    chosen = choose_landmarks(words, toxic, s) if toxic.any() and not toxic.all() else []
+    if not chosen:
         return None
-    marks = Landmarks(strings, s)
-    reader = Reader(marks, most=1 << 40)
-    reader.learn(words)
-    bags = [np.array(reader.sentences(w)) @ marks.whiten if reader.sentences(w) else np.zeros((1, len(strings))) for w in words]
-    clean = np.concatenate([b for b, t in zip(bags, toxic) if not t])
-    chosen = [b[np.argmax((b**2).sum(axis=1))] for b, t in zip(bags, toxic) if t]
+    bags = [sorted({p for w in set(bag) for p in pieces(w) if len(p) >= s.order}) for bag in words]
+    strings = sorted({p for bag in bags for p in bag})
+    number = {p: k for k, p in enumerate(strings)}
+    bags = [np.fromiter((number[p] for p in bag), np.int64, len(bag)) for bag in bags]
+    often = np.zeros(len(strings))
+    for bag, t in zip(bags, toxic):
+        often[bag] += not t
+    clean = np.flatnonzero(often)
+    marks = with_neighbours(chosen, [strings[k] for k in clean if not any(c in strings[k] for c in chosen)], s)
+    values = marks.values(strings)
+    x, near = values @ marks.whiten, values[:, : len(chosen)]
+    kind, most = near.argmax(axis=1), near.max(axis=1)
+    # the examples of a toxic text: what comes nearest to each of the chosen landmarks that it holds, else its most toxic
+    # word, at first that nearest to any, then that of the machine
+    bad = [bag for bag, t in zip(bags, toxic) if t and len(bag)]
+    held = []
+    for bag in bad:
+        best: dict[int, int] = {}
+        for k in bag[most[bag] >= HELD].tolist():
+            if kind[k] not in best or most[k] > most[best[kind[k]]]:
+                best[kind[k]] = k
+        held.append(list(best.values()))
+    found = [bag[np.argmax(most[bag])] for bag in bad]
     for _ in range(s.rounds):
-        # values fall to GAPPED or above when a letter is inserted: such forms of the toxic examples are examples too
-        x = np.concatenate([clean, np.array(chosen), GAPPED * np.array(chosen)])
-        y = np.r_[-np.ones(len(clean)), np.ones(2 * len(chosen))]
-        # the two kinds weigh as their texts do, however many sentences each clean text brings
-        weights = _machine(x, y, np.where(y > 0, 0.5, len(chosen) / len(clean)), s.cost)
-        new = [b[np.argmax(b @ weights[:-1])] for b, t in zip(bags, toxic) if t]
-        if all(np.array_equal(a, b) for a, b in zip(new, chosen)):
+        count: Counter = Counter()
+        for own, other in zip(held, found):
+            for k in own or [other]:
+                count[k] += 1 / len(own or [other])
+        plain, weight = list(count), np.array(list(count.values()))
+        forms = [(f, w / s.forms) for c, w in zip(chosen, near[plain].T @ weight) for f in _forms(c, 4 * s.forms)]
+        more = marks.features([f for f, _ in forms])
+        examples = np.concatenate([x[clean], x[plain], more])
+        y = np.r_[-np.ones(len(clean)), np.ones(len(plain) + len(more))]
+        # a word of clean texts weighs as their number, all examples of a toxic text as one
+        weights = _machine(examples, y, np.r_[often[clean], weight, [w for _, w in forms]] / len(bad), s.cost)
+        margin = x @ weights[:-1]
+        new = [bag[np.argmax(margin[bag])] for bag in bad]
+        if new == found:
             break
-        chosen = new
-    margins = np.array([max(float((b @ weights[:-1]).max()), 0.0) + weights[-1] for b in bags])
-    slope, offset = _calibrate(margins, toxic.astype(float))
-    if share:
-        offset += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
+        found = new
+    # altered forms count as much as the toxic texts: the threshold lies between them and what clean texts hold
+    margins = np.r_[[margin[bag].max(initial=0.0) for bag in bags], more @ weights[:-1]] + weights[-1]
+    kinds = np.r_[toxic, np.ones(len(more))]
+    share = s.clean_weight * len(kinds)
+    each = np.where(kinds > 0, (len(kinds) - share) / 2, share / (~toxic).sum())
+    each[: len(toxic)][toxic] /= toxic.sum()
+    each[len(toxic) :] /= max(1, len(more))
+    slope, offset = _calibrate(margins, kinds, each)
+    # an even score needs at least half the margin that toxic examples are trained to have
+    offset = min(offset, -0.5 * slope)
     return Model(marks, weights, slope, float(offset))
 
 
-def sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text", train: str | None = None) -> tuple[list, list, float | None]:
-    """Texts and labels, and the share of toxic ones among all labelled rows, of at most max_per_class labelled rows of each class, by order of a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text", train: str | None = None) -> tuple[list, list]:
+    """Texts and labels of at most max_per_class labelled rows of each class, by order of a hash of the id, as long as they
+    stay below max_bytes. Of repeated ids one text counts (the least), and with labels of both kinds it is toxic."""
     rows = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    rows = rows.groupBy("i").agg(F.max("y").alias("y"))
     if train:
         rows = rows.where(train)
     ids = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(s.max_per_class) for y in (0, 1)]
     few = F.broadcast(ids[0].unionAll(ids[1]))  # at most two times max_per_class ids
-    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
-    found = texts.join(few, F.col("d") == F.col("i")).select("t", "y").limit(4 * s.max_per_class).collect()
-    found.sort(key=lambda r: (r[1], r[0] or ""))
-    share = rows.agg(F.avg("y")).first()[0]
-    return [r[0] for r in found], [r[1] for r in found], share
+    texts = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    found = stash(texts.join(few, F.col("d") == F.col("i")).groupBy("i", "y").agg(F.min("t").alias("t")))
+    sizes = found.select("i", "y", F.xxhash64("i").alias("h"), F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).collect()
+    held, kept = [0, 0], []
+    for i, y, _, n in sorted(sizes, key=lambda r: (r[2], str(r[0]))):
+        if held[y] + n <= s.max_bytes // 2:
+            held[y] += n
+            kept.append((i,))
+    if len(kept) < len(sizes):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(kept, found.select("i").schema)), "i")
+    out = sorted(((r[0] or "", r[1]) for r in found.select("t", "y").collect()), key=lambda r: (r[1], r[0]))
+    discard(found)
+    return [t for t, _ in out], [y for _, y in out]
 
 
 _TRAIN = "crc32(encode(cast(i as string), 'UTF-8')) % 5 <> 0"
@@ -297,19 +466,18 @@ _TRAIN = "crc32(encode(cast(i as string), 'UTF-8')) % 5 <> 0"
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """Fitted on labelled rows of which crc32 of the id as text modulo 5 is not 0."""
-    texts, y, share = sample(docs, labels, s, train=_TRAIN)
-    return fit(texts, y, s, share)
+    return fit(*sample(docs, labels, s, train=_TRAIN), s)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column score_col (double) behind the others."""
     small_batches(docs.sparkSession)
-    out, at = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]), docs.columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: their number is a setting
+    out, at = T.StructType([*docs.schema.fields, T.StructField(column_name(docs, score_col), T.DoubleType())]), docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of bounded size, by the settings
 
     def run(batches):
         fitted = sent.value
-        reader = Reader(fitted.marks) if fitted else None
+        reader = Reader(fitted) if fitted else None
         for big in batches:
             for k in range(0, big.num_rows, 128):
                 batch = big.slice(k, 128)
@@ -318,7 +486,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
                 else:
                     words = [words_of(t) for t in batch.column(at).to_pylist()]
                     reader.learn(words)
-                    scores = [fitted.score(reader.sentences(w)) for w in words]
+                    scores = [reader.score(w) for w in words]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=out.names)
 
     return docs.mapInArrow(run, out)

@@ -49,10 +49,10 @@ def model():
 
 
 def score(model, text):
-    reader = T.Reader(model.marks)
+    reader = T.Reader(model)
     words = T.words_of(text)
     reader.learn([words])
-    return model.score(reader.sentences(words))
+    return reader.score(words)
 
 
 def test_held_out_accuracy(model):
@@ -98,3 +98,37 @@ def test_screen_keeps_columns(spark, model):
     df = clash(plain(spark, ["you moron", "the tin", None]), "_toxicity", "score")
     assert sorted(r.doc_id for r in T.screen(df, model).collect()) == [1, 2] and T.screen(df, model).columns == df.columns
     assert T.score(plain(spark, []), model).count() == 0
+
+
+def test_scores_are_nystroem_values_of_the_kernel(model):
+    """Features by hand: values of all pairs by enumeration, the inverse root of the landmarks' matrix, the best piece."""
+    s = T.Settings()
+    value = lambda a, b: brute_kernel(a, b, s.order, s.decay) / np.sqrt(brute_kernel(a, a, s.order, s.decay) * brute_kernel(b, b, s.order, s.decay))
+    marks = T.Landmarks(["^moron", "^stupi", "^anthe", "^enti"], s)
+    gram = np.array([[value(a, b) for b in marks.strings] for a in marks.strings])
+    values, vectors = np.linalg.eigh(gram)
+    weights, bias = np.array([1.0, 0.5, -0.25, 0.125]), -0.3
+    m = T.Model(marks, np.r_[weights, bias], 2.0, 0.1)
+    for text in ["moron", "the moxrxon is", "anthear stup", "m-o-r-o-n", "arenistimoronthe", "zzz qq", "an"]:
+        pieces = [p for w in T.words_of(text) for p in T.pieces(w) if len(p) >= s.order]
+        features = [np.array([value(p, q) for q in marks.strings]) @ vectors @ np.diag(values**-0.5) @ vectors.T for p in pieces]
+        want = 1 / (1 + np.exp(-(2.0 * max([bias, *(f @ weights + bias for f in features)]) + 0.1)))
+        assert abs(score(m, text) - want) < 1e-5, text
+
+
+def test_letters_inserted_and_left_out(model):
+    """Five letters, two more inserted or one left out: values fall but are not lost."""
+    caught = [score(model, f"the {w} is") >= 0.5 for w in ("moxrxon", "mzoqron", "morxoxn", "mron", "moro", "moon", "moroxn", "xmoron")]
+    assert all(caught), caught
+
+
+def test_stems_with_endings_are_landmarks(model):
+    assert any(x.startswith("^lowe") for x in model.strings) and score(model, "loweitharen") >= 0.5
+    assert all(x.startswith(T.START) for x in model.strings[:4])
+
+
+def test_repeated_ids_and_long_texts_in_the_sample(spark):
+    df = docs(spark, [(1, "b", "en", "s", 1), (1, "a", "en", "s", 1), (2, "c" * 100, "en", "s", 1), (3, None, "en", "s", 1)])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert T.sample(df, labels, T.Settings()) == (["", "c" * 100, "a"], [0, 0, 1])
+    assert T.sample(df, labels, T.Settings(max_bytes=100)) == (["", "a"], [0, 1])
