@@ -65,3 +65,11 @@ def test_odd_rows_and_query(spark, tmp_path):
     assert (near.n_links == 2).all() and (near.component_id == 30).all() and near.kept.sum() == 1
     assert (out[out.vec_id == 40].n_links == 1).all()
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_id_of_several_vectors_links_its_classes(spark):
+    """Two different vectors under one id, linked with each other and with others: counts are those of vectors."""
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.1, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.05, 0.0], 1), (3, [0.0, 1.0, 0.05], 1), (4, [0.0, 0.0, -1.0], 1)]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
