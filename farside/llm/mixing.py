@@ -6,13 +6,14 @@ and the shares add up to one, so every deadline is met and after any number of s
 its target. Weights are whole numbers, so the schedule repeats after as many slots as they add up to: the driver works out
 that one period, whose length is a parameter's sum, and every row finds its slot from its own rank.
 
-Ranks come without a task that holds a whole source: rows are dealt by source and the leading digits of a hash, ranked
-there, and moved up by the number of rows in earlier cells.
+Ranks come without a task that holds a whole source: rows are dealt by source and the leading digits of a hash, as many as
+keep a cell below about CELL rows, ranked there, and moved up by the number of rows in earlier cells.
 
 Where a source ends its later slots stay empty, and the others go on in the same proportions. No row is dropped.
 
 Defined results: a null source is a source of its own; a source without a weight has the default weight, and sources with
-weights but no rows take no slots; null ids rank last within their cell by text; repeated rows follow each other; an empty table gives an
+weights but no rows take no slots; more than MAX_SOURCES sources are refused with a ValueError; null ids rank last, among
+themselves by text; texts are only hashed, whatever their length; repeated rows follow each other; an empty table gives an
 empty result; other columns are kept, and a clash of names with the new ones is avoided by leading underscores.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .util import column_name
 
-DIGITS, MAX_SOURCES = 3, 100_000
+DIGITS, CELL, MAX_SOURCES = 3, 20_000, 100_000
 #: Production parameters of the query and the pipeline's stage.
 WEIGHTS, DEFAULT, BLOCK = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2}, 1, 16
 NO_SOURCE = "\u0000"
@@ -51,17 +52,21 @@ def period(weights: dict[str, int]) -> list[str]:
 def ranked(docs: DataFrame, source: str, rank: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
     """docs with the source (null made NO_SOURCE) and the row's rank in it, counted from 0 by a hash of the id. hash_col:
     XXH64 of the text, for rows that have it in place of the text."""
-    h = column_name(docs, "_hash")
-    name = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("null"))
-    cell = F.substring(F.col(h), 1, DIGITS)
-    rows = docs.withColumn(source, name).withColumn(h, digest)
-    counts = docs.select(name.alias(source), digest.alias(h)).groupBy(source, cell.alias("_cell")).count()
-    before = counts.select(F.col(source).alias("_s"), "_cell", (F.sum("count").over(Window.partitionBy(source).orderBy("_cell")) - F.col("count")).alias("_before"))
-    own = Window.partitionBy(source, "_cell").orderBy(h, id_col, F.col(hash_col) if hash_col else F.xxhash64(F.col(text_col)))
-    dealt = rows.withColumn("_cell", cell).withColumn("_in", F.row_number().over(own) - 1).alias("r")
-    out = dealt.join(before.alias("b"), (F.col(f"r.{source}") == F.col("b._s")) & (F.col("r._cell") == F.col("b._cell")))
-    return out.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.col(f"r.{source}"), (F.col("_in") + F.col("_before")).alias(rank))
+    h, in_cell, place = (column_name(docs, c) for c in ("_hash", "_cell", "_in"))
+    its_source, its_cell, before = (column_name(docs, c) for c in ("_cell_source", "_cell_of", "_before"))
+    name = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE))
+    digest = F.coalesce(F.md5(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit("null"))
+    n, digits = docs.count(), DIGITS
+    while CELL * 16**digits < n and digits < 8:
+        digits += 1
+    cell = F.substring(digest, 1, digits)
+    counts = docs.select(name.alias("s"), cell.alias("c")).groupBy("s", "c").count()
+    earlier = counts.select(F.col("s").alias(its_source), F.col("c").alias(its_cell), (F.sum("count").over(Window.partitionBy("s").orderBy("c")) - F.col("count")).alias(before))
+    rows = docs.withColumn(source, name).withColumn(h, digest).withColumn(in_cell, cell)
+    own = Window.partitionBy(source, in_cell).orderBy(h, F.col(f"`{id_col}`"), F.col(hash_col) if hash_col else F.xxhash64(F.col(f"`{text_col}`")))
+    dealt = rows.withColumn(place, F.row_number().over(own) - 1)
+    out = dealt.join(earlier, (F.col(source) == F.col(its_source)) & (F.col(in_cell) == F.col(its_cell)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], source, (F.col(place) + F.col(before)).alias(rank))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
@@ -70,7 +75,8 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     spark = docs.sparkSession
     if any(not isinstance(w, int) or w < 1 for w in [*weights.values(), default]) or block < 1:
         raise ValueError("weights and the block size are whole numbers from 1")
-    present = [r[0] for r in docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("s")).distinct().limit(MAX_SOURCES + 1).collect()]
+    all_sources = docs.select(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("s")).distinct()
+    present = [r[0] for r in all_sources.limit(MAX_SOURCES + 1).collect()]
     if len(present) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
     own = {s: weights.get(s, default) for s in present}
@@ -78,14 +84,16 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     for at, s in enumerate(period(own)):
         slots.append((s, own[s], seen[s], at))
         seen[s] += 1
-    plan = F.broadcast(spark.createDataFrame(slots, "_s string, _w int, _k int, _at int"))  # as long as one period
     source, rank = column_name(docs, "_source"), column_name(docs, "source_rank")
     names = [column_name(docs, c) for c in ("block", "slot", "position")]
+    its, share, turn, of, at = (column_name(docs, c) for c in ("_plan_source", "_plan_weight", "_plan_turn", "_turn", "_at"))
+    # one row for each slot of a period, and so one for each source and turn
+    plan = F.broadcast(spark.createDataFrame(slots, "s string, w int, k int, at int").toDF(its, share, turn, at))
+    weight = F.broadcast(spark.createDataFrame(list(own.items()), "s string, w int").toDF(its, share))
     rows = ranked(docs, source, rank, id_col, source_col, text_col, hash_col).withColumn(names[0], F.floor(F.col(rank) / block).cast("long"))
-    weight = F.broadcast(spark.createDataFrame(list(own.items()), "_n string, _of int"))
-    rows = rows.join(weight, F.col(source) == F.col("_n")).withColumn("_turn", F.col(names[0]) % F.col("_of"))
-    rows = rows.join(plan, (F.col(source) == F.col("_s")) & (F.col("_turn") == F.col("_k")))
-    rows = rows.withColumn(names[1], F.floor(F.col(names[0]) / F.col("_of")).cast("long") * total + F.col("_at"))
+    rows = rows.join(weight, F.col(source) == F.col(its)).withColumn(of, F.col(names[0]) % F.col(share)).drop(its)
+    rows = rows.join(plan.drop(share), (F.col(source) == F.col(its)) & (F.col(of) == F.col(turn)))
+    rows = rows.withColumn(names[1], F.floor(F.col(names[0]) / F.col(share)).cast("long") * total + F.col(at))
     rows = rows.withColumn(names[2], F.col(names[1]) * block + F.col(rank) % block)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], rank, *names)
 
