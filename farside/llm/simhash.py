@@ -5,7 +5,7 @@ the blocks. Every choice of blocks that may agree becomes a join key, fingerprin
 sorted rows, and their Hamming distance is verified there. Found links are handed on as spanning stars, never as all
 pairs, and a distributed union-find turns them into classes.
 
-Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
+Defined results: null text counts as empty; texts of any length are read whole; a text without words has fingerprint zero and is linked like any other;
 repeated rows share their class; a null id never becomes a class id unless its whole class has none; an empty table gives
 an empty result; other columns are ignored by fingerprints() and link() and kept by dedup().
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingled
-from .util import column_name, components, forest, small_batches, stash
+from .util import column_name, components, forest, hot_join, small_batches, stash
 
 SEED, WORDS = 42, 3
 _LANES = np.uint64(0x0101010101010101)
@@ -175,10 +175,12 @@ def _rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, component_id) of stored fingerprints: component_id is the smallest doc_id reachable over links. A
+    fingerprint that many rows share (empty texts, mass copies) is looked up apart from the others."""
     roots = rooted(fps, n_blocks, max_bits)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = stash(roots.join(least, "root").select("fp", "component_id"))
+    return hot_join(fps, found, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
