@@ -6,7 +6,8 @@ as 16-bit PCM in a RIFF container.
 
 Defined results of to_pcm(): null media gives null columns; a container that cannot be read gives nulls and its reason in
 `error`; no samples give an empty container; a last ADPCM block that is too short for its header is left out, a shorter
-one with a header is decoded as far as it goes; repeated rows repeat; other columns are kept.
+one with a header is decoded as far as it goes; media of any length are decoded whole, in memory in proportion to one row;
+repeated rows repeat; an empty table gives an empty result; other columns are kept.
 Of op9_audio(): null text counts as empty, and so is stored as one padded frame of 576 bytes.
 """
 

@@ -111,3 +111,22 @@ def test_numbers_abroad_are_replaced_to_their_last_digit(spark):
     assert list(out.n_phone) == [1] * len(texts) and out.text.nunique() == len(texts)
     card = run(spark, ["+44 20 7946 0958 4111 1111 1111 1111", "+12 3 4"])
     assert list(card.n_phone) == [1, 0] and "0958" not in card.text[0] and card.text[1] == "+12 3 4"
+
+
+def test_feistel_against_a_slow_network(spark):
+    """The permutation of pairs by plain integers and hashlib."""
+    import hashlib
+
+    def slow(left, right, a, b, domain, key):
+        for k in range(pii.ROUNDS):
+            mix = lambda half: int(hashlib.sha256(f"{key}|{domain}|{k}|{half}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+            if k % 2 == 0:
+                left = (left + mix(right) % a) % a
+            else:
+                right = (right + mix(left) % b) % b
+        return left, right
+
+    for a, b in ((7, 11), (65536, 65536), (898, 99 * 9999)):
+        df = spark.createDataFrame([(k * 7919 % a, k * 104729 % b) for k in range(60)], "x long, y long")
+        got = df.select("x", "y", pii.feistel(F.col("x"), F.col("y"), a, b, "some", "key").alias("p")).collect()
+        assert all((r.p.l, r.p.r) == slow(r.x, r.y, a, b, "some", "key") for r in got)
