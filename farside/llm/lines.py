@@ -388,14 +388,25 @@ def _rest(text, removed: str):
     return F.when(gone.isNull(), text.cast("string")).otherwise(rest[0])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with one line of each component left, where it comes first."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **settings) -> DataFrame:
+    """docs with one line of each component left, where it comes first. drop_emptied: without the documents that lost
+    lines and have only white space left."""
     out, removed = marked(docs, id_col, text_col, **settings)
-    return out.select(*[_rest(F.col(f"`{c}`"), removed).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    rest = _rest(F.col(f"`{text_col}`"), removed)
+    if drop_emptied:
+        out = out.where(F.col(removed).isNull() | rest.rlike(r"[^\s]"))
+    return out.select(*[rest.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Of every document: its lines, those removed, and the digest of the rest."""
     rows, removed = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(removed).isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"), F.coalesce(F.col(removed), F.array().cast("array<int>")).alias("removed"), F.sha2(F.coalesce(_rest(F.col("text"), removed), F.lit("")), 256).alias("kept_sha256"))
+    gone, none = F.col(removed), F.col(removed).isNull()
+    return rows.select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.coalesce(gone, F.array().cast("array<int>")).alias("removed"),
+        F.sha2(F.coalesce(_rest(F.col("text"), removed), F.lit("")), 256).alias("kept_sha256"),
+    )

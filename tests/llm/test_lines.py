@@ -112,3 +112,8 @@ def test_repeated_rows_keep_one_copy(spark):
     rows = [(1, "a line that stands here\nb", "en", "s", k) for k in range(5)] + [(None, "a row without an id\nb", "en", "s", 0)] * 3 + [(2, "a line that stands here\nof its own", "en", "s", 0)]
     out = [(r.doc_id, r.text) for r in L.dedup(docs(spark, rows).repartition(3)).collect()]
     assert sorted(out, key=str) == sorted([(1, "a line that stands here")] + [(1, "")] * 4 + [(None, "a row without an id\nb")] + [(None, "")] * 2 + [(2, "of its own")], key=str)
+
+
+def test_emptied_documents_can_go(spark):
+    rows = [(1, "a line that stands here", "en", "s", 1), (2, "a line that stands here\n ", "en", "s", 1), (3, " \n", "en", "s", 1), (4, None, "en", "s", 1)]
+    assert {r.doc_id for r in L.dedup(docs(spark, rows), drop_emptied=True).collect()} == {1, 3, 4}
