@@ -1,13 +1,16 @@
 """Stages and the whole pipeline on a small corpus."""
 
 import hashlib
+import itertools
 import random
+import zlib
 
 import corpus_pipeline
-from common import ODD, directory, docs, frame
+from common import ODD, directory, docs, frame, smallest
+from test_lines import brute as brute_lines
 from tokenizers import Tokenizer
 
-from farside.llm import bpe, mixing
+from farside.llm import bpe, mixing, simhash, toxicity
 
 
 def made(rnd):
@@ -63,3 +66,60 @@ def test_mixed_order_reaches_the_result(spark, tmp_path):
     want = [(r.doc_id, hashed(r.text), r.slot, r.position) for r in mixing.mix(docs(spark, rows)).orderBy("position").collect()]
     assert [(r.doc_id, r.decoded_sha256, r.slot, r.position) for r in out] == want
     assert [r.source for r in out[:48]] == ["src0"] * 16 + [out[16].source] * 16 + [out[32].source] * 16 and {r.source for r in out[:112]} == {"src0", "src1", "src2"}
+
+
+def slow(rows, labels):
+    """All stages one after the other, in plain Python, over all pairs: [(doc_id, n_tokens, digest, slot, position)]."""
+    texts = {i: t for i, t, *_ in rows}
+    known = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5]
+    found = sorted(((texts[i], y) for i, y in known), key=lambda r: (r[1], r[0]))
+    reader = toxicity.Reader(toxicity.fit([t for t, _ in found], [y for _, y in found]))
+    for i in list(texts):
+        words = toxicity.words_of(texts[i])
+        reader.learn([words])
+        if reader.score(words) >= 0.5:
+            del texts[i]
+    gone, _ = brute_lines(sorted(texts.items()))
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+    texts = {i: t for i, t in left.items() if t.strip() or t == texts[i]}
+    split = {i: t.encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    near = []
+    for a, b in itertools.combinations(texts, 2):
+        both = len(sets[a] & sets[b])
+        if (prints[a] ^ prints[b]).bit_count() <= 2 or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            near.append((a, b))
+    keep = set(smallest(near, list(texts)).values())
+    source = {i: s for i, _, _, s, _ in rows}
+    weights = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT) for s in {source[i] for i in keep}}
+    plan, out = mixing.period(weights), []
+    turns = {s: [at for at, x in enumerate(plan) if x == s] for s in weights}
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    for s, w in weights.items():
+        own = sorted((i for i in keep if source[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        for rank, i in enumerate(own):
+            block = rank // mixing.BLOCK
+            slot = block // w * len(plan) + turns[s][block % w]
+            ids = tokenizer.encode(texts[i], add_special_tokens=False).ids
+            out.append((i, len(ids), hashlib.sha256(texts[i].encode()).hexdigest(), slot, slot * mixing.BLOCK + rank % mixing.BLOCK))
+    return sorted(out, key=lambda r: r[-1]), near
+
+
+def test_like_a_slow_pipeline(spark, tmp_path):
+    rows, labels = made(random.Random(11))
+    rnd = random.Random(12)
+    shared = "a notice that stands in many of these texts " * 3
+    long = [f"{' '.join(rnd.choice('abcdefghijklm') * rnd.randint(2, 9) + str(rnd.randint(0, 99)) for _ in range(120))}" for _ in range(25)]
+    more = [(3000 + k, f"{t}\n{shared}{k % 2}", "en", f"src{k % 4}", 1) for k, t in enumerate(long)]
+    # lines that are near copies go; texts whose words are broken into other lines are near copies as wholes
+    more += [(3100 + k, t.replace(" ", "\n", 60).replace("\n", " ", 57), "en", "src1", 1) for k, t in enumerate(long[:12])]
+    more += [(3200 + k, " ".join(t.split()[:118]) + " new end", "en", "src2", 1) for k, t in enumerate(long[12:18])]
+    rows = rows[:250] + rows[600:] + more
+    rows = list({r[0]: r for r in rows}.values())
+    labels = [x for x in labels if x[0] < 250]
+    d = directory(tmp_path, documents=docs(spark, rows).repartition(4), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want, near = slow(rows, labels)
+    got = [(r.doc_id, r.n_tokens, r.decoded_sha256, r.slot, r.position) for r in corpus_pipeline.run(spark, d).collect()]
+    assert len(near) > 5 and len(want) < len(rows) - 60
+    assert got == want
