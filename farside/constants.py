@@ -35,6 +35,15 @@ class Observation:
         return math.pi - math.asin(MOON_RADIUS / (MOON_RADIUS + ALTITUDE))
 
 
+def settings(observation: Observation, nside: int) -> list[tuple[str, float]]:
+    """Names and values that a job logs before it starts."""
+    blind = math.pi - observation.open_angle
+    return [
+        ("nside", float(nside)), ("npix", float(nside_to_npix(nside))), ("resolution_degrees", resolution_degrees(nside)),
+        ("theta", blind), ("phi", observation.open_angle), ("wavelength", observation.wavelength), ("shells", float(observation.shells)),
+    ]
+
+
 def nside_to_npix(nside: int) -> int:
     return 12 * nside * nside
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 Pair = tuple[Column, Column]
 
 
-def cexp(a: Pair) -> Pair:
-    size = F.exp(a[0])
-    return size * F.cos(a[1]), size * F.sin(a[1])
-
-
 def turn(angle: Column) -> Pair:
     """exp(i * angle)."""
     return F.cos(angle), F.sin(angle)
 
 
+def cexp(a: Pair) -> Pair:
+    """exp of a complex number."""
+    size, (c, s) = F.exp(a[0]), turn(a[1])
+    return size * c, size * s
+
+
 def cmul(a: Pair, b: Pair) -> Pair:
     return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.complex import norm3, ratio
+from ..functions.complex import conj, norm3, ratio
 
 POSITIONS = ("x1", "y1", "z1", "x2", "y2", "z2")
 
@@ -24,8 +24,23 @@ def zipped(uvw: DataFrame, first: DataFrame, second: DataFrame, length: DataFram
 
 def first_half(baselines: DataFrame) -> DataFrame:
     """Of each day's n rows (rn from 0) the first n div 2, as bid."""
-    n = F.count("*").over(Window.partitionBy("day"))
-    return baselines.withColumn("_n", n).where("rn < _n div 2").drop("_n").withColumnRenamed("rn", "bid")
+    return _counted(baselines).where("rn < _n div 2").drop("_n").withColumnRenamed("rn", "bid")
+
+
+def _counted(baselines: DataFrame) -> DataFrame:
+    """baselines with _n, the rows of their day: counted first, as a day may have more rows than one task should hold."""
+    return baselines.join(F.broadcast(baselines.groupBy("day").agg(F.count("*").alias("_n"))), "day")  # one row for each day
+
+
+def with_conjugates(baselines: DataFrame, viss: DataFrame) -> DataFrame:
+    """All rows of each day (rn from 0) with re, im: the first n div 2 those of viss (bid is rn), the next as many their
+    conjugates in the same order, an odd last one 0."""
+    half = F.expr("_n div 2")
+    rows = _counted(baselines).withColumn("bid", F.when(F.col("rn") < half, F.col("rn")).when(F.col("rn") < 2 * half, F.col("rn") - half))
+    _, im = conj((F.col("re"), F.col("im")))
+    second = F.col("rn") >= half
+    both = rows.join(viss.select("day", "bid", "re", "im"), ["day", "bid"], "left")
+    return both.withColumns({"re": F.coalesce("re", F.lit(0.0)), "im": F.coalesce(F.when(second, im).otherwise(F.col("im")), F.lit(0.0))}).drop("bid", "_n")
 
 
 def mirrored(half: DataFrame) -> DataFrame:

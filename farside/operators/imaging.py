@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import Observation
+from ..functions.complex import cmul, turn
 from ..plans.staging import stash
 from .baselines import with_directions
 from .visibility import hidden, pairs
@@ -22,13 +23,14 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
         columns += [f"{a}{k}" for k in "12" for a in "abc"]
     few = stash(baselines.select(*columns))
     sky = sky.select("ipix", "l", "m", "n")
-    both = pairs(sky, sky.count(), few, few.count())
+    # blocks of one or two days: a task's sums are then of so many days and not of all
+    both = pairs(sky, sky.count(), few, few.count(), order=("day", "u"))
     if masked:
         both = both.where(~hidden(observation))
     phase = 2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * F.col("n"))
-    c, s = F.cos(phase), F.sin(phase)
-    real = F.sum(F.col("wt") * (F.col("re") * c - F.col("im") * s))
-    found = both.groupBy("day", "ipix").agg(*([(2 * real).alias("c_re")] if hermitian else [real.alias("c_re"), F.sum(F.col("wt") * (F.col("re") * s + F.col("im") * c)).alias("c_im")]))
+    re, im = cmul((F.col("re"), F.col("im")), turn(phase))
+    real, imaginary = F.sum(F.col("wt") * re), F.sum(F.col("wt") * im)
+    found = both.groupBy("day", "ipix").agg(*([(2 * real).alias("c_re")] if hermitian else [real.alias("c_re"), imaginary.alias("c_im")]))
     found = found.withColumn("c_im", F.lit(0.0)) if hermitian else found
     if not masked:
         return found
@@ -38,6 +40,11 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
     return every.join(found, ["day", "ipix"], "left").select("day", "ipix", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("c_re", "c_im")))
 
 
+def map_rows(sums: DataFrame) -> DataFrame:
+    """(ipix, c) in the order of the pixels, as a map's plot takes its values."""
+    return sums.select("ipix", "c").orderBy("ipix")
+
+
 def total(images: DataFrame) -> DataFrame:
     """(ipix, c): the days' real parts summed, NaN as 0."""
     return images.groupBy("ipix").agg(F.sum(F.nanvl("c_re", F.lit(0.0))).alias("c"))

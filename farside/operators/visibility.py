@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import Observation
-from ..functions.complex import turn
+from ..functions.complex import cmul, turn
 from ..plans.staging import stash
 from .baselines import with_directions
 
@@ -29,12 +29,14 @@ def spread(df: DataFrame, rows: int, per_task: int = 256) -> DataFrame:
     return df.repartition(max(1, min(-(-rows // 8), max(2 * cores, -(-rows // per_task)))))
 
 
-def pairs(many: DataFrame, n_many: int, few: DataFrame, n_few: int, row_bytes: int = 128) -> DataFrame:
-    """The cross product of two materialised tables whose row counts are known."""
+def pairs(many: DataFrame, n_many: int, few: DataFrame, n_few: int, row_bytes: int = 128, order: tuple[str, ...] = ()) -> DataFrame:
+    """The cross product of two materialised tables whose row counts are known. order: columns of the few to cut their
+    blocks by, so that a block holds few values of the first one."""
     if n_few * row_bytes <= BROADCAST_BYTES:
         return spread(many, n_many).crossJoin(F.broadcast(few))
     blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
-    return many.repartition(blocks(n_many)).hint("shuffle_replicate_nl").crossJoin(few.repartition(blocks(n_few)))
+    cut = few.repartitionByRange(blocks(n_few), *order) if order else few.repartition(blocks(n_few))
+    return many.repartition(blocks(n_many)).hint("shuffle_replicate_nl").crossJoin(cut)
 
 
 def cosine(k: str) -> Column:
@@ -71,5 +73,5 @@ def forward(half: DataFrame, sky: DataFrame, observation: Observation, masked: b
 
 def rephased(viss: DataFrame) -> DataFrame:
     """re, im times exp(-2 pi i w): takes the 1 out of n - 1."""
-    c, s = turn(2 * math.pi * F.col("w"))
-    return viss.withColumns({"re": F.col("re") * c + F.col("im") * s, "im": F.col("im") * c - F.col("re") * s})
+    re, im = cmul((F.col("re"), F.col("im")), turn(-2 * math.pi * F.col("w")))
+    return viss.withColumns({"re": re, "im": im})

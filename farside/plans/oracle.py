@@ -85,6 +85,22 @@ def _rounded(*columns: str, places: int = 4) -> str:
     return ", ".join(f"round({c}, {places}) AS {c}" for c in columns)
 
 
+def _at_10mhz(sql: str) -> str:
+    """Lengths ten times as many wavelengths, and shells up to the same length."""
+    return sql.replace(f"::DOUBLE * {SCALE} AS", f"::DOUBLE * {10 * SCALE} AS").replace(f"BETWEEN 1 AND {SHELLS}", "BETWEEN 1 AND 6667")
+
+
+def _unmasked_forward(sql: str) -> str:
+    return sql.replace(f"FROM half, sky WHERE {_SEEN}", "FROM half, sky")
+
+
+_GENERAL = _image(False).split("inv AS (")[0] + """inv AS (SELECT day, ipix,
+         wt * (re * cos(2 * pi() * (u * l + v * m + w * n)) - im * sin(2 * pi() * (u * l + v * m + w * n))) AS c_re,
+         wt * (re * sin(2 * pi() * (u * l + v * m + w * n)) + im * cos(2 * pi() * (u * l + v * m + w * n))) AS c_im FROM sky, bl WHERE sgn = 1)"""
+_SETTINGS = f"""SELECT unnest(['nside', 'npix', 'resolution_degrees', 'theta', 'phi', 'wavelength', 'shells']) AS name,
+  round(unnest([nside::DOUBLE, 12.0::DOUBLE * nside * nside, degrees(sqrt(4 * pi() / (12 * nside * nside))), pi() - {OPEN}, {OPEN}, 3e8 / 1e6,
+    ceil(100000.0::DOUBLE / (3e8 / 1e6) * 2)]), 6) AS value FROM k"""
+_COLUMNS = ("u", "v", "w", "x1", "y1", "z1", "x2", "y2", "z2", "bll")
 _TOTAL = "SELECT ipix, round(sum(CASE WHEN isnan(c) THEN 0 ELSE c END), 3) AS c FROM img GROUP BY ipix"
 _NUMBERED = f"{HALF}, num AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY bid) - 1 AS rn FROM half)"
 
@@ -121,6 +137,16 @@ ORACLE_SQL = {
     "image_blockage_shifted": f"WITH {_image(True, 1)} SELECT day, ipix, round(c, 4) AS c FROM img",
     "image_total": f"WITH {_image(False)} {_TOTAL}",
     "image_total_blockage": f"WITH {_image(True)} {_TOTAL}",
-    "text_roundtrip": f"WITH {_NUMBERED}, d AS (SELECT DISTINCT day FROM half ORDER BY day LIMIT 2) SELECT day, rn, true AS same FROM num WHERE day IN (SELECT day FROM d)",
+    "image_general": f"WITH {_GENERAL} SELECT day, ipix, round(sum(c_re), 4) AS c_re, round(sum(c_im), 4) AS c_im FROM inv GROUP BY day, ipix",
+    "image_10mhz": f"WITH {_at_10mhz(_image(True))} SELECT day, ipix, round(c, 4) AS c FROM img",
+    "image_10mhz_noblockage": f"WITH {_unmasked_forward(_at_10mhz(_image(False)))} SELECT day, ipix, round(c, 4) AS c FROM img",
+    "image_from_files": f"WITH {_image(True)} SELECT day, ipix, round(c, 4) AS c FROM img",
+    "viss_injected": f"WITH {_image(False)} SELECT day, ipix, round(c, 4) AS c FROM img",
+    "preview_image": f"WITH {_image(True)} SELECT day, ipix, round(c, 4) AS c FROM img WHERE ipix < 3",
+    "map_export": f"WITH {_image(True)} {_TOTAL} ORDER BY ipix",
+    "text_roundtrip": f"WITH {_NUMBERED} SELECT day, rn, {_rounded(*_COLUMNS, places=6)} FROM num",
     "text_roundtrip_all": f"WITH {_NUMBERED} SELECT day, rn, true AS same FROM num",
+    "list_counted": f"WITH {PIXELS} SELECT ipix AS rn, round(p_retailprice::DOUBLE, 4) AS b FROM pix JOIN part ON p_partkey = ipix",
+    "list_angles": f"WITH {ANGLES} SELECT ipix AS rn, {_rounded('theta', 'phi', places=6)} FROM ang",
+    "constants_log": f"WITH {PIXELS} {_SETTINGS}",
 }

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import Observation, nside_to_npix, pixel_area, resolution_degrees
+from ..constants import Observation, nside_to_npix, pixel_area, resolution_degrees, settings
 from ..functions.complex import cabs, norm3
 from ..operators import baselines as B
 from ..operators import healpix as H
@@ -18,9 +18,10 @@ from ..operators import imaging as I
 from ..operators import visibility as V
 from ..operators import weights as W
 from ..sources import fixtures, text
+from . import job
 from .staging import checkpoint_dir, stash
 
-OBSERVATION = Observation(1e6)
+OBSERVATION, OBSERVATION_10MHZ = Observation(1e6), Observation(1e7)
 
 
 def _r(name: str, places: int = 4):
@@ -155,8 +156,10 @@ def vis_rephased(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preview_vis(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three of every day: chosen before they meet the sky."""
     first = F.row_number().over(Window.partitionBy("day").orderBy("bid"))
-    return _viss(spark, sf).withColumn("k", first).where("k <= 3").select("day", "bid", _r("re"), _r("im"))
+    half = fixtures.half(spark, sf).withColumn("k", first).where("k <= 3").drop("k")
+    return V.forward(half, fixtures.sky(spark, sf)[0], OBSERVATION).select("day", "bid", _r("re"), _r("im"))
 
 
 def point_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,13 +168,14 @@ def point_source(spark: SparkSession, sf: str) -> DataFrame:
     return V.forward(fixtures.half(spark, sf), sky, OBSERVATION, masked=False).select("day", "bid", F.round(cabs((F.col("re"), F.col("im"))), 4).alias("amp"))
 
 
-def _images(spark: SparkSession, sf: str, masked: bool, offset: int = 0) -> DataFrame:
+def _images(spark: SparkSession, sf: str, masked: bool, offset: int = 0, pixels: int | None = None) -> DataFrame:
     sky, _ = fixtures.sky(spark, sf)
     half = fixtures.half(spark, sf)
     viss = stash(V.forward(half, sky, OBSERVATION).drop("n_visible"))
     # the other half is this half's mirror here, with the same lengths, gains and so weights
     both = W.weighted(_shells(spark, sf), OBSERVATION, offset).where("sgn = 1").join(viss, ["day", "bid"])
-    return I.image(V.rephased(both), sky, OBSERVATION, masked, hermitian=True)
+    shown = sky if pixels is None else sky.where(F.col("ipix") < pixels)
+    return I.image(V.rephased(both), shown, OBSERVATION, masked, hermitian=True)
 
 
 def image_noblockage(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,21 +198,39 @@ def image_total_blockage(spark: SparkSession, sf: str) -> DataFrame:
     return I.total(_images(spark, sf, True)).select("ipix", _r("c", 3))
 
 
-def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """(day, rn, same) of every baseline of every day: files of triples and lengths written as text, one a day, read back,
-    joined by position and compared with their source in all columns; a baseline that the files lack is not the same."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    rows = stash(_numbered(spark, sf))
-    days = rows.select("day").distinct()
-    groups = {"uvw": ("u v w", "u", "v", "w"), "xyza": ("a b c", "x1", "y1", "z1"), "xyzb": ("a b c", "x2", "y2", "z2"), "bll": ("n", "bll")}
-    out = []
-    for name, (head, *columns) in groups.items():
-        body = rows.select("day", "rn", F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value"))
-        lines = days.select("day", F.lit(-1).cast("long").alias("rn"), F.lit(head).alias("value")).unionAll(body)
-        # one file a day: the format has no other order than its own
-        lines.repartition("day").sortWithinPartitions("day", "rn").select("day", "value").write.partitionBy("day").text(f"{root}/{name}")
-        out.append(_day_folders(spark, f"{root}/{name}", columns, len(columns)))
-    back = B.zipped(*out)
+def _days(rows: DataFrame) -> list[int]:
+    """The days of a table, a few hundred at most."""
+    return sorted(r.day for r in rows.select("day").distinct().collect())
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_GROUPS = {job.UVW: ("u v w", "u", "v", "w"), job.FIRST: ("a b c", "x1", "y1", "z1"), job.SECOND: ("a b c", "x2", "y2", "z2"), job.LENGTH: ("n", "bll")}
+
+
+def _write_days(rows: DataFrame, folder: str) -> None:
+    """The four files of each day, as the job reads them."""
+    for pattern, (head, *columns) in _GROUPS.items():
+        text.write_days(rows, f"{folder}/{pattern.split('/')[0]}", "rn", columns, head)
+
+
+def _roundtrip(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every baseline of every day, and the same rows read back from files of triples and lengths, joined by position."""
+    folder, rows = _folder(spark), stash(_numbered(spark, sf))
+    _write_days(rows, folder)
+    days = _days(rows)
+    parts = [_day_folders(spark, f"{folder}/{pattern}", columns, len(columns), days) for pattern, (_, *columns) in _GROUPS.items()]
+    return rows, stash(B.zipped(*parts))
+
+
+def _day_folders(spark: SparkSession, pattern: str, names: list[str], header: int, days: list[int]) -> DataFrame:
+    return text.read_triples(spark, pattern, days, names) if header == 3 else text.read_days(spark, pattern, days, names, header)
+
+
+def _compared(rows: DataFrame, back: DataFrame) -> DataFrame:
+    """(day, rn, same): whether all columns came back; a baseline that the files lack is not the same."""
     names = back.columns[2:]
     both = rows.join(back.select("day", "rn", *(F.col(c).alias(f"{c}_back") for c in names)), ["day", "rn"], "left")
     same = functools.reduce(operator.and_, (F.coalesce(F.abs(F.col(c) - F.col(f"{c}_back")) < 1e-9, F.lit(False)) for c in names))
@@ -217,25 +239,108 @@ def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
     """All days' files against their source."""
-    return _roundtrip(spark, sf)
+    return _compared(*_roundtrip(spark, sf))
 
 
 def text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two days' rows, as the SQL has them, of files of all days; a difference in any day is an error."""
-    found = stash(_roundtrip(spark, sf))
-    wrong = found.where(~F.col("same")).count()
+    """The values of all days as they come back from files; a difference from their source is an error."""
+    rows, back = _roundtrip(spark, sf)
+    wrong = _compared(rows, back).where(~F.col("same")).count()
     if wrong:
         raise ValueError(f"{wrong} baselines differ from their files")
-    first = found.select("day").distinct().orderBy("day").limit(2)
-    return found.join(F.broadcast(first), "day", "left_semi")
+    return back.select("day", "rn", *(_r(c, 6) for c in back.columns[2:]))
+
+
+def list_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Brightnesses written as a counted list and read back."""
+    folder = _folder(spark)
+    raw = fixtures.brightness(spark, sf)
+    text.write_values(raw, f"{folder}/B", "ipix", "b", str(raw.count()))
+    return text.read_counted(spark, f"{folder}/B").select("rn", _r("b"))
+
+
+def list_angles(spark: SparkSession, sf: str) -> DataFrame:
+    """Both angles written as lists and read back."""
+    folder, angles = _folder(spark), stash(H.pix2ang_nest(spark, fixtures.nside_of(spark, sf)))
+    for name in ("theta", "phi"):
+        text.write_values(angles, f"{folder}/{name}", "ipix", name)
+    theta, phi = (text.read_scalars(spark, f"{folder}/{name}", name) for name in ("theta", "phi"))
+    return theta.join(phi, "rn").select("rn", _r("theta", 6), _r("phi", 6))
+
+
+def _job_folder(spark: SparkSession, sf: str) -> tuple[str, DataFrame, list[int]]:
+    """A folder of a job's files: the sky's three lists, and the days with both halves of their baselines (the second half
+    mirrors the first, in the same order)."""
+    folder, raw = _folder(spark), fixtures.brightness(spark, sf)
+    text.write_values(raw, f"{folder}/{job.SKY}", "ipix", "b", str(raw.count()))
+    angles = stash(H.pix2ang_nest(spark, fixtures.nside_of(spark, sf)))
+    for name in (job.THETA, job.PHI):
+        text.write_values(angles, f"{folder}/{name}", "ipix", name)
+    first = _numbered(spark, sf)
+    size = first.groupBy("day").agg(F.count("*").alias("size"))
+    both = B.mirrored(first).join(F.broadcast(size), "day")  # one row for each day
+    rows = stash(both.withColumn("rn", F.col("rn") + F.when(F.col("sgn") == 1, 0).otherwise(F.col("size"))).drop("size"))
+    _write_days(rows, folder)
+    return folder, rows, _days(rows)
+
+
+def image_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job: lists and day files in, day images out and read back."""
+    folder, _, days = _job_folder(spark, sf)
+    job.run(spark, folder, days, OBSERVATION, f"{folder}/C")
+    return text.read_images(spark, f"{folder}/C").select("day", "ipix", F.round("c_re", 4).alias("c"))
+
+
+def viss_injected(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverse alone, without a mask, of visibilities that come from files."""
+    folder, rows, days = _job_folder(spark, sf)
+    viss = stash(_viss(spark, sf))
+    known = rows.join(viss, ["day", "bid"]).withColumn("im", F.col("im") * F.col("sgn"))
+    text.write_days(known, f"{folder}/{job.VISS.split('/')[0]}", "rn", ["re", "im"], "re im")
+    found = job.images(spark, folder, days, OBSERVATION, masked=False, known_viss=True)
+    return found.select("day", "ipix", F.round("c_re", 4).alias("c"))
+
+
+def image_general(spark: SparkSession, sf: str) -> DataFrame:
+    """Both parts of the inverse of the first half alone, which has no mirror to cancel the imaginary one."""
+    sky, _ = fixtures.sky(spark, sf)
+    viss = stash(V.forward(fixtures.half(spark, sf), sky, OBSERVATION).drop("n_visible"))
+    half = W.weighted(_shells(spark, sf), OBSERVATION).where("sgn = 1").join(viss, ["day", "bid"])
+    return I.image(V.rephased(half), sky, OBSERVATION, False).select("day", "ipix", _r("c_re"), _r("c_im"))
+
+
+def _image_10mhz(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
+    """At ten times the frequency baselines are ten times as many wavelengths long."""
+    sky, _ = fixtures.sky(spark, sf)
+    half = fixtures.half(spark, sf, 10 * fixtures.SCALE)
+    viss = stash(V.forward(half, sky, OBSERVATION_10MHZ, masked).drop("n_visible"))
+    both = W.weighted(W.with_shell(B.mirrored(half)), OBSERVATION_10MHZ).where("sgn = 1").join(viss, ["day", "bid"])
+    image = I.image(V.rephased(both), sky, OBSERVATION_10MHZ, masked, hermitian=True)
+    return image.select("day", "ipix", F.round("c_re", 4).alias("c"))
+
+
+def image_10mhz(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_10mhz(spark, sf, True)
+
+
+def image_10mhz_noblockage(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_10mhz(spark, sf, False)
+
+
+def preview_image(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three pixels of every day's image: only these meet the baselines."""
+    return _images(spark, sf, True, pixels=3).select("day", "ipix", F.round("c_re", 4).alias("c"))
+
+
+def map_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of the summed map in the order of its pixels."""
+    return I.map_rows(I.total(_images(spark, sf, True))).select("ipix", _r("c", 3))
 
 
-def _day_folders(spark: SparkSession, path: str, names: list[str], header: int) -> DataFrame:
-    """Days written as folders day=... of one file each, all read in one scan."""
-    found = text.numbers(spark, path, header)
-    width = len(names)
-    rows = found.select(F.regexp_extract("file", r"/day=(-?\d+)/[^/]*$", 1).cast("int").alias("day"), F.floor(F.col("at") / width).cast("long").alias("rn"), (F.col("at") % width).alias("k"), "value")
-    return rows.groupBy("day", "rn").agg(*(F.max(F.when(F.col("k") == k, F.col("value"))).alias(n) for k, n in enumerate(names)))
+def constants_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What a job logs of its settings."""
+    found = settings(OBSERVATION, fixtures.nside_of(spark, sf))
+    return spark.createDataFrame(found, "name string, value double").select("name", _r("value", 6))
 
 
 QUERIES = {
@@ -244,6 +349,7 @@ QUERIES = {
         pix_face, pix_xy, pix_ring, pix_jp, pix_region_counts, pix2ang, pix_resolution, sky_lmn, satellite_norm, baseline_mirror, baseline_zip, baseline_half,
         shell_id, shell_hist, shell_sorted, shell_sorted_all, shell_dcf, shell_dcf_shifted, incl_gain, weight, weight_shifted, vis_mask_count, vis_forward,
         vis_amplitude, vis_rephased, preview_vis, point_source, image_noblockage, image_blockage, image_blockage_shifted, image_total,
-        image_total_blockage, text_roundtrip, text_roundtrip_all,
+        image_total_blockage, image_general, image_10mhz, image_10mhz_noblockage, image_from_files, viss_injected, preview_image, map_export,
+        text_roundtrip, text_roundtrip_all, list_counted, list_angles, constants_log,
     )
 }

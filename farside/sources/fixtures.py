@@ -35,18 +35,23 @@ def nside_of(spark: SparkSession, sf_dir: str) -> int:
     return nside_for(table(spark, sf_dir, "part").count())
 
 
+def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ipix, b) of all pixels, as a list of the sky would have them."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ipix"), F.col("p_retailprice").cast("double").alias("b"))
+    return rows.where(F.col("ipix") < nside_to_npix(nside_of(spark, sf_dir)))
+
+
 def sky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(ipix, b, l, m, n), materialised, and nside."""
     nside = nside_of(spark, sf_dir)
-    brightness = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ipix"), F.col("p_retailprice").cast("double").alias("b"))
     angles = healpix.pix2ang_nest(spark, nside)
-    return stash(sky_lmn(angles.join(brightness, "ipix"), nside_to_npix(nside))), nside
+    return stash(sky_lmn(angles.join(brightness(spark, sf_dir), "ipix"), nside_to_npix(nside))), nside
 
 
-def half(spark: SparkSession, sf_dir: str) -> DataFrame:
+def half(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> DataFrame:
     """(day, bid, u, v, w, x1..z2, bll) of the first halves."""
     e = lambda k: F.col("embedding")[k].cast("double")
     df = table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("int").alias("day"), F.col("vec_id").cast("long").alias("bid"), *(((e(k) * SCALE).alias(c)) for k, c in enumerate("uvw")), *(e(k + 3).alias(c) for k, c in enumerate(("x1", "y1", "z1", "x2", "y2", "z2")))
+        F.col("label").cast("int").alias("day"), F.col("vec_id").cast("long").alias("bid"), *(((e(k) * scale).alias(c)) for k, c in enumerate("uvw")), *(e(k + 3).alias(c) for k, c in enumerate(("x1", "y1", "z1", "x2", "y2", "z2")))
     )
     return df.withColumn("bll", norm3(F.col("u"), F.col("v"), F.col("w")))

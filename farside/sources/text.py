@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|nan|NaN|inf|Infinity|-?Infinity)$"
 
 
-def tokens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, at, token): every token with its place in its file, from 0."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("found"))
+def tokens(spark: SparkSession, paths: str | list[str], folders: bool = False) -> DataFrame:
+    """(file, at, token): every token with its place in its file, from 0. folders: the files of one folder are one, in the
+    order of their names."""
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(paths).select(
+        F.regexp_replace(path, "/[^/]*$", "").alias("file") if folders else path.alias("file"),
+        F.struct(path.alias("part"), F.col("_metadata.file_block_start").alias("start")).alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "").alias("found"),
+    )
     counted = lines.withColumn("size", F.size("found"))
     sizes = counted.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = sizes.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("before"))
@@ -24,14 +31,20 @@ def tokens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return placed.select("file", (F.col("start") + F.col("k")).alias("at"), "token")
 
 
-def numbers(spark: SparkSession, paths: str | list[str], header: int = 0) -> DataFrame:
+def numbers(spark: SparkSession, paths: str | list[str], header: int = 0, folders: bool = False) -> DataFrame:
     """(file, at, value): the tokens after `header` ones, up to the first that is not a number."""
-    body = tokens(spark, paths).where(F.col("at") >= header).select("file", (F.col("at") - header).alias("at"), "token")
+    body = tokens(spark, paths, folders).where(F.col("at") >= header).select("file", (F.col("at") - header).alias("at"), "token")
     bad = body.where(~F.col("token").rlike(NUMBER)).groupBy("file").agg(F.min("at").alias("end"))
     kept = body.join(bad, "file", "left").where("end is null or at < end")
     return kept.select("file", "at", F.col("token").cast("double").alias("value"))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).getFileStatus(p).isDirectory()
+
+
 def existing(spark: SparkSession, paths: list[str], on_missing: str = "error") -> list[str]:
     """Of the paths those that exist; a missing one is an error unless on_missing is "skip"."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -42,13 +55,13 @@ def existing(spark: SparkSession, paths: list[str], on_missing: str = "error") -
 
 
 def read_scalars(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """(rn, name) of a list without header."""
-    return numbers(spark, path).select(F.col("at").alias("rn"), F.col("value").alias(name))
+    """(rn, name) of a list without header: a file, or a folder as write_values() makes it."""
+    return numbers(spark, path, folders=_is_folder(spark, path)).select(F.col("at").alias("rn"), F.col("value").alias(name))
 
 
 def read_counted(spark: SparkSession, path: str, name: str = "b") -> DataFrame:
     """(rn, name) of a list whose first token is its length; surplus values are left out, a short list is an error."""
-    found = numbers(spark, path)
+    found = numbers(spark, path, folders=_is_folder(spark, path))
     size = found.where("at = 0").agg(F.first("value")).first()[0]
     if size is None:
         raise ValueError(f"{path} has no length")
@@ -59,13 +72,14 @@ def read_counted(spark: SparkSession, path: str, name: str = "b") -> DataFrame:
 
 
 def read_days(spark: SparkSession, pattern: str, days: list[int], names: list[str], header: int, on_missing: str = "error") -> DataFrame:
-    """(day, rn, *names) of one file a day; pattern has {day} in it. header: tokens to leave out at the start."""
+    """(day, rn, *names) of one file a day, or one folder as write_days() makes it; pattern has {day} in it. header: tokens
+    to leave out at the start."""
     paths = existing(spark, [pattern.format(day=d) for d in days], on_missing)
     if not paths:
         return spark.createDataFrame([], "day int, rn long, " + ", ".join(f"{n} double" for n in names))
     prefix, suffix = pattern.rsplit("/", 1)[-1].split("{day}")
     width = len(names)
-    found = numbers(spark, paths, header)
+    found = numbers(spark, paths, header, folders=_is_folder(spark, paths[0]))
     day = F.regexp_extract("file", rf"/\Q{prefix}\E(\d+)\Q{suffix}\E$", 1).cast("int")
     rows = found.select(day.alias("day"), F.floor(F.col("at") / width).cast("long").alias("rn"), (F.col("at") % width).alias("k"), "value")
     out = rows.groupBy("day", "rn").agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("k") == k, F.col("value"))).alias(n) for k, n in enumerate(names)))
@@ -84,6 +98,15 @@ def write_values(df: DataFrame, path: str, order: str, value: str, header: str |
     lines.write.mode("overwrite").text(path)
 
 
+def write_days(rows: DataFrame, path: str, order: str, columns: list[str], header: str | None = None) -> None:
+    """One folder day=... of one file a day, its rows in the given order, one a line; header: a first line. The format has
+    no other order than its own, so a day is written by one task, which sorts it and holds none of it."""
+    body = rows.select("day", F.col(order).cast("long").alias("at"), F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value"))
+    if header is not None:
+        body = body.unionAll(rows.select("day").distinct().select("day", F.lit(-1).cast("long"), F.lit(header)))
+    body.repartition("day").sortWithinPartitions("day", "at").select("day", "value").write.partitionBy("day").text(path)
+
+
 def write_images(images: DataFrame, path: str) -> None:
     """Real parts by day."""
     images.select("day", "ipix", "c_re").write.mode("overwrite").partitionBy("day").parquet(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.imaging import total
+from ..plans.staging import discard, stash
 
 SCHEMA = "day int, ipix long, c_re double"
 
@@ -16,5 +19,16 @@ def day_images(spark: SparkSession, path: str, files_per_trigger: int = 16) -> D
 
 
 def running_total(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The sum so far in a table in memory; its state is one row for each pixel."""
-    return total(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The sum so far as a view called name, over Parquet in the shared folder that each batch writes anew; the state is
+    one row for each pixel, on the executors, and no image reaches the driver."""
+    spark, last = stream.sparkSession, {}
+
+    def written(batch: DataFrame, _: int) -> None:
+        found = stash(batch)
+        spark.read.schema(found.schema).parquet(found._stash_path).createOrReplaceTempView(name)
+        if last:
+            discard(last.pop("table"))
+        last["table"] = found
+
+    out = total(stream).writeStream.outputMode("complete").foreachBatch(written)
+    return out.queryName(f"{name}-{uuid.uuid4().hex[:8]}").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
