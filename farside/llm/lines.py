@@ -4,8 +4,9 @@ A line is the set of its character shingles. Its signature comes from one hash o
 bands * rows bins and each bin keeps its least value; empty bins take the value of a bin chosen by a fixed sequence. Lines
 that agree on all rows of a band meet in a bucket, equal buckets of several bands are one task, and there the exact Jaccard
 similarity of the shingle sets decides; pairs that are already connected need no comparison, so a task hands on a
-spanning forest. A bucket with many members is cut into blocks, each pair of which is a task. A distributed union-find makes
-components, of which the first line, by document id and place, stays.
+spanning forest. A bucket of over two blocks is dealt in shards of SHARD lines, which are grouped around pivots there;
+the pivots of a bucket meet, and only groups that may still hold a link meet as a whole, so not all pairs are made. A
+distributed union-find makes components, of which the first line, by document id and place, stays.
 
 With 16 bands of 6 rows a pair at the threshold of 0.8 shares a bucket with probability 0.99, one at 0.9 with 0.9999.
 Lines are known by 64-bit hashes (XXH64, seed 42) of their text.
@@ -17,6 +18,8 @@ counts as the first, the others keep nothing of what it holds; an empty table gi
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .util import bloom_bits, bloom_has, column_name, components, discard, hot_join, small_batches, split_by_bloom, stash
 
-SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 5, 16, 6, 0.8, 128
+SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SHARD = 5, 16, 6, 0.8, 128, 2048
+TASKS = "task long, lead long, h long, size int"
 SET_BYTES = 32 << 20
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -129,15 +133,9 @@ def _banded(bands, rows, shingle):
 
 
 def _buckets(block):
-    """(key, h) of one partition by key to (task, lead, h): members of each bucket with two lines or more, and the least
-    of them. Sorted here, at 16 bytes a row of the partition."""
-
-    def tasks(members: np.ndarray):
-        mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
-        if len(members) <= 2 * block:
-            return [(mark, members)]
-        cuts = np.array_split(members, -(-len(members) // block))
-        return [(int(xxhash.xxh64_intdigest(np.array([mark, i, j]).tobytes())) >> 1, np.concatenate([cuts[i], cuts[j]])) for i in range(len(cuts)) for j in range(i + 1, len(cuts))]
+    """(key, h) of one partition by key to (task, lead, h, size): members of each bucket with two lines or more, the least
+    of them and their number. Sorted here, at 16 bytes a row of the partition. Equal buckets of one partition are one task;
+    one of more than two blocks goes out in pieces and is not held."""
 
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -150,21 +148,29 @@ def _buckets(block):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.r_[start, len(key)])
         seen: set[int] = set()
-        found = []
+        found: list[tuple[int, np.ndarray]] = []
+        held = 0
 
         def emit():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([t for t, _ in found], np.int64), [len(m) for _, m in found])), pa.array(np.repeat(np.array([m.min() for _, m in found]), [len(m) for _, m in found])), pa.array(np.concatenate([m for _, m in found]))], names=["task", "lead", "h"])
+            sizes = [len(m) for _, m in found]
+            cols = [np.repeat(np.array(x, np.int64), sizes) for x in ([t for t, _ in found], [m[0] for _, m in found])]
+            members = np.concatenate([m for _, m in found])
+            for at in range(0, len(members), 100_000):
+                s = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (*cols, members, np.repeat(np.array(sizes, np.int32), sizes))], names=["task", "lead", "h", "size"])
 
         # one line that several tasks have banded makes no bucket
         many = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start) if len(h) else size > 1
         for a, n in zip(start[many], size[many]):
-            for task in tasks(np.unique(h[a : a + n])):
-                if task[0] not in seen:
-                    seen.add(task[0])
-                    found.append(task)
-            if len(found) >= 4096:
+            members = np.unique(h[a : a + n])
+            mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
+            if mark not in seen:
+                seen.add(mark)
+                found.append((mark, members))
+                held += len(members)
+            if held >= max(4096, 2 * block):
                 yield from emit()
-                found = []
+                found, held = [], 0
         if found:
             yield from emit()
 
@@ -272,6 +278,186 @@ def _verify(threshold, shingle):
     return run
 
 
+class Groups:
+    """Lines of one large bucket, each in a group around a pivot whose distance (1 less the similarity) it knows. Distances
+    of this kind obey the triangle inequality, so a line whose distance to a pivot exceeds the group's radius by more than
+    a link's is linked with none of the group, and of the others only lines with nearly its own distance can be linked
+    with it. Groups known as connected are not compared again. Nothing is left out: of lines that are linked all end up
+    in connected groups."""
+
+    def __init__(self, threshold: float, make):
+        self.reach, self.make = 1 - threshold, make  # make: a line's set, with a length and shared(other)
+        self.groups: list[tuple[int, object, list[tuple[int, object, float]]]] = []  # pivot, its set, members
+        self.radius: list[float] = []
+        self.root: list[int] = []
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def distance(self, a, b) -> float:
+        both = a.shared(b)
+        return 1 - both / (len(a) + len(b) - both)
+
+    def add(self, h: int, line: str) -> None:
+        own, item = -1, self.make(line)
+        for g, (pivot, pivots, members) in enumerate(self.groups):
+            if own >= 0 and self.find(g) == self.find(own):
+                continue
+            d = self.distance(item, pivots)
+            hit = pivot if d <= self.reach + EPS else None
+            if hit is None and d <= self.reach + self.radius[g] + EPS:
+                near = (m for m in members if abs(m[2] - d) <= self.reach + EPS)
+                hit = next((m[0] for m in near if self.distance(item, m[1]) <= self.reach + EPS), None)
+            if hit is None:
+                continue
+            self.links.append((h, hit))
+            if own < 0:
+                own = g
+                members.append((h, item, d))
+                self.radius[g] = max(self.radius[g], d)
+            else:
+                self.root[max(self.find(g), self.find(own))] = min(self.find(g), self.find(own))
+        if own < 0:
+            self.groups.append((h, item, []))
+            self.radius.append(0.0)
+            self.root.append(len(self.groups) - 1)
+
+
+#: Distances are compared with this much to spare; links are judged by similarity itself.
+EPS = 1e-12
+_NAMES = ["kind", "task", "a", "b", "d"]
+_KINDS = "kind int, task long, a long, b long, d double"
+
+
+def _sections(batches, keys: int):
+    """Rows of the batches, a few at a time, as ((key values), rest)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            for row in zip(*(batch.slice(at, 512).column(k).to_pylist() for k in range(batch.num_columns))):
+                yield row[:keys], row[keys:]
+
+
+def _emitted(rows):
+    cols = list(zip(*rows))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_NAMES)
+
+
+def _grouped(threshold, make):
+    """(task, shard, h, line) to links (kind 0), groups (1: pivot, its first connected pivot, radius) and members (2: pivot,
+    line, distance)."""
+
+    def done(task, found):
+        rows = [(0, task, a, b, 0.0) for a, b in found.links]
+        for g, (pivot, _, members) in enumerate(found.groups):
+            rows.append((1, task, pivot, found.groups[found.find(g)][0], found.radius[g]))
+            rows += [(2, task, pivot, pivot, 0.0), *((2, task, pivot, h, d) for h, _, d in members)]
+        for k in range(0, len(rows), 20_000):
+            yield _emitted(rows[k : k + 20_000])
+
+    def run(batches):
+        now, found = None, None
+        for key, (h, line) in _sections(batches, 2):
+            if key != now:
+                if found:
+                    yield from done(now[0], found)
+                now, found = key, Groups(threshold, make)
+            found.add(h, line)
+        if found:
+            yield from done(now[0], found)
+
+    return run
+
+
+def _pivots(threshold, make):
+    """(task, pivot, connected pivot, radius, line) of all groups of a bucket to links (0) and pairs of groups that may hold
+    one (3), as far as they are not connected otherwise."""
+
+    def solve(task, rows):
+        at = {p: k for k, (p, *_) in enumerate(rows)}
+        root = list(range(len(rows)))
+        sets, judge = [make(line) for *_, line in rows], Groups(threshold, make)
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k, (_, other, _, _) in enumerate(rows):
+            root[find(k)] = find(at[other])
+        links, open_ = [], []
+        for i, (p, _, r, _) in enumerate(rows):
+            for j in range(i):
+                if find(i) != find(j):
+                    d = judge.distance(sets[i], sets[j])
+                    if d <= judge.reach + EPS:
+                        root[find(i)] = find(j)
+                        links.append((0, task, p, rows[j][0], d))
+                    elif d <= judge.reach + r + rows[j][2] + EPS:
+                        open_.append((i, j, d))
+        links += [(3, task, rows[i][0], rows[j][0], d) for i, j, d in open_ if find(i) != find(j)]
+        for k in range(0, len(links), 20_000):
+            yield _emitted(links[k : k + 20_000])
+
+    def run(batches):
+        now, rows = None, []
+        for (task,), rest in _sections(batches, 1):
+            if task != now and rows:
+                yield from solve(now, rows)
+                rows = []
+            now = task
+            rows.append(rest)
+        if rows:
+            yield from solve(now, rows)
+
+    return run
+
+
+def _between(threshold, make):
+    """(pair, side, h, line) to one link (0) between the two sides, if there is any."""
+
+    def solve(sides):
+        judge = Groups(threshold, make)
+        left, right = ([(h, make(line)) for h, line in side] for side in sides)
+        for h, a in left:
+            for g, b in right:
+                if judge.distance(a, b) <= judge.reach + EPS:
+                    yield _emitted([(0, 0, h, g, 0.0)])
+                    return
+
+    def run(batches):
+        now, sides = None, ([], [])
+        for (pair,), (side, h, line) in _sections(batches, 1):
+            if pair != now:
+                yield from solve(sides)
+                now, sides = pair, ([], [])
+            sides[side].append((h, line))
+        yield from solve(sides)
+
+    return run
+
+
+def large_links(tasks: DataFrame, lines: DataFrame, threshold: float, make, shard: int = SHARD) -> DataFrame:
+    """Links of buckets of more than two blocks, without all their pairs: their members are dealt in shards and grouped
+    there, the groups' pivots of a bucket meet, and only groups that may hold a link and are not connected by then meet
+    as a whole. tasks: (task, h, size), stored; lines: (h, line), stored."""
+    dealt = tasks.withColumn("shard", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / shard)).cast("int")).join(lines, "h")
+    dealt = dealt.repartition("task", "shard").sortWithinPartitions("task", "shard", "h").select("task", "shard", "h", "line")
+    found = stash(dealt.mapInArrow(_grouped(threshold, make), _KINDS))
+    groups = found.where("kind = 1").join(lines.withColumnRenamed("h", "a"), "a")
+    met = groups.repartition("task").sortWithinPartitions("task", "a").select("task", "a", "b", "d", "line")
+    met = stash(met.mapInArrow(_pivots(threshold, make), _KINDS))
+    pairs = met.where("kind = 3").select("task", F.xxhash64("task", "a", "b").alias("pair"), "a", "b")
+    ends = pairs.select("task", "pair", F.lit(0).alias("side"), "a").unionAll(pairs.select("task", "pair", F.lit(1).alias("side"), F.col("b").alias("a")))
+    members = found.where("kind = 2").select("task", "a", F.col("b").alias("h"))
+    sides = ends.join(members, ["task", "a"]).join(lines, "h").repartition("pair").sortWithinPartitions("pair", "side", "h")
+    last = sides.select("pair", "side", "h", "line").mapInArrow(_between(threshold, make), _KINDS)
+    return found.unionAll(met).unionAll(last).where("kind = 0").select("a", "b")
+
+
 def comparable(line: str) -> bool:
     return bool(line.strip(" \t\r\v\f"))
 
@@ -313,21 +499,30 @@ def _occurrences(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(pos, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["i", "t", "pos", "h"])
 
 
-def link(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b: line hashes) whose similarity is verified; a spanning forest of each task's."""
+def link(
+    docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, shard: int = SHARD
+) -> DataFrame:
+    """Links (a, b: line hashes) whose similarity is verified, stored; a spanning forest of each task's."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
     near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
-    # buckets with the same least line lie together, in four shares as a large cluster's are cut into many blocks: most of
-    # a cluster meets in few tasks, and what one of them has connected need not be compared again there
+    large = tasks.where(F.col("size") > 2 * block)
+    some = not large.isEmpty()
+    near = stash(near) if some else near
+    # buckets with the same least line lie together, in four shares as a large cluster has many: most of a cluster meets in
+    # few tasks, and what one of them has connected need not be compared again there
     share = F.pmod(F.col("task"), F.lit(4))
-    dealt = tasks.join(near, "h").repartition("lead", share).sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
-    found = stash(dealt.mapInArrow(_verify(threshold, shingle), "a long, b long"))
-    discard(tasks)
+    dealt = tasks.where(F.col("size") <= 2 * block).join(near, "h").repartition("lead", share)
+    dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
+    found = dealt.mapInArrow(_verify(threshold, shingle), "a long, b long")
+    if some:
+        found = found.unionAll(large_links(large.select("task", "h", "size"), near, threshold, functools.partial(Shingles, n=shingle), shard))
+    found = stash(found)
+    discard(tasks, near)
     return found
 
 

@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import _buckets, band_keys
+from .lines import TASKS, _buckets, band_keys, large_links
 from .util import bloom_bits, bloom_has, discard, stash
 
-WORDS, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 5, 128
+WORDS, THRESHOLD, BANDS, ROWS, BLOCK, SHARD = 5, 0.8, 20, 5, 128, 512
 _U = np.uint64
 _TURNS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _TURNS[1] |= _U(1)
@@ -128,14 +128,36 @@ def _verify(threshold: float):
     return run
 
 
-def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links (a, b: nodes) of verified similarity, a spanning forest of each task's. texts: (text); banded: (node, keys)
-    of the same documents."""
+class Hashes:
+    """A set of shingle hashes as it comes from _wanted()."""
+
+    def __init__(self, raw: bytes):
+        self.items = np.frombuffer(raw, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def shared(self, other: Hashes) -> int:
+        both = np.concatenate([self.items, other.items])
+        both.sort(kind="stable")  # two sorted runs
+        return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """Links (a, b: nodes) of verified similarity, stored; a spanning forest of each task's. texts: (text); banded: (node,
+    keys) of the same documents."""
     keyed = banded.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("h"))
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), "task long, lead long, h long").distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
-    near = texts.mapInArrow(_wanted(bits, words), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles"))
-    dealt = tasks.join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4))).sortWithinPartitions("lead", "task", "h").select("task", "h", "shingles")
-    found = stash(dealt.mapInArrow(_verify(threshold), "a long, b long"))
-    discard(tasks)
+    near = texts.mapInArrow(_wanted(bits, words), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("line"))
+    large = tasks.where(F.col("size") > 2 * block)
+    some = not large.isEmpty()
+    near = stash(near) if some else near
+    dealt = tasks.where(F.col("size") <= 2 * block).join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4)))
+    dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
+    found = dealt.mapInArrow(_verify(threshold), "a long, b long")
+    if some:
+        found = found.unionAll(large_links(large.select("task", "h", "size"), near, threshold, Hashes, shard))
+    found = stash(found)
+    discard(tasks, near)
     return found

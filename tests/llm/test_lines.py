@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 from itertools import combinations
@@ -117,3 +118,47 @@ def test_repeated_rows_keep_one_copy(spark):
 def test_emptied_documents_can_go(spark):
     rows = [(1, "a line that stands here", "en", "s", 1), (2, "a line that stands here\n ", "en", "s", 1), (3, " \n", "en", "s", 1), (4, None, "en", "s", 1)]
     assert {r.doc_id for r in L.dedup(docs(spark, rows), drop_emptied=True).collect()} == {1, 3, 4}
+
+
+def test_large_buckets_like_brute_force(spark):
+    """All buckets of three lines or more are grouped in shards of seven: groups, pivots and what lies between them."""
+    rnd = random.Random(21)
+    base = ["".join(rnd.choice("abcdefghij klmno") for _ in range(90)) for _ in range(4)]
+    texts = []
+    for k in range(260):  # chains: each line is a few letters from an earlier one
+        x = list(rnd.choice(texts[-40:]) if texts and rnd.random() < 0.8 else rnd.choice(base))
+        for _ in range(rnd.randint(1, 3)):
+            x[rnd.randrange(len(x))] = rnd.choice("pqrstuvw")
+        texts.append("".join(x))
+    want, links = brute(list(enumerate(texts)))
+    out, removed = L.marked(plain(spark, texts), block=1, shard=7)
+    got = {(r.doc_id, k) for r in out.collect() for k in r[removed] or ()}
+    assert len(links) > 80 and len(want ^ got) <= 1  # banding may miss a pair at the threshold
+
+
+def test_one_bucket_of_many_different_lines(spark):
+    """20,000 different lines that are near copies of one another: one stays, in time that does not grow with all pairs."""
+    texts = [f"entry {k:05d} of the log: the request was served in time and the answer was sent back to the client as asked" for k in range(20_000)]
+    df = spark.createDataFrame([(k, "\n".join(texts[20 * k : 20 * k + 20])) for k in range(1000)], "doc_id long, text string")
+    out = L.dedup(df.repartition(4))
+    assert [r.text for r in out.where("text <> ''").collect()] == [texts[0]]
+
+
+@pytest.mark.parametrize("shard", [5, 40, 1000])
+def test_grouping_of_a_bucket_loses_no_component(spark, tmp_path, shard):
+    """One bucket of lines in chains, so that many are linked only through others, of other shards too."""
+    rnd, texts = random.Random(shard), []
+    for k in range(240):
+        x = list(texts[-rnd.randint(1, min(9, len(texts)))] if texts and rnd.random() < 0.85 else "".join(rnd.choice("abcdefghij klmno") for _ in range(100)))
+        for _ in range(rnd.randint(1, 3)):
+            x[rnd.randrange(len(x))] = rnd.choice("pqrstuvw")
+        texts.append("".join(x))
+    texts = sorted(set(texts))
+    sets = [L.shingles(x) for x in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    stored = lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    tasks = stored(spark.createDataFrame([(7, k, len(texts)) for k in range(len(texts))], "task long, h long, size int"), "tasks")
+    lines = stored(spark.createDataFrame(list(enumerate(texts)), "h long, line string"), "lines")
+    got = [tuple(r) for r in L.large_links(tasks, lines, 0.8, functools.partial(L.Shingles, n=5), shard).collect()]
+    assert set(map(frozenset, got)) <= set(map(frozenset, near)) and len(got) < len(near)
+    assert smallest(got, range(len(texts))) == smallest(near, range(len(texts)))
