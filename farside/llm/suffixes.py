@@ -4,7 +4,8 @@ Every byte covered by a string of `length` bytes that also starts anywhere else
 window of `length` bytes elects one anchor, the leftmost of its grams with the least hash; equal windows elect the same
 one at the same place. A window can repeat only if its anchor's gram does, so grams are counted first, with one row for
 each gram and task. The suffixes that start at the remaining anchors are sorted in runs, front-coded (the length of the
-prefix shared with the suffix before, and the rest), exchanged by ranges of their first bytes, and merged by loser trees
+prefix shared with the suffix before, and the rest), exchanged by ranges of their first bytes (a range that cannot be cut
+further by them is dealt by its grams, so ranges stay as small however much there is), and merged by loser trees
 that compare the lengths of known prefixes first and bytes only beyond them. The sorted suffixes with their common
 prefixes say which anchors agree to the right as far as a window needs, their reversed left contexts, sorted likewise,
 which agree to the left; both together, for every distance between a window's start and its anchor, tell repeated windows.
@@ -13,8 +14,9 @@ Texts are known by their XXH64 and length, and equal texts are worked on once in
 within a run are one record that says so.
 
 Defined results: null text counts as empty; texts shorter than `length` have no windows; strings are judged on the input,
-overlaps and the same document included; repeated rows repeat each other, so their windows all go; an empty table gives an
-empty result.
+overlaps and the same document included; repeated rows repeat each other, so their windows all go; texts of any length are
+read whole; an empty table gives an empty result; other columns are kept, and a clash of names with the new ones is avoided
+by leading underscores.
 """
 
 from __future__ import annotations
@@ -201,9 +203,21 @@ def _records(texts: list[bytes], refs: np.ndarray, packed: list[np.ndarray], len
     return {"r": r, "b": b, "low": low, "high": high, "place": place, "h": refs[owner, 0], "n": refs[owner, 1]}
 
 
-def _runs(length, gram, splitters):
-    """(text, h, n, anchors) to front-coded runs by range, and rows (h, n, a, b) of windows a..b known to repeat."""
+def bounds(sample: list[bytes], n_ranges: int) -> tuple[list[bytes], list[int]]:
+    """Bounds that cut the sorted sample (with repeats) into about n_ranges ranges, and into how many parts each is dealt by
+    its grams: a range that cannot be cut, as its suffixes begin alike, or a sample too small for so many bounds."""
+    sample = sorted(sample)
+    n = max(1, min(n_ranges, len(sample) // 40))
+    cuts = sorted({sample[k * len(sample) // n] for k in range(1, n)} - {sample[0]}) if sample else []
+    held = np.diff(np.r_[0, np.searchsorted(np.array(sample, f"S{PREFIX}"), np.array(cuts, f"S{PREFIX}")), len(sample)])
+    return cuts, [max(1, -(-int(x) * n_ranges // max(1, len(sample)))) for x in held]
+
+
+def _runs(length, gram, splitters, parts):
+    """(text, h, n, anchors) to front-coded runs by range, and rows (h, n, a, b) of windows a..b known to repeat. Suffixes
+    whose grams are equal are in one range; no others need to meet."""
     cuts = np.array(splitters, f"S{PREFIX}")
+    base, parts = np.cumsum([0, *parts[:-1]]), np.array(parts, np.uint64)
     names = ["range", "run", "seq", "blob", "h", "n", "a", "b"]
 
     def done(h, n, a, b):
@@ -228,6 +242,13 @@ def _runs(length, gram, splitters):
         cols = {k: v[own] for k, v in cols.items()} | {"many": many[own].astype(np.int64)}
         prefix = np.ascontiguousarray(cols["r"][:, :PREFIX]).view(f"S{PREFIX}").ravel()
         to = np.searchsorted(cuts, prefix, "right")
+        word = np.ascontiguousarray(cols["r"][:, :gram]).view(np.uint64) if gram % 8 == 0 else cols["r"][:, :gram].astype(np.uint64)
+        mixed = np.zeros(len(word), np.uint64)
+        for k in range(word.shape[1]):
+            mixed = (mixed ^ (mixed >> _U(29)) ^ word[:, k]) * _MULTIPLIERS[0]
+        to = base[to] + ((mixed >> _U(20)) % parts[to]).astype(np.int64)
+        order = np.argsort(to, kind="stable")  # each range's suffixes stay sorted
+        to, cols = to[order], {k: v[order] for k, v in cols.items()}
         edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         press = zstandard.ZstdCompressor(level=1)
         out = []
@@ -427,15 +448,18 @@ def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     total = held.agg(F.sum(F.size("packed"))).first()[0] or 0
     near, _ = split_by_bloom(texts, "h", held.select("h"))
     # range bounds: first bytes at a bounded sample of anchors
-    n_ranges, splitters = max(1, total // RANGE), []
+    n_ranges, splitters, parts = max(1, total // RANGE), [], [1]
     if n_ranges > 1:
-        few = held.select("h", "n", F.explode("packed").alias("p")).orderBy(F.xxhash64("h", "p")).limit(min(20_000, 40 * n_ranges))
-        seen = near.join(F.broadcast(few), ["h", "n"]).select(F.substring(F.col("text").cast("binary"), F.shiftright("p", 16).cast("int") + 1, PREFIX).alias("s"))
-        found = sorted({bytes(r[0]).rstrip(b"\0") for r in seen.limit(100_000).collect()})
-        splitters = [found[k * len(found) // n_ranges] for k in range(1, n_ranges)] if len(found) >= n_ranges else found[1:]
+        few = held.select("h", "n", F.explode("packed").alias("p"))
+        most = min(20_000, 40 * n_ranges)
+        few = few.where(F.pmod(F.xxhash64("h", "p"), F.lit(1 << 30)) <= int((1 << 30) * 1.5 * most / total)).orderBy(F.xxhash64("h", "p")).limit(most)
+        seen = near.join(F.broadcast(few), ["h", "n"]).select("h", "n", "p", F.substring(F.col("text").cast("binary"), F.shiftright("p", 16).cast("int") + 1, PREFIX).alias("s"))
+        # of copies of a text one counts
+        seen = seen.groupBy("h", "n", "p").agg(F.first("s").alias("s"))
+        splitters, parts = bounds([bytes(r[0]).rstrip(b"\0") for r in seen.select("s").collect()], n_ranges)
     dealt = near.join(held, ["h", "n"]).select("text", "h", "n", "packed").sortWithinPartitions("h", "n")
-    runs = stash(dealt.mapInArrow(_runs(length, gram, splitters), "range int, run long, seq int, blob binary, h long, n long, a long, b long"))
-    merged = runs.where("range >= 0").select("range", "run", "blob").repartition(max(1, len(splitters) + 1), "range").sortWithinPartitions("range", "run")
+    runs = stash(dealt.mapInArrow(_runs(length, gram, splitters, parts), "range int, run long, seq int, blob binary, h long, n long, a long, b long"))
+    merged = runs.where("range >= 0").select("range", "run", "blob").repartition(max(1, sum(parts)), "range").sortWithinPartitions("range", "run")
     found = merged.select("range", "blob").mapInArrow(_merged(length, gram), "h long, n long, a long, b long")
     known = runs.where("range < 0").select("h", "n", "a", "b")
     out = stash(found.unionAll(known).groupBy("h", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans")))

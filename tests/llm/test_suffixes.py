@@ -97,3 +97,23 @@ def test_equal_windows_elect_equal_anchors():
     b = S.anchors([core])
     inner = {(int(p) - 130, int(h)) for p, lo, hi, h in zip(*a[1:]) if p - hi >= 130 and p - lo + 200 <= 530}
     assert inner and inner <= {(int(p), int(h)) for p, h in zip(b[1], b[4])}
+
+
+def test_bounds_and_parts():
+    sample = [b"same start here!"] * 600 + [bytes([65 + k % 26]) * 16 for k in range(400)]
+    cuts, parts = S.bounds(sample, 20)
+    assert cuts == sorted(set(cuts)) and len(parts) == len(cuts) + 1 and max(parts) >= 12 and sum(parts) <= 45
+    assert S.bounds([], 3) == ([], [1]) and sum(S.bounds([b"x" * 16] * 100, 500)[1]) == 500
+
+
+def test_many_ranges_like_brute_force(spark, monkeypatch):
+    """Ranges of a few anchors, most of whose suffixes begin alike: cut by bounds and dealt by grams."""
+    monkeypatch.setattr(S, "RANGE", 20)
+    monkeypatch.setattr(S, "RUN", 50)
+    rnd = random.Random(31)
+    pool = ["the same beginning " + "".join(rnd.choice("abcd") for _ in range(90)) for _ in range(12)] + ["".join(rnd.choice("ab") for _ in range(70)) for _ in range(8)]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    rows = S.remove_repeats(plain(spark, texts).repartition(3), length=40, gram=16).collect()
+    want = brute(texts, 40)
+    assert sum(n > 0 for n, _, _ in want) > 40
+    assert all((r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows)
