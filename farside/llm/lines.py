@@ -4,8 +4,9 @@ A line is the set of its character shingles. Its signature comes from one hash o
 bands * rows bins and each bin keeps its least value; empty bins take the value of a bin chosen by a fixed sequence. Lines
 that agree on all rows of a band meet in a bucket, equal buckets of several bands are one task, and there the exact Jaccard
 similarity of the shingle sets decides; pairs that are already connected need no comparison, so a task hands on a
-spanning forest. A bucket of over two blocks is dealt in shards of SHARD lines, which are grouped around pivots there;
-the pivots of a bucket meet, and only groups that may still hold a link meet as a whole, so not all pairs are made. A
+spanning forest. The lines of a bucket of over MANY are grouped around pivots, and one of over SHARD is dealt in shards
+first; the pivots of all its shards meet, and only groups that may still hold a link meet as a whole, so not all pairs are
+made. A
 distributed union-find makes components, of which the first line, by document id and place, stays.
 
 With 16 bands of 6 rows a pair at the threshold of 0.8 shares a bucket with probability 0.99, one at 0.9 with 0.9999.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .util import bloom_bits, bloom_has, column_name, components, discard, hot_join, small_batches, split_by_bloom, stash
 
-SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SHARD = 5, 16, 6, 0.8, 128, 2048
+SHINGLE, BANDS, ROWS, THRESHOLD, SHARD, MANY = 5, 16, 6, 0.8, 2048, 32
 TASKS = "task long, lead long, h long, size int"
 SET_BYTES = 32 << 20
 _U = np.uint64
@@ -132,49 +133,45 @@ def _banded(bands, rows, shingle):
     return run
 
 
-def _buckets(block):
+def _buckets(batches):
     """(key, h) of one partition by key to (task, lead, h, size): members of each bucket with two lines or more, the least
     of them and their number. Sorted here, at 16 bytes a row of the partition. Equal buckets of one partition are one task;
-    one of more than two blocks goes out in pieces and is not held."""
-
-    def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        key, h = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(key, kind="stable")
-        key, h = key[order], h[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.r_[start, len(key)])
-        seen: set[int] = set()
-        found: list[tuple[int, np.ndarray]] = []
-        held = 0
-
-        def emit():
-            sizes = [len(m) for _, m in found]
-            cols = [np.repeat(np.array(x, np.int64), sizes) for x in ([t for t, _ in found], [m[0] for _, m in found])]
-            members = np.concatenate([m for _, m in found])
-            for at in range(0, len(members), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (*cols, members, np.repeat(np.array(sizes, np.int32), sizes))], names=["task", "lead", "h", "size"])
-
-        # one line that several tasks have banded makes no bucket
-        many = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start) if len(h) else size > 1
-        for a, n in zip(start[many], size[many]):
-            members = np.unique(h[a : a + n])
-            mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
-            if mark not in seen:
-                seen.add(mark)
-                found.append((mark, members))
-                held += len(members)
-            if held >= max(4096, 2 * block):
-                yield from emit()
-                found, held = [], 0
-        if found:
+    large ones go out in pieces."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    key, h = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.argsort(key, kind="stable")
+    key, h = key[order], h[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(key)])
+    seen: set[int] = set()
+    found: list[tuple[int, np.ndarray]] = []
+    held = 0
+
+    def emit():
+        sizes = [len(m) for _, m in found]
+        cols = [np.repeat(np.array(x, np.int64), sizes) for x in ([t for t, _ in found], [m[0] for _, m in found])]
+        members = np.concatenate([m for _, m in found])
+        for at in range(0, len(members), 100_000):
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (*cols, members, np.repeat(np.array(sizes, np.int32), sizes))], names=["task", "lead", "h", "size"])
+
+    # one line that several tasks have banded makes no bucket
+    many = np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start) if len(h) else size > 1
+    for a, n in zip(start[many], size[many]):
+        members = np.unique(h[a : a + n])
+        mark = int(xxhash.xxh64_intdigest(members.tobytes())) >> 1
+        if mark not in seen:
+            seen.add(mark)
+            found.append((mark, members))
+            held += len(members)
+        if held >= 4096:
             yield from emit()
-
-    return run
+            found, held = [], 0
+    if found:
+        yield from emit()
 
 
 def shingles(line: str, n: int = SHINGLE) -> set[str]:
@@ -226,6 +223,12 @@ class Links:
             root[x] = x = root.get(up, up)
         return x
 
+    def joined(self, a: int, b: int) -> bool:
+        """Whether both are connected; from now on they are."""
+        x, y = self.find(a), self.find(b)
+        self.root[y] = x
+        return x == y
+
     def shingles(self, h: int, line: str) -> Shingles:
         found = self.sets.get(h)
         if found is None:
@@ -236,8 +239,14 @@ class Links:
         return found
 
     def bucket(self, lines: list[tuple[int, str]]) -> None:
-        """Compare the members of one bucket."""
+        """Compare the members of one bucket: many are grouped around pivots, of few all pairs are looked at."""
         share = self.threshold
+        if len(lines) > MANY:
+            groups = Groups(share)
+            for h, line in lines:
+                groups.add(h, self.shingles(h, line))
+            self.found += [(a, b) for a, b in groups.links if not self.joined(a, b)]
+            return
         for i in range(len(lines)):
             for j in range(i + 1, len(lines)):
                 x, y = self.find(lines[i][0]), self.find(lines[j][0])
@@ -285,8 +294,8 @@ class Groups:
     with it. Groups known as connected are not compared again. Nothing is left out: of lines that are linked all end up
     in connected groups."""
 
-    def __init__(self, threshold: float, make):
-        self.reach, self.make = 1 - threshold, make  # make: a line's set, with a length and shared(other)
+    def __init__(self, threshold: float):
+        self.reach = 1 - threshold
         self.groups: list[tuple[int, object, list[tuple[int, object, float]]]] = []  # pivot, its set, members
         self.radius: list[float] = []
         self.root: list[int] = []
@@ -301,8 +310,9 @@ class Groups:
         both = a.shared(b)
         return 1 - both / (len(a) + len(b) - both)
 
-    def add(self, h: int, line: str) -> None:
-        own, item = -1, self.make(line)
+    def add(self, h: int, item) -> None:
+        """item: the line's set, with a length and shared(other)."""
+        own = -1
         for g, (pivot, pivots, members) in enumerate(self.groups):
             if own >= 0 and self.find(g) == self.find(own):
                 continue
@@ -364,8 +374,8 @@ def _grouped(threshold, make):
             if key != now:
                 if found:
                     yield from done(now[0], found)
-                now, found = key, Groups(threshold, make)
-            found.add(h, line)
+                now, found = key, Groups(threshold)
+            found.add(h, make(line))
         if found:
             yield from done(now[0], found)
 
@@ -379,7 +389,7 @@ def _pivots(threshold, make):
     def solve(task, rows):
         at = {p: k for k, (p, *_) in enumerate(rows)}
         root = list(range(len(rows)))
-        sets, judge = [make(line) for *_, line in rows], Groups(threshold, make)
+        sets, judge = [make(line) for *_, line in rows], Groups(threshold)
 
         def find(x):
             while root[x] != x:
@@ -420,7 +430,7 @@ def _between(threshold, make):
     """(pair, side, h, line) to one link (0) between the two sides, if there is any."""
 
     def solve(sides):
-        judge = Groups(threshold, make)
+        judge = Groups(threshold)
         left, right = ([(h, make(line)) for h, line in side] for side in sides)
         for h, a in left:
             for g, b in right:
@@ -441,9 +451,12 @@ def _between(threshold, make):
 
 
 def large_links(tasks: DataFrame, lines: DataFrame, threshold: float, make, shard: int = SHARD) -> DataFrame:
-    """Links of buckets of more than two blocks, without all their pairs: their members are dealt in shards and grouped
-    there, the groups' pivots of a bucket meet, and only groups that may hold a link and are not connected by then meet
-    as a whole. tasks: (task, h, size), stored; lines: (h, line), stored."""
+    """Links of buckets of more than a shard, without all their pairs: members are dealt in shards and grouped there, the
+    groups' pivots of a bucket meet, and only groups that may hold a link and are not connected by then meet as a whole.
+    Buckets with the same least line (mostly those of several bands of one cluster) count as one. tasks: (lead, h), stored;
+    lines: (h, line), stored."""
+    tasks = tasks.select(F.col("lead").alias("task"), "h").distinct()
+    tasks = tasks.join(tasks.groupBy("task").agg(F.count("*").alias("size")), "task")
     dealt = tasks.withColumn("shard", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / shard)).cast("int")).join(lines, "h")
     dealt = dealt.repartition("task", "shard").sortWithinPartitions("task", "shard", "h").select("task", "shard", "h", "line")
     found = stash(dealt.mapInArrow(_grouped(threshold, make), _KINDS))
@@ -500,50 +513,50 @@ def _occurrences(batches):
 
 
 def link(
-    docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, shard: int = SHARD
+    docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, shard: int = SHARD
 ) -> DataFrame:
     """Links (a, b: line hashes) whose similarity is verified, stored; a spanning forest of each task's."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), TASKS).distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets, TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
     near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
-    large = tasks.where(F.col("size") > 2 * block)
+    large = tasks.where(F.col("size") > shard)
     some = not large.isEmpty()
     near = stash(near) if some else near
     # buckets with the same least line lie together, in four shares as a large cluster has many: most of a cluster meets in
     # few tasks, and what one of them has connected need not be compared again there
     share = F.pmod(F.col("task"), F.lit(4))
-    dealt = tasks.where(F.col("size") <= 2 * block).join(near, "h").repartition("lead", share)
+    dealt = tasks.where(F.col("size") <= shard).join(near, "h").repartition("lead", share)
     dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
     found = dealt.mapInArrow(_verify(threshold, shingle), "a long, b long")
     if some:
-        found = found.unionAll(large_links(large.select("task", "h", "size"), near, threshold, functools.partial(Shingles, n=shingle), shard))
+        found = found.unionAll(large_links(large.select("lead", "h"), near, threshold, functools.partial(Shingles, n=shingle), shard))
     found = stash(found)
     discard(tasks, near)
     return found
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
-    """(i, t, copies, removed array<int>, own array<int>) of the documents that lose lines, by id and hash of the text: how
-    many rows have both, the places of the lines that go from the first of these rows, and from the others (all that can
-    be compared)."""
+    """(i, t, copies, removed array<int>, firsts array<int>) of the documents that lose lines, by id and hash of the text:
+    how many rows have both, the places of the lines that go from all of these rows, and of those that only the first of
+    them keeps."""
     found = link(docs, text_col, **settings)
     roots = components(found)
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_occurrences, "i long, t long, pos int, h long")
     lines = stash(rows.join(roots, F.col("h") == F.col("node"), "left").select("i", "t", "pos", F.coalesce("root", "h").alias("root")))
-    kept = lines.groupBy("root").agg(F.min(F.struct("i", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = lines.groupBy("root").agg(F.min(F.struct("i", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     kept = stash(kept)
-    gone = hot_join(lines, kept, "root").where("first is not null")
     first = F.struct("i", "t", "pos").eqNullSafe(F.col("first"))
-    places = (F.sort_array(F.collect_set(c)) for c in (F.when(~first, F.col("pos")), F.col("pos")))
-    gone = gone.groupBy("i", "t").agg(F.count("*").alias("n"), *(c.alias(name) for c, name in zip(places, ("removed", "own"))))
+    gone = hot_join(lines, kept, "root", "n").select("i", "t", F.when(~first, F.col("pos")).alias("later"), F.when(first, F.col("pos")).alias("own"))
+    places = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("later", "removed"), ("own", "firsts"))]
+    gone = gone.groupBy("i", "t").agg(F.count("*").alias("n"), *places)
     # rows of the same id and text bring each of their places once
-    gone = gone.withColumn("copies", F.expr("n div size(own)")).where("copies > 1 or size(removed) > 0")
-    out = stash(gone.select("i", "t", "copies", "removed", "own"))
+    gone = gone.withColumn("copies", F.expr("n div (size(removed) + size(firsts))")).where("copies > 1 or size(removed) > 0")
+    out = stash(gone.select("i", "t", "copies", "removed", "firsts"))
     discard(lines, kept, found, roots)
     return out
 
@@ -559,7 +572,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     keyed = keyed.withColumn(id_, F.xxhash64(key))
     # rows that surely lose no line stay where they are
     hit, miss = split_by_bloom(keyed, id_, found.select(F.xxhash64(same(F.col("i"), F.col("t"))).alias("id")))
-    found = found.select(same(F.col("i"), F.col("t")).alias(its), F.col("copies").alias(copies), F.col("removed").alias(gone), F.col("own").alias(all_))
+    found = found.select(same(F.col("i"), F.col("t")).alias(its), F.col("copies").alias(copies), F.col("removed").alias(gone), F.col("firsts").alias(all_))
     # one row a document on the build side, so texts need no sorting
     joined = hit.join(found.hint("shuffle_hash"), hit[key] == found[its], "left")
     single = joined.where(F.coalesce(F.col(copies), F.lit(1)) == 1).select(*own, F.when(F.size(gone) > 0, F.col(gone)).alias(removed))
@@ -569,7 +582,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     share = F.when(F.col(rank) == 1, F.lit(-1)).otherwise(F.col(salt))
     many = many.withColumn(rank2, F.row_number().over(Window.partitionBy(key, share).orderBy(rank)))
     first = (F.col(rank) == 1) & (F.col(rank2) == 1)
-    lost = F.when(first, F.col(gone)).otherwise(F.col(all_))
+    lost = F.when(first, F.col(gone)).otherwise(F.sort_array(F.array_union(gone, all_)))
     many = many.select(*own, F.when(F.size(lost) > 0, lost).alias(removed))
     return single.unionAll(many).unionAll(miss.select(*own, F.lit(None).cast("array<int>").alias(removed))), removed
 

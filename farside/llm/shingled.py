@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import TASKS, _buckets, band_keys, large_links
+from .lines import TASKS, Groups, _buckets, band_keys, large_links
 from .util import bloom_bits, bloom_has, discard, stash
 
-WORDS, THRESHOLD, BANDS, ROWS, BLOCK, SHARD = 5, 0.8, 20, 5, 128, 512
+WORDS, THRESHOLD, BANDS, ROWS, SHARD, MANY = 5, 0.8, 20, 5, 512, 32
 _U = np.uint64
 _TURNS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _TURNS[1] |= _U(1)
@@ -100,6 +100,15 @@ def _verify(threshold: float):
             return x
 
         def bucket():
+            if len(members) > MANY:
+                groups = Groups(threshold)
+                for h, items in members:
+                    groups.add(h, Hashes(items))
+                for p, q in groups.links:
+                    if (x := find(p)) != (y := find(q)):
+                        root[y] = x
+                        found.append((p, q))
+                return
             for i, (p, a) in enumerate(members):
                 for q, b in members[i + 1 :]:
                     x, y = find(p), find(q)
@@ -131,8 +140,8 @@ def _verify(threshold: float):
 class Hashes:
     """A set of shingle hashes as it comes from _wanted()."""
 
-    def __init__(self, raw: bytes):
-        self.items = np.frombuffer(raw, np.uint64)
+    def __init__(self, raw: bytes | np.ndarray):
+        self.items = raw if isinstance(raw, np.ndarray) else np.frombuffer(raw, np.uint64)
 
     def __len__(self) -> int:
         return len(self.items)
@@ -143,21 +152,21 @@ class Hashes:
         return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """Links (a, b: nodes) of verified similarity, stored; a spanning forest of each task's. texts: (text); banded: (node,
     keys) of the same documents."""
     keyed = banded.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("h"))
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets(block), TASKS).distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(_buckets, TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
     near = texts.mapInArrow(_wanted(bits, words), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("line"))
-    large = tasks.where(F.col("size") > 2 * block)
+    large = tasks.where(F.col("size") > shard)
     some = not large.isEmpty()
     near = stash(near) if some else near
-    dealt = tasks.where(F.col("size") <= 2 * block).join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4)))
+    dealt = tasks.where(F.col("size") <= shard).join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4)))
     dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
     found = dealt.mapInArrow(_verify(threshold), "a long, b long")
     if some:
-        found = found.unionAll(large_links(large.select("task", "h", "size"), near, threshold, Hashes, shard))
+        found = found.unionAll(large_links(large.select("lead", "h"), near, threshold, Hashes, shard))
     found = stash(found)
     discard(tasks, near)
     return found

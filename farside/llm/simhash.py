@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingled
-from .util import column_name, components, forest, hot_join, small_batches, stash
+from .util import column_name, components, discard, forest, hot_join, small_batches, stash
 
 SEED, WORDS = 42, 3
 _LANES = np.uint64(0x0101010101010101)
@@ -178,9 +178,11 @@ def classes(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of stored fingerprints: component_id is the smallest doc_id reachable over links. A
     fingerprint that many rows share (empty texts, mass copies) is looked up apart from the others."""
     roots = rooted(fps, n_blocks, max_bits)
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stash(roots.join(least, "root").select("fp", "component_id"))
-    return hot_join(fps, found, "fp").select("doc_id", "fp", "component_id")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = stash(least.join(roots, "fp"))
+    found = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n"))
+    discard(least)
+    return hot_join(fps, found, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,10 +56,12 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 class Settings:
     """max_per_class bounds the labelled rows that the fit reads of each class, by order of a hash of their id, and
     max_bytes their texts together. clean_weight is the share that clean texts have in the calibration: above a half, as a
-    clean text lost counts for more than a toxic one kept. forms: a quarter of the altered forms of each landmark."""
+    clean text lost counts for more than a toxic one kept. forms: a quarter of the altered forms of each landmark. max_words: the
+    pieces of clean words that the machine is trained on, those nearest to a landmark."""
 
     max_per_class: int = 2000
     max_bytes: int = 64 << 20
+    max_words: int = 30_000
     landmarks: int = 96
     order: int = 4
     decay: float = 0.9
@@ -137,7 +139,7 @@ class Subsequences:
         keys = [self._keys(c[c > 0][None, :])[0][:, 0] for c in codes]
         self.found = np.unique(np.concatenate(keys))
         self.direct = None
-        if self.base**order <= 1 << 24:
+        if self.base**order <= 1 << 23:
             self.direct = np.zeros(self.base**order, np.int32)
             self.direct[self.found] = np.arange(1, len(self.found) + 1)
 
@@ -180,8 +182,8 @@ def _by_length(strings: list[str], least: int):
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     for n in np.unique(size[size >= least]):
         at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 16384):
-            yield at[k : k + 16384], np.ascontiguousarray(_codes([strings[x] for x in at[k : k + 16384]])[:, :n])
+        for k in range(0, len(at), 4096):
+            yield at[k : k + 4096], np.ascontiguousarray(_codes([strings[x] for x in at[k : k + 4096]])[:, :n])
 
 
 class Landmarks:
@@ -216,14 +218,14 @@ def _normalised(subsequences: Subsequences, tables: np.ndarray, strings: list[st
     return out
 
 
-def _texts_once(texts: list[list[str]]) -> list[int]:
+def _texts_once(texts: list[set[str]]) -> list[int]:
     """Places of texts that are no near copy of an earlier one: of 8 least hashes of their words of 6 letters or more, 4
     agree for most texts with a similarity of a half."""
     seen: list[dict[int, list[int]]] = [{} for _ in range(8)]
     turns = np.random.default_rng(3).integers(1, 1 << 32, 8, np.uint64) | np.uint64(1)
     out = []
     for k, words in enumerate(texts):
-        hashes = np.array([zlib.crc32(w.encode()) for w in {w for w in words if len(w) >= 6}], np.uint64)
+        hashes = np.array([zlib.crc32(w.encode()) for w in words if len(w) >= 6], np.uint64)
         if len(hashes) >= 8:
             least = ((hashes[:, None] * turns) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
             agree = Counter(x for found, m in zip(seen, least) for x in found.get(m, ()))
@@ -235,24 +237,27 @@ def _texts_once(texts: list[list[str]]) -> list[int]:
     return out
 
 
-def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, s: Settings) -> list[str]:
+def choose_landmarks(texts: list[set[str]], toxic: np.ndarray, s: Settings) -> list[str]:
     """Words and their beginnings that are in many toxic texts and hardly any others, each unlike those before it. Near
     copies count once, or scraps of ordinary words in copies of a mislabelled text would look like insults."""
-    counts, used = (Counter(), Counter()), [0, 0]
-    for k in _texts_once(texts):
+    once = _texts_once(texts)
+    pos, neg = max(1, sum(toxic[k] for k in once)), max(1, sum(not toxic[k] for k in once))
+
+    def beginnings(words, known=None):
         found = set()
-        for w in set(texts[k]):
+        for w in words:
             p = letters_of(w)
             found.update(p[:n] for n in range(5, min(len(p), 11) + 1))
-        counts[int(toxic[k])].update(found)
-        used[int(toxic[k])] += 1
-    pos, neg = max(1, used[1]), max(1, used[0])
+        return found if known is None else found & known.keys()
+
+    seen = Counter(p for k in once if toxic[k] for p in beginnings(texts[k]))
+    seen = Counter({p: n for p, n in seen.items() if n >= max(3, 0.008 * pos)})
+    clean = Counter(p for k in once if not toxic[k] for p in beginnings(texts[k], seen))
     worth = {}
-    for p, n in counts[1].items():
-        if n >= max(3, 0.008 * pos):
-            a, b = n / pos, (counts[0][p] + 0.5) / (neg + 1)
-            if a > 4 * b:
-                worth[p] = a * np.log(a / b) * (1 + 0.02 * len(p))
+    for p, n in seen.items():
+        a, b = n / pos, (clean[p] + 0.5) / (neg + 1)
+        if a > 4 * b:
+            worth[p] = a * np.log(a / b) * (1 + 0.02 * len(p))
     least = 0.1 * max(worth.values(), default=0)
     ranked = sorted((p for p in worth if worth[p] >= least), key=lambda p: (-worth[p], p))[: 20 * s.landmarks]
     chosen: list[str] = []
@@ -339,6 +344,10 @@ class Model:
         self.table = ((marks.whiten @ weights[:-1]) @ marks.tables).astype(np.float32)[None, :]
         self.bias = float(weights[-1])
 
+    def margins(self, strings: list[str]) -> np.ndarray:
+        """Of single pieces."""
+        return _normalised(self.subsequences, self.table, strings)[:, 0] + self.bias
+
     def margins_of_words(self, words: list[str]) -> np.ndarray:
         """The greatest margin of each word's pieces; words begin with START."""
         size, out = np.fromiter(map(len, words), np.int64, len(words)), np.full(len(words), self.bias)
@@ -380,22 +389,32 @@ class Reader:
 def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model | None:
     """Of a bounded sample in memory; None without texts of both kinds or without anything that sets them apart."""
     toxic = np.array(labels, int) == 1
-    words = [words_of(t) for t in texts]
+    same: dict[str, str] = {}  # one object for each word, however many texts have it
+    words = [{same.setdefault(w, w) for w in words_of(t)} for t in texts]
     chosen = choose_landmarks(words, toxic, s) if toxic.any() and not toxic.all() else []
     if not chosen:
         return None
-    bags = [sorted({p for w in set(bag) for p in pieces(w) if len(p) >= s.order}) for bag in words]
-    strings = sorted({p for bag in bags for p in bag})
-    number = {p: k for k, p in enumerate(strings)}
-    bags = [np.fromiter((number[p] for p in bag), np.int64, len(bag)) for bag in bags]
+    number: dict[str, int] = {}
+    bags = []
+    for bag in words:
+        found = sorted({number.setdefault(p, len(number)) for w in bag for p in pieces(w) if len(p) >= s.order})
+        bags.append(np.array(found, np.int32))
+    del words, same
+    strings = list(number)
     often = np.zeros(len(strings))
     for bag, t in zip(bags, toxic):
         often[bag] += not t
+    del number
+    marks, parts = Landmarks(chosen, s), []
+    for k in range(0, len(strings), 20_000):
+        near = marks.values(strings[k : k + 20_000])
+        parts.append((near.argmax(axis=1).astype(np.int32), near.max(axis=1)))
+    kind, most = (np.concatenate(c) for c in zip(*parts))
+    # of clean words those that come nearest to a landmark are examples; others are far from any, and from the boundary
     clean = np.flatnonzero(often)
+    clean = np.sort(clean[np.argsort(-most[clean], kind="stable")[: s.max_words]])
     marks = with_neighbours(chosen, [strings[k] for k in clean if not any(c in strings[k] for c in chosen)], s)
-    values = marks.values(strings)
-    x, near = values @ marks.whiten, values[:, : len(chosen)]
-    kind, most = near.argmax(axis=1), near.max(axis=1)
+    x = marks.features([strings[k] for k in clean])
     # the examples of a toxic text: what comes nearest to each of the chosen landmarks that it holds, else its most toxic
     # word, at first that nearest to any, then that of the machine
     bad = [bag for bag, t in zip(bags, toxic) if t and len(bag)]
@@ -407,25 +426,31 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
                 best[kind[k]] = k
         held.append(list(best.values()))
     found = [bag[np.argmax(most[bag])] for bag in bad]
+    margin = np.zeros(len(strings))
+    candidates = np.unique(np.concatenate(bad))
     for _ in range(s.rounds):
         count: Counter = Counter()
         for own, other in zip(held, found):
             for k in own or [other]:
                 count[k] += 1 / len(own or [other])
         plain, weight = list(count), np.array(list(count.values()))
-        forms = [(f, w / s.forms) for c, w in zip(chosen, near[plain].T @ weight) for f in _forms(c, 4 * s.forms)]
+        at = np.zeros(len(chosen))
+        np.add.at(at, kind[plain], most[plain] * weight)
+        forms = [(f, w / s.forms) for c, w in zip(chosen, at) for f in _forms(c, 4 * s.forms)]
         more = marks.features([f for f, _ in forms])
-        examples = np.concatenate([x[clean], x[plain], more])
+        examples = np.concatenate([x, marks.features([strings[k] for k in plain]), more])
         y = np.r_[-np.ones(len(clean)), np.ones(len(plain) + len(more))]
         # a word of clean texts weighs as their number, all examples of a toxic text as one
         weights = _machine(examples, y, np.r_[often[clean], weight, [w for _, w in forms]] / len(bad), s.cost)
-        margin = x @ weights[:-1]
+        model = Model(marks, weights, 1.0, 0.0)
+        margin[candidates] = model.margins([strings[k] for k in candidates])
         new = [bag[np.argmax(margin[bag])] for bag in bad]
         if new == found:
             break
         found = new
+    margin = model.margins(strings)
+    margins = np.r_[[margin[bag].max(initial=model.bias) for bag in bags], more @ weights[:-1] + model.bias]
     # altered forms count as much as the toxic texts: the threshold lies between them and what clean texts hold
-    margins = np.r_[[margin[bag].max(initial=0.0) for bag in bags], more @ weights[:-1]] + weights[-1]
     kinds = np.r_[toxic, np.ones(len(more))]
     share = s.clean_weight * len(kinds)
     each = np.where(kinds > 0, (len(kinds) - share) / 2, share / (~toxic).sum())

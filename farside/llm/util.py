@@ -104,19 +104,17 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, parts: int = 512, least: int = 10_000) -> DataFrame:
-    """rows left-joined with a table that has one row for each key; both are stored tables. Keys that more than 1/parts of
-    all rows share (so at most `parts` of them, each with over `least` rows) are looked up in a broadcast table, the rest
-    meets in an exchange: no task gets all rows of a hot key."""
-    often = max(least, rows.count() // parts)
-    hot = table.join(F.broadcast(rows.groupBy(key).count().where(F.col("count") > often).select(key)), key, "left_semi")
-    hot = stash(hot.withColumn("_hot", F.lit(True)))
-    marked = rows.join(F.broadcast(hot.select(key, "_hot")), key, "left")
-    values = [c for c in table.columns if c != key]
-    few = rows.join(F.broadcast(hot.drop("_hot")), key)
-    rest = marked.where("_hot is null").select(*rows.columns).join(table, key, "left")
-    columns = [*rows.columns, *values]
-    return few.select(*columns).unionAll(rest.select(*columns))
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, parts: int = 512, least: int = 10_000) -> DataFrame:
+    """rows joined with a table that has one row for each key and, in its column `count`, the number of rows with that key;
+    both are stored tables. Keys that more than 1/parts of those rows share (so at most `parts` of them, each with over
+    `least` rows) are looked up in a broadcast table, the rest meets in an exchange: no task gets all rows of a hot key."""
+    often = max(least, (table.agg(F.sum(count)).first()[0] or 0) // parts)
+    hot, cold = (table.where(c).drop(count) for c in (F.col(count) > often, F.col(count) <= often))
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return few.unionAll(rest.select(*few.columns))
 
 
 #: 64-bit words of the largest filters: in Python workers (32 MB) and as a broadcast table of as many rows.

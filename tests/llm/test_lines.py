@@ -47,11 +47,11 @@ def corpus(rnd):
     return texts + [texts[0], "  \n\t\n", "漢字漢字漢字漢字" * 5, "漢字漢字漢字漢字" * 5 + "漢", "\n\n"]
 
 
-@pytest.mark.parametrize("block", [128, 2])
-def test_like_brute_force(spark, block):
+@pytest.mark.parametrize("shard", [2048, 2])
+def test_like_brute_force(spark, shard):
     texts = corpus(random.Random(5))
     want, links = brute(list(enumerate(texts)))
-    out, removed = L.marked(plain(spark, texts).repartition(3), block=block)
+    out, removed = L.marked(plain(spark, texts).repartition(3), shard=shard)
     got = {(r.doc_id, k) for r in out.collect() for k in r[removed] or ()}
     assert len(links) > 40 and got == want
 
@@ -121,7 +121,7 @@ def test_emptied_documents_can_go(spark):
 
 
 def test_large_buckets_like_brute_force(spark):
-    """All buckets of three lines or more are grouped in shards of seven: groups, pivots and what lies between them."""
+    """All buckets of more than seven lines are dealt in shards of so many: groups, pivots and what lies between them."""
     rnd = random.Random(21)
     base = ["".join(rnd.choice("abcdefghij klmno") for _ in range(90)) for _ in range(4)]
     texts = []
@@ -131,7 +131,7 @@ def test_large_buckets_like_brute_force(spark):
             x[rnd.randrange(len(x))] = rnd.choice("pqrstuvw")
         texts.append("".join(x))
     want, links = brute(list(enumerate(texts)))
-    out, removed = L.marked(plain(spark, texts), block=1, shard=7)
+    out, removed = L.marked(plain(spark, texts), shard=7)
     got = {(r.doc_id, k) for r in out.collect() for k in r[removed] or ()}
     assert len(links) > 80 and len(want ^ got) <= 1  # banding may miss a pair at the threshold
 
@@ -157,7 +157,7 @@ def test_grouping_of_a_bucket_loses_no_component(spark, tmp_path, shard):
     sets = [L.shingles(x) for x in texts]
     near = [(a, b) for a, b in combinations(range(len(texts)), 2) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
     stored = lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
-    tasks = stored(spark.createDataFrame([(7, k, len(texts)) for k in range(len(texts))], "task long, h long, size int"), "tasks")
+    tasks = stored(spark.createDataFrame([(0, k) for k in range(len(texts))], "lead long, h long"), "tasks")
     lines = stored(spark.createDataFrame(list(enumerate(texts)), "h long, line string"), "lines")
     got = [tuple(r) for r in L.large_links(tasks, lines, 0.8, functools.partial(L.Shingles, n=5), shard).collect()]
     assert set(map(frozenset, got)) <= set(map(frozenset, near)) and len(got) < len(near)

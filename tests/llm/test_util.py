@@ -57,6 +57,7 @@ def test_filters_beyond_their_bound_keep_all(spark, monkeypatch):
 
 def test_hot_join(spark):
     rows = spark.createDataFrame([(k % 7 if k < 300 else 99, k) for k in range(1000)], "k long, v long")
-    table = spark.createDataFrame([(k, str(k)) for k in (0, 1, 2, 99)], "k long, w string")
-    want = sorted(map(tuple, rows.join(table, "k", "left").collect()), key=str)
-    assert sorted(map(tuple, util.hot_join(rows, table, "k", parts=4, least=10).collect()), key=str) == want
+    table = spark.createDataFrame([(k, str(k), n) for k, n in ((0, 43), (1, 43), (2, 43), (99, 700))], "k long, w string, n long")
+    want = sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
+    for least in (10, 10_000):
+        assert sorted(map(tuple, util.hot_join(rows, table, "k", "n", parts=4, least=least).select("k", "v", "w").collect())) == want
