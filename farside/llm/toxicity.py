@@ -45,6 +45,8 @@ from .util import column_name, discard, small_batches, stash
 #: a word or before an ending, long ones for long insults.
 SCALES = ((8, 2), (12, 4))
 WIDTH = 12
+#: Strings looked up together, so that their keys stay in the processor's cache.
+STEP = 256
 START = "^"
 #: From this kernel value on a word of a toxic text is an example for a landmark.
 HELD = 0.6
@@ -128,6 +130,48 @@ def _choices(length: int, order: int, decay: float) -> tuple[np.ndarray, np.ndar
     return at, (decay ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
 
 
+@functools.cache
+def _pairs(length: int, order: int) -> np.ndarray | None:
+    """For each row of _choices, the places of its first and of its last two letters in the list of all pairs of places;
+    None for another order than four."""
+    if order != 4:
+        return None
+    number = {p: k for k, p in enumerate(itertools.combinations(range(length), 2))}
+    at, _ = _choices(length, order, 1.0)
+    return np.array([(number[a, b], number[c, d]) for a, b, c, d in at.tolist()], np.int64).reshape(-1, 2)
+
+
+class OwnValues:
+    """Roots of strings' own kernel values. These follow from which letters of a string are equal, so each pattern of
+    equal letters is worked out once; the table is emptied when full."""
+
+    MOST = 100_000
+
+    def __init__(self, order: int, decay: float):
+        self.order, self.decay = order, decay
+        self.known: dict[int, float] = {}
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Of rows of codes of one length, without padding."""
+        pattern = np.full(len(codes), codes.shape[1], np.int64)
+        columns = np.ascontiguousarray(codes.T)
+        for i, column in enumerate(columns):
+            first = np.full(len(codes), i, np.int64)
+            for j in range(i - 1, -1, -1):
+                first[columns[j] == column] = j
+            pattern = pattern * WIDTH + first
+        kinds, at, kind = np.unique(pattern, return_index=True, return_inverse=True)
+        new = np.array([k for k, p in enumerate(kinds.tolist()) if p not in self.known], np.int64)
+        if len(self.known) + len(new) > self.MOST:
+            self.known, new = {}, np.arange(len(kinds))
+        rows = codes[at[new]]
+        for k in range(0, len(new), 2048):
+            part = rows[k : k + 2048]
+            value = np.sqrt(subsequence_kernel(part, part, self.order, self.decay))
+            self.known.update(zip(kinds[new[k : k + 2048]].tolist(), value.tolist()))
+        return np.array([self.known[p] for p in kinds.tolist()])[kind.reshape(-1)]
+
+
 class Subsequences:
     """The subsequences of `order` letters that some landmark has, numbered from 1; all others are 0. Letters are digits
     of a key (0: in no landmark), and keys are looked up directly if the letters are few enough for a table of them."""
@@ -135,7 +179,7 @@ class Subsequences:
     def __init__(self, strings: list[str], order: int, decay: float):
         codes = _codes(strings)
         self.letters, self.order, self.decay = np.unique(codes[codes > 0]), order, decay
-        self.base = len(self.letters) + 1
+        self.base, self.own = len(self.letters) + 1, OwnValues(order, decay)
         keys = [self._keys(c[c > 0][None, :])[0][:, 0] for c in codes]
         self.found = np.unique(np.concatenate(keys))
         self.direct = None
@@ -149,6 +193,13 @@ class Subsequences:
         digits = np.where(self.letters[at] == codes, at + 1, 0).T
         digits = np.ascontiguousarray(digits, np.int32 if self.base**self.order < 1 << 31 else np.int64)
         places, weight = _choices(codes.shape[1], self.order, self.decay)
+        ends = _pairs(codes.shape[1], self.order)
+        if ends is not None and len(ends):
+            a, b = np.array(list(itertools.combinations(range(codes.shape[1]), 2))).T
+            two = digits[a] * digits.dtype.type(self.base) + digits[b]
+            key = (two * digits.dtype.type(self.base**2))[ends[:, 0]]
+            key += two[ends[:, 1]]
+            return key, weight
         key = np.zeros((len(places), len(codes)), digits.dtype)
         for place in places.T:
             key *= self.base
@@ -165,10 +216,10 @@ class Subsequences:
     def sums(self, codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """For rows of codes of one length: of all subsequences, the weight times the number in each of the tables."""
         out = np.zeros((len(tables), len(codes)), np.float64)
-        for k in range(0, len(codes), 1024):
-            number, weight = self.numbers(codes[k : k + 1024])
+        for k in range(0, len(codes), STEP):
+            number, weight = self.numbers(codes[k : k + STEP])
             for row, table in zip(out, tables):
-                row[k : k + 1024] = weight @ table[number]
+                row[k : k + STEP] = weight @ table[number]
         return out
 
     def profile(self, code: np.ndarray) -> np.ndarray:
@@ -207,8 +258,7 @@ def _values(subsequences: Subsequences, tables: np.ndarray, codes: np.ndarray) -
     """(tables, rows) of the tables' sums over each row, divided by the root of its own kernel value."""
     if codes.shape[1] < subsequences.order:
         return np.zeros((len(tables), len(codes)))
-    own = [subsequence_kernel(codes[k : k + 2048], codes[k : k + 2048], subsequences.order, subsequences.decay) for k in range(0, len(codes), 2048)]
-    return subsequences.sums(codes, tables) / np.sqrt(np.concatenate(own))
+    return subsequences.sums(codes, tables) / subsequences.own(codes)
 
 
 def _normalised(subsequences: Subsequences, tables: np.ndarray, strings: list[str]) -> np.ndarray:
@@ -343,6 +393,10 @@ class Model:
         self.subsequences, self.strings, self.slope, self.offset = marks.subsequences, marks.strings, slope, offset
         self.table = ((marks.whiten @ weights[:-1]) @ marks.tables).astype(np.float32)[None, :]
         self.bias = float(weights[-1])
+        self.reader: Reader | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"reader": None}
 
     def margins(self, strings: list[str]) -> np.ndarray:
         """Of single pieces."""
@@ -373,11 +427,10 @@ class Reader:
         self.known: dict[str, float] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = {w for words in texts for w in words} - self.known.keys()
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = {w for words in texts for w in words}
-        new = list(new)
+            self.known, new = {}, list(words)
         best = self.model.margins_of_words(list(map(letters_of, new)))
         self.known.update(zip(new, best.tolist()))
 
@@ -502,10 +555,12 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
 
     def run(batches):
         fitted = sent.value
-        reader = Reader(fitted) if fitted else None
+        if fitted and fitted.reader is None:
+            fitted.reader = Reader(fitted)  # a worker's next tasks find the words of those before
+        reader = fitted.reader if fitted else None
         for big in batches:
-            for k in range(0, big.num_rows, 128):
-                batch = big.slice(k, 128)
+            for k in range(0, big.num_rows, 512):
+                batch = big.slice(k, 512)
                 if reader is None:
                     scores = [0.0] * batch.num_rows
                 else:
