@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .util import column_name, small_batches
+from .util import column_name, small_batches, tidy
 
 #: Fixed value: the pre-splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -317,7 +317,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -332,7 +332,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col:
                 texts = pa.array([automaton.decode(x or ()) for x in _arrays(batch.column(at))], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def _pieces(batch, step: int = 256):
@@ -361,7 +361,7 @@ def digest(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
             digests = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *digests], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def default_tokenizer() -> str:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import bloom_bits, bloom_has, column_name, components, discard, hot_join, small_batches, split_by_bloom, stash
+from .util import bloom_bits, bloom_has, column_name, components, discard, hot_join, small_batches, split_by_bloom, stash, tidy
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SHARD, MANY = 5, 16, 6, 0.8, 2048, 32
 TASKS = "task long, lead long, h long, size int"
@@ -459,15 +459,15 @@ def large_links(tasks: DataFrame, lines: DataFrame, threshold: float, make, shar
     tasks = tasks.join(tasks.groupBy("task").agg(F.count("*").alias("size")), "task")
     dealt = tasks.withColumn("shard", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / shard)).cast("int")).join(lines, "h")
     dealt = dealt.repartition("task", "shard").sortWithinPartitions("task", "shard", "h").select("task", "shard", "h", "line")
-    found = stash(dealt.mapInArrow(_grouped(threshold, make), _KINDS))
+    found = stash(dealt.mapInArrow(tidy(_grouped(threshold, make)), _KINDS))
     groups = found.where("kind = 1").join(lines.withColumnRenamed("h", "a"), "a")
     met = groups.repartition("task").sortWithinPartitions("task", "a").select("task", "a", "b", "d", "line")
-    met = stash(met.mapInArrow(_pivots(threshold, make), _KINDS))
+    met = stash(met.mapInArrow(tidy(_pivots(threshold, make)), _KINDS))
     pairs = met.where("kind = 3").select("task", F.xxhash64("task", "a", "b").alias("pair"), "a", "b")
     ends = pairs.select("task", "pair", F.lit(0).alias("side"), "a").unionAll(pairs.select("task", "pair", F.lit(1).alias("side"), F.col("b").alias("a")))
     members = found.where("kind = 2").select("task", "a", F.col("b").alias("h"))
     sides = ends.join(members, ["task", "a"]).join(lines, "h").repartition("pair").sortWithinPartitions("pair", "side", "h")
-    last = sides.select("pair", "side", "h", "line").mapInArrow(_between(threshold, make), _KINDS)
+    last = sides.select("pair", "side", "h", "line").mapInArrow(tidy(_between(threshold, make)), _KINDS)
     return found.unionAll(met).unionAll(last).where("kind = 0").select("a", "b")
 
 
@@ -519,10 +519,10 @@ def link(
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    keyed = texts.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets, TASKS).distinct())
+    keyed = texts.mapInArrow(tidy(_banded(bands, rows, shingle)), "key long, h long")
+    tasks = stash(keyed.repartition("key").mapInArrow(tidy(_buckets), TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
-    near = texts.mapInArrow(_wanted(bits), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
+    near = texts.mapInArrow(tidy(_wanted(bits)), "h long, line string").groupBy("h").agg(F.first("line").alias("line"))
     large = tasks.where(F.col("size") > shard)
     some = not large.isEmpty()
     near = stash(near) if some else near
@@ -531,7 +531,7 @@ def link(
     share = F.pmod(F.col("task"), F.lit(4))
     dealt = tasks.where(F.col("size") <= shard).join(near, "h").repartition("lead", share)
     dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
-    found = dealt.mapInArrow(_verify(threshold, shingle), "a long, b long")
+    found = dealt.mapInArrow(tidy(_verify(threshold, shingle)), "a long, b long")
     if some:
         found = found.unionAll(large_links(large.select("lead", "h"), near, threshold, functools.partial(Shingles, n=shingle), shard))
     found = stash(found)
@@ -546,7 +546,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, **settings) -> DataFra
     found = link(docs, text_col, **settings)
     roots = components(found)
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_occurrences, "i long, t long, pos int, h long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(tidy(_occurrences), "i long, t long, pos int, h long")
     lines = stash(rows.join(roots, F.col("h") == F.col("node"), "left").select("i", "t", "pos", F.coalesce("root", "h").alias("root")))
     kept = lines.groupBy("root").agg(F.min(F.struct("i", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     kept = stash(kept)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lines import TASKS, Groups, _buckets, band_keys, large_links
-from .util import bloom_bits, bloom_has, discard, stash
+from .util import bloom_bits, bloom_has, discard, stash, tidy
 
 WORDS, THRESHOLD, BANDS, ROWS, SHARD, MANY = 5, 0.8, 20, 5, 512, 32
 _U = np.uint64
@@ -156,15 +156,15 @@ def link(texts: DataFrame, banded: DataFrame, words: int = WORDS, threshold: flo
     """Links (a, b: nodes) of verified similarity, stored; a spanning forest of each task's. texts: (text); banded: (node,
     keys) of the same documents."""
     keyed = banded.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("h"))
-    tasks = stash(keyed.repartition("key").mapInArrow(_buckets, TASKS).distinct())
+    tasks = stash(keyed.repartition("key").mapInArrow(tidy(_buckets), TASKS).distinct())
     bits = bloom_bits(tasks.select("h"))
-    near = texts.mapInArrow(_wanted(bits, words), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("line"))
+    near = texts.mapInArrow(tidy(_wanted(bits, words)), "h long, shingles binary").groupBy("h").agg(F.first("shingles").alias("line"))
     large = tasks.where(F.col("size") > shard)
     some = not large.isEmpty()
     near = stash(near) if some else near
     dealt = tasks.where(F.col("size") <= shard).join(near, "h").repartition("lead", F.pmod(F.col("task"), F.lit(4)))
     dealt = dealt.sortWithinPartitions("lead", "task", "h").select("task", "h", "line")
-    found = dealt.mapInArrow(_verify(threshold), "a long, b long")
+    found = dealt.mapInArrow(tidy(_verify(threshold)), "a long, b long")
     if some:
         found = found.unionAll(large_links(large.select("lead", "h"), near, threshold, Hashes, shard))
     found = stash(found)

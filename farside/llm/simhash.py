@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingled
-from .util import column_name, components, discard, forest, hot_join, small_batches, stash
+from .util import column_name, components, discard, forest, hot_join, small_batches, stash, tidy
 
 SEED, WORDS = 42, 3
 _LANES = np.uint64(0x0101010101010101)
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long: the unsigned fingerprint's bits) for each row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches(words), "doc_id long, fp long")
+    return rows.mapInArrow(tidy(_fingerprint_batches(words)), "doc_id long, fp long")
 
 
 def masks(n_blocks: int, max_bits: int) -> list[int]:
@@ -160,7 +160,7 @@ def link(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in found])).alias("k", "mask"))
     keyed = keyed.select("k", "fp", F.expr("fp & mask").alias("key"))
     dealt = keyed.repartition("k", "key").sortWithinPartitions("k", "key", "fp")
-    return dealt.select("k", "fp").mapInArrow(_verify(found, max_bits), "a long, b long")
+    return dealt.select("k", "fp").mapInArrow(tidy(_verify(found, max_bits)), "a long, b long")
 
 
 def rooted(fps: DataFrame, n_blocks: int = 5, max_bits: int = 2) -> DataFrame:
@@ -227,7 +227,7 @@ def _fingerprints_with_key(marked: DataFrame, id_col: str, text_col: str, key: s
             keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), pa.array(nodes.view(np.int64)), keys], names=["doc_id", "fp", "h", "node", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long, h long, node long, keys array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long, h long, node long, keys array<long>")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

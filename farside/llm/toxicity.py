@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name, discard, small_batches, stash
+from .util import column_name, discard, small_batches, stash, tidy
 
 #: Letters in a piece of a longer word, and from one piece's start to the next one's: short pieces for what stands within
 #: a word or before an ending, long ones for long insults.
@@ -422,7 +422,7 @@ class Model:
 class Reader:
     """Margins of words, kept for words seen; emptied when full."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.known: dict[str, float] = {}
 
@@ -569,7 +569,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
                     scores = [reader.score(w) for w in words]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def screen(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def tidy(function):
+    """A function over Arrow batches that hands freed memory back when its task ends: Arrow and the C library keep it
+    otherwise, and Python workers stay for tasks to come beside those of other stages."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others have no such call
+            if trim:
+                trim(0)
+
+    return run
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of df's, compared without case."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -76,11 +94,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     clean = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b"))
-    edges = stash(clean.where("a <> b").mapInArrow(_local_forest, "a long, b long"))
+    edges = stash(clean.where("a <> b").mapInArrow(tidy(_local_forest), "a long, b long"))
     while _tangled(edges):
         large = _star(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         ordered = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = stash(_star(ordered, larger=False).mapInArrow(_local_forest, "a long, b long").distinct())
+        new = stash(_star(ordered, larger=False).mapInArrow(tidy(_local_forest), "a long, b long").distinct())
         discard(edges)
         edges = new
     out = edges.toDF("node", "root")
