@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, lines, media, mixing, pii, simhash, suffixes, toxicity, urls
+from . import bpe, embeddings, lines, media, mixing, periodic, pii, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_audio": media.op9_audio,
     "op10_simhash": simhash.op10_simhash,
+    "op11_runs": periodic.op11_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
