@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, lines, media, mixing, periodic, pii, simhash, suffixes, toxicity, urls
+from . import bpe, embeddings, lines, media, mixing, periodic, pieces, pii, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_audio": media.op9_audio,
     "op10_simhash": simhash.op10_simhash,
     "op11_runs": periodic.op11_runs,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {

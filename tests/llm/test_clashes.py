@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from common import directory, docs
 
-from farside.llm import bpe, lines, media, mixing, periodic, pii, simhash, suffixes, toxicity, urls
+from farside.llm import bpe, lines, media, mixing, periodic, pieces, pii, simhash, suffixes, toxicity, urls
 
 HERE = Path(bpe.__file__).parent
 #: Every string in the subpackage's code that could name a column, apart from those of the tables themselves.
@@ -35,6 +35,7 @@ OPERATORS = {
     "mixed": lambda df: mixing.mixed(df),
     "pii": lambda df: pii.pseudonymise(df, "key"),
     "suffixes": lambda df: suffixes.remove_repeats(df, length=20, gram=8),
+    "pieces": lambda df: pieces.encode(df, pieces.default_model()),
     "runs": lambda df: periodic.collapse(df),
     "score": lambda df: toxicity.score(df, None),
     "media": lambda df: media.to_pcm(df.selectExpr("*", "cast(text as binary) as media")).drop("media"),
