@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, lines, media, mixing, periodic, pieces, pii, simhash, suffixes, toxicity, urls
+from . import bpe, embeddings, lines, media, mixing, periodic, pieces, pii, simhash, suffixes, toxicity, tries, urls
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -17,8 +17,10 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_runs": periodic.op11_runs,
     "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_prefix_trie": tries.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
+    "op13_prefix_trie": tries.SQL,
 }
