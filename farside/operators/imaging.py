@@ -8,28 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import Observation
-from ..functions.complex import cmul, turn
+from ..functions.complex import cabs, cmul, turn
 from ..plans.staging import stash
+from . import visibility
 from .baselines import with_directions
-from .visibility import hidden, pairs
+from .mask import pixels_of, quadtree, sifted
+from .visibility import exact_sum, extent, hidden, met, spread
+
+#: Bytes of a baseline when it is broadcast.
+ROW_BYTES = 128
 
 
 def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked: bool, hermitian: bool = False) -> DataFrame:
     """(day, ipix, c_re, c_im): the sum over each day's weighted, re-phased visibilities. hermitian: the rows are one half
-    of baselines whose other half is their mirror, so the sum is twice the real part."""
+    of baselines whose other half is their mirror, so the sum is twice the real part.
+
+    Few baselines are broadcast, and each task has some blocks of the sky: a block that is hidden from a baseline goes no
+    further. More are sent to the tiles they do not miss, once each; a task has a tile and a part of the baselines, and sums
+    of its pixels leave it once for each day."""
     columns = ["day", "u", "v", "w", "re", "im", "wt"]
     if masked:
         baselines = with_directions(baselines)
         columns += [f"{a}{k}" for k in "12" for a in "abc"]
     few = stash(baselines.select(*columns))
     sky = sky.select("ipix", "l", "m", "n")
-    # blocks of one or two days: a task's sums are then of so many days and not of all
-    both = pairs(sky, sky.count(), few, few.count(), order=("day", "u"))
+    pixels, nside, _ = extent(sky)
+    tree = quadtree(sky, nside, observation)
+    # sums of a day are at most this
+    n, most = few.groupBy("day").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("wt")) * cabs((F.col("re"), F.col("im")))).alias("most")).agg(F.sum("n"), F.max("most")).first()
+    if (n or 0) * ROW_BYTES <= visibility.BROADCAST_BYTES:
+        blocks = tree.blocks.drop("tile", "size")
+        both = spread(blocks, -(-pixels // 16), 64).crossJoin(F.broadcast(few))
+        both = sifted(both, forward=False) if masked else both.withColumn("sure", F.lit(True))
+    else:
+        both = met(few, n, tree, pixels, False, masked, ("u", "v", "w"))
+    both = pixels_of(both)
     if masked:
-        both = both.where(~hidden(observation))
+        both = both.where(F.col("sure") | ~hidden(observation))
     phase = 2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * F.col("n"))
     re, im = cmul((F.col("re"), F.col("im")), turn(phase))
-    real, imaginary = F.sum(F.col("wt") * re), F.sum(F.col("wt") * im)
+    real, imaginary = (exact_sum(F.col("wt") * part, most or 0.0) for part in (re, im))
     found = both.groupBy("day", "ipix").agg(*([(2 * real).alias("c_re")] if hermitian else [real.alias("c_re"), imaginary.alias("c_im")]))
     found = found.withColumn("c_im", F.lit(0.0)) if hermitian else found
     if not masked:

@@ -1,8 +1,10 @@
 """Forward model: visibilities through the Moon's mask.
 
-Each baseline meets every pixel once. The smaller side is broadcast only after its size has been checked; beyond the bound
-both sides are cut into partitions and Spark's Cartesian product pairs them, so that no task holds more than one block of
-each. Sums are combined before the one small exchange.
+Each baseline meets the blocks of the sky that its satellites see, found from coarse cells downwards (mask.py), and in these
+every pixel. The sky's blocks are broadcast only after their size has been checked. Beyond the bound baselines are sent to the
+tiles that they see: tiles and parts of the baselines are explicit keys, so one exchange brings a baseline to a tile once, and a
+task holds one tile. Sums are combined before the one small exchange, and they are sums of scaled whole numbers: equal inputs
+give equal bits however they are partitioned.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import Observation
+from ..constants import Observation, nside_to_npix
 from ..functions.complex import cmul, turn
 from ..plans.staging import stash
 from .baselines import with_directions
+from .mask import Quadtree, descend, pixels_of, quadtree, sifted
 
 #: Bytes up to which a side may be broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Rows in a block of the Cartesian product.
+#: Bytes of a pixel in a block.
+PIXEL_BYTES = 64
+#: Rows of baselines that meet one tile in one task.
 BLOCK_ROWS = 50_000
 
 
@@ -29,14 +34,42 @@ def spread(df: DataFrame, rows: int, per_task: int = 256) -> DataFrame:
     return df.repartition(max(1, min(-(-rows // 8), max(2 * cores, -(-rows // per_task)))))
 
 
-def pairs(many: DataFrame, n_many: int, few: DataFrame, n_few: int, row_bytes: int = 128, order: tuple[str, ...] = ()) -> DataFrame:
-    """The cross product of two materialised tables whose row counts are known. order: columns of the few to cut their
-    blocks by, so that a block holds few values of the first one."""
-    if n_few * row_bytes <= BROADCAST_BYTES:
-        return spread(many, n_many).crossJoin(F.broadcast(few))
-    blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
-    cut = few.repartitionByRange(blocks(n_few), *order) if order else few.repartition(blocks(n_few))
-    return many.repartition(blocks(n_many)).hint("shuffle_replicate_nl").crossJoin(cut)
+def extent(sky: DataFrame) -> tuple[int, int, float]:
+    """(rows, nside, sum of absolute brightness) of a materialised sky; nside of the smallest whole sky that holds it."""
+    bright = F.sum(F.abs("b")) if "b" in sky.columns else F.lit(0.0)
+    rows, last, total = sky.agg(F.count("*"), F.max("ipix"), bright).first()
+    nside = 1
+    while rows and nside_to_npix(nside) <= last:
+        nside *= 2
+    return rows, nside, total or 0.0
+
+
+def exact_sum(term: Column, bound: float) -> Column:
+    """Sum of terms whose absolute values add up to at most `bound`: as whole numbers of a fixed step, 2^-61 of the bound or
+    less, so that the order of adding is of no consequence. Terms that are not finite, of which the bound tells, are added
+    as they are."""
+    if not math.isfinite(bound):
+        return F.sum(term)
+    step = 2.0 ** (61 - math.frexp(max(bound, 1e-290))[1])
+    return F.sum(F.rint(term * step).cast("long")) / step
+
+
+def met(rows: DataFrame, n_rows: int, tree: Quadtree, n_pixels: int, forward: bool, masked: bool, key: tuple[str, ...]) -> DataFrame:
+    """Every row of directions with the blocks it does not miss, and sure: their pixels need no test. key: columns that tell the
+    rows apart, to deal them by."""
+    if masked:
+        rows = descend(rows, tree.levels, forward)
+    else:
+        rows = rows.crossJoin(F.broadcast(tree.levels[-1].select("cell"))).withColumn("sure", F.lit(True))
+    blocks = tree.blocks
+    if n_pixels * PIXEL_BYTES <= BROADCAST_BYTES:
+        both = rows.join(F.broadcast(blocks), F.col("cell") == F.col("tile"))
+    else:
+        parts = max(1, -(-n_rows // BLOCK_ROWS))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+        blocks = blocks.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = rows.join(blocks.hint("shuffle_hash"), (F.col("cell") == F.col("tile")) & (F.col("part") == F.col("of"))).drop("part", "of")
+    return sifted(both.drop("cell", "tile"), forward)
 
 
 def cosine(k: str) -> Column:
@@ -57,18 +90,36 @@ def hidden(observation: Observation) -> Column:
     return one("1") | one("2")
 
 
+def _half(half: DataFrame) -> DataFrame:
+    return stash(with_directions(half).select("day", "bid", "u", "v", "w", *(f"{a}{k}" for k in "12" for a in "abc")))
+
+
+def _every(half: DataFrame, sums: DataFrame) -> DataFrame:
+    """Sums of all baselines, also of those that see nothing."""
+    zero = [F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType)).alias(c) for c in sums.columns[2:]]
+    return half.select("day", "bid").join(sums, ["day", "bid"], "left").select("day", "bid", *zero)
+
+
 def forward(half: DataFrame, sky: DataFrame, observation: Observation, masked: bool = True) -> DataFrame:
     """(day, bid, re, im, n_visible) for each baseline of the half, also for those that see nothing."""
-    half = stash(with_directions(half).select("day", "bid", "u", "v", "w", *(f"{a}{k}" for k in "12" for a in "abc")))
-    both = pairs(half, half.count(), sky, sky.count())
-    open_ = seen(observation) if masked else F.lit(True)
+    half, (pixels, nside, bright) = _half(half), extent(sky)
+    n = half.count()
+    both = pixels_of(met(spread(half, n), n, quadtree(sky, nside, observation), pixels, True, masked, ("day", "bid")))
+    open_ = F.col("sure") | seen(observation) if masked else F.lit(True)
     phase = -2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * (F.col("n") - 1))
     re, im = turn(phase)
-    return both.groupBy("day", "bid").agg(
-        F.sum(F.when(open_, F.col("b") * re).otherwise(0.0)).alias("re"),
-        F.sum(F.when(open_, F.col("b") * im).otherwise(0.0)).alias("im"),
-        F.count(F.when(open_, 1)).alias("n_visible"),
-    )
+    sums = [exact_sum(F.col("b") * part, bright).alias(name) for name, part in (("re", re), ("im", im))]
+    return _every(half, both.where(open_).groupBy("day", "bid").agg(*sums, F.count("*").alias("n_visible")))
+
+
+def visible_counts(half: DataFrame, sky: DataFrame, observation: Observation) -> DataFrame:
+    """(day, bid, n_visible) alone: wholly seen blocks are counted, only mixed ones come down to pixels."""
+    half, (pixels, nside, _) = _half(half), extent(sky)
+    n = half.count()
+    tree = quadtree(sky.select("ipix", "l", "m", "n"), nside, observation)
+    both = pixels_of(met(spread(half, n), n, tree, pixels, True, True, ("day", "bid")), all_=False)
+    found = F.when(F.col("sure"), F.col("size")).when(seen(observation), 1).otherwise(0)
+    return _every(half, both.groupBy("day", "bid").agg(F.sum(found).alias("n_visible")))
 
 
 def rephased(viss: DataFrame) -> DataFrame:

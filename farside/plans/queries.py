@@ -135,7 +135,7 @@ def _viss(spark: SparkSession, sf: str, masked: bool = True) -> DataFrame:
 
 
 def vis_mask_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _viss(spark, sf).select("day", "bid", "n_visible")
+    return V.visible_counts(fixtures.half(spark, sf), fixtures.sky(spark, sf)[0], OBSERVATION)
 
 
 def vis_forward(spark: SparkSession, sf: str) -> DataFrame:

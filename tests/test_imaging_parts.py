@@ -1,6 +1,7 @@
 """Invariants, edge rows and larger-than-broadcast plans of the imaging chain."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from farside.functions import complex as X
 from farside.operators import baselines as B
 from farside.operators import healpix as H
 from farside.operators import imaging as I
+from farside.operators import mask as M
 from farside.operators import visibility as V
 from farside.operators import weights as W
 from farside.operators.sky import sky_lmn
@@ -97,14 +99,78 @@ def test_hidden_days_are_dark_not_missing(spark, small_sky):
     assert I.image(rows, small_sky, OBS, masked=True).count() == 48
 
 
-def test_blocks_beyond_the_broadcast_bound(spark, small_sky, monkeypatch):
-    half = baseline(spark, [(k, 1, 2, 0, 0, 1, 0, 1, 1, 3) for k in range(20)])
-    near = {r.bid: (round(r.re, 9), r.n_visible) for r in V.forward(half, small_sky, OBS).collect()}
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_beyond_the_broadcast_bound(spark, small_sky, monkeypatch):
+    """Keyed tiles give the same rows, and each side is sent once for each tile, or part, that it meets."""
+    half = baseline(spark, [(k, 1, 2, 0, 0, 1, 0, k % 5 - 2, 1, 3) for k in range(20)]).withColumn("day", (F.col("bid") % 2).cast("int"))
+    full = half.withColumns({"re": F.col("bid") + 0.5, "im": F.lit(1.5), "wt": F.lit(0.1)})
+    values = lambda: ({(r.day, r.bid): r for r in V.forward(half, small_sky, OBS).collect()}, {(r.day, r.ipix): r for r in I.image(full, small_sky, OBS, masked=True).collect()})
+    near = values()
     monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(V, "BLOCK_ROWS", 7)
-    plan = V.forward(half, small_sky, OBS)
-    assert "CartesianProduct" in plan._jdf.queryExecution().executedPlan().toString()
-    assert {r.bid: (round(r.re, 9), r.n_visible) for r in plan.collect()} == near
+    for plan in (plan_of(V.forward(half, small_sky, OBS)), plan_of(I.image(full, small_sky, OBS, masked=True))):
+        assert "ShuffledHashJoin" in plan and "CartesianProduct" not in plan
+    assert values() == near  # the same bits
+    tree = M.quadtree(small_sky, 2, OBS)
+    rows = stash(V._half(half))
+    seen = M.descend(rows, tree.levels, True).count()
+    assert seen < 20 * 48 and V.met(rows, 20, tree, 48, True, True, ("bid",)).count() <= seen  # a baseline once for each tile
+    assert tree.blocks.count() * 3 == 48 * 3  # and a tile once for each of three parts
+
+
+@pytest.mark.parametrize("nside", [4, 32, 64, 128])
+def test_quadtree_holds_the_mask(spark, nside):
+    """What goes down to pixels is what is seen and the rim; nothing seen is missed, nothing sure is hidden."""
+    angles = H.pix2ang_nest(spark, nside).withColumn("b", F.lit(1.0))
+    sky = stash(sky_lmn(angles, C.nside_to_npix(nside)))
+    tree = M.quadtree(sky, nside, OBS)
+    rng = random.Random(nside)
+    rows = [(0, 0, 0, *(rng.gauss(0, 1) for _ in range(6)), 1) for _ in range(3)] + [(0, 0, 0, 0, 0, 0, 0, 0, 1, 1)]
+    half = stash(V._half(baseline(spark, rows)))
+    all_ = half.crossJoin(F.broadcast(sky))
+    share = all_.where(V.seen(OBS)).groupBy("bid").count().toPandas().set_index("bid")["count"].to_dict()
+    found = stash(M.pixels_of(V.met(half, 4, tree, 12 * nside**2, True, True, ("bid",))))
+    made = found.groupBy("bid").agg(F.count("*").alias("n"), F.sum(F.when(F.col("sure"), 1).otherwise(0)).alias("sure"), F.sum(F.when(V.seen(OBS), 1).otherwise(0)).alias("seen"), F.sum(F.when(F.col("sure") & ~V.seen(OBS), 1).otherwise(0)).alias("wrong")).toPandas().set_index("bid")
+    assert made.wrong.sum() == 0 and made.seen.to_dict() == share and 3 not in made.index
+    if nside >= 32:
+        # the two rims have length 4 pi sin(phi); blocks they touch reach at most two block widths to either side
+        width = math.sqrt(4 * math.pi / tree.blocks.count())
+        rim = 12 * nside**2 * min(1, 2 * 2 * math.pi * math.sin(OBS.open_angle) * 4 * width / (4 * math.pi))
+        assert all(made.n[k] <= share[k] + rim for k in share) and made.n.max() < 12 * nside**2
+    counts = {r.bid: r.n_visible for r in V.visible_counts(baseline(spark, rows), sky, OBS).collect()}
+    assert counts == {k: share.get(k, 0) for k in range(4)}
+    # inversely: nothing that is not hidden is missed
+    kept = M.pixels_of(V.met(half, 4, tree, 12 * nside**2, False, True, ("bid",)))
+    assert kept.where(F.col("sure") & V.hidden(OBS)).isEmpty()
+    assert kept.where(~V.hidden(OBS)).count() == all_.where(~V.hidden(OBS)).count()
+
+
+def test_large_skies_descend(spark):
+    """At nside 512 five levels lie between cells and pixels: few tests settle a satellite's three million pixels."""
+    angles = H.pix2ang_nest(spark, 512)
+    sky = stash(sky_lmn(angles.withColumn("b", F.lit(1.0)), C.nside_to_npix(512)))
+    tree = M.quadtree(sky, 512, OBS)
+    half = stash(V._half(baseline(spark, [(0, 0, 0, 1, 2, 3, 3, -1, 2, 1)])))
+    blocks = stash(V.met(half, 1, tree, 1, True, True, ("bid",)).select("sure", "size"))
+    seen = sky.crossJoin(F.broadcast(half)).where(V.seen(OBS)).count()
+    sure, mixed = (blocks.where(c).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for c in ("sure", "not sure"))
+    assert len(tree.levels) >= 1 and sure <= seen <= sure + mixed and mixed < 0.05 * 3145728
+
+
+def test_sums_do_not_depend_on_partitions(spark, sf_dir):
+    found = []
+    for parts in (2, 8):
+        half, sky = fixtures.half(spark, sf_dir).repartition(parts), stash(fixtures.sky(spark, sf_dir)[0].repartition(parts))
+        viss = stash(V.forward(half, sky, OBS))
+        full = viss.join(half, ["day", "bid"]).withColumn("wt", F.lit(0.1)).repartition(parts)
+        found.append((sorted(map(tuple, viss.collect())), sorted(map(tuple, I.image(full, sky, OBS, masked=True).collect()))))
+    assert found[0] == found[1]
+    # not finite: as it is
+    bad = stash(sky.withColumn("b", F.when(F.col("ipix") == 5, float("inf")).otherwise(F.col("b"))))
+    assert any(not math.isfinite(r.re) for r in V.forward(half, bad, OBS).collect())
 
 
 def test_total_takes_nan_as_zero(spark):
