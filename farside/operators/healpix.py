@@ -85,3 +85,40 @@ def indexed(spark: SparkSession, nside: int) -> DataFrame:
 def pix2ang_nest(spark: SparkSession, nside: int) -> DataFrame:
     """ipix, theta, phi."""
     return with_angles(stash(indexed(spark, nside).select("ipix", "jr", "nr", "kshift", "region", "jp")), nside).select("ipix", "theta", "phi")
+
+
+def _spaced(v: Column, bits: int) -> Column:
+    """Bits of v moved to every second place."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out.bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(1 << k)), k))
+    return out
+
+
+def ang2pix_nest(df: DataFrame, nside: int) -> DataFrame:
+    """df (with theta, phi) and ipix: the pixel that holds the direction. In the belt two families of lines, rising and
+    falling with longitude, bound the pixels; at the caps both turn with the square root of the distance to the pole."""
+    bits = _power_of_two(nside)
+    z, turn = F.cos("theta"), F.pmod(F.col("phi") / (math.pi / 2), F.lit(4.0))
+    df = df.withColumns({"_z": z, "_t": turn}).withColumns({"_q": F.least(F.floor("_t"), F.lit(3).cast("long")), "_s": F.sqrt(3 * (1 - F.abs("_z")))})
+    across = F.col("_t") - F.col("_q")
+    cap = F.abs("_z") > 2.0 / 3
+    belt_up = F.floor(nside * (0.5 + F.col("_t") - 0.75 * F.col("_z")))
+    belt_down = F.floor(nside * (0.5 + F.col("_t") + 0.75 * F.col("_z")))
+    edge = F.lit(nside - 1).cast("long")
+    df = df.withColumns({
+        "_cap": cap,
+        "_up": F.when(cap, F.least(F.floor(nside * F.col("_s") * across), edge)).otherwise(belt_up),
+        "_down": F.when(cap, F.least(F.floor(nside * F.col("_s") * (1 - across)), edge)).otherwise(belt_down),
+    })
+    up, down, q = F.col("_up"), F.col("_down"), F.col("_q")
+    face_up, face_down = F.shiftright(up, bits), F.shiftright(down, bits)
+    belt_face = F.when(face_up == face_down, face_up % 4 + 4).when(face_up < face_down, face_up % 4).otherwise(face_down % 4 + 8)
+    north = F.col("_z") > 0
+    face = F.when(F.col("_cap"), F.when(north, q).otherwise(q + 8)).otherwise(belt_face)
+    low = F.lit(nside - 1).cast("long")
+    x = F.when(F.col("_cap"), F.when(north, edge - down).otherwise(up)).otherwise(down.bitwiseAND(low))
+    y = F.when(F.col("_cap"), F.when(north, edge - up).otherwise(down)).otherwise(edge - up.bitwiseAND(low))
+    df = df.withColumns({"_face": face, "_x": x, "_y": y})
+    ipix = F.col("_face") * (nside * nside) + _spaced(F.col("_x"), bits).bitwiseOR(F.shiftleft(_spaced(F.col("_y"), bits), 1))
+    return df.withColumn("ipix", ipix).drop("_z", "_t", "_q", "_s", "_cap", "_up", "_down", "_face", "_x", "_y")

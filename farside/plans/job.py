@@ -56,7 +56,7 @@ def images(spark: SparkSession, folder: str, days: list[int], observation: Obser
         viss = read_viss(spark, folder, days)
         full = rows.join(viss, ["day", "rn"])
     else:
-        viss = stash(V.forward(B.first_half(rows), sky, observation, masked).drop("n_visible"))
+        viss = stash(V.forward(B.first_half(rows), sky, observation).drop("n_visible"))  # data always come through the mask
         full = B.with_conjugates(rows, viss)
     weighted = W.weighted(W.with_shell(full), observation)
     out = stash(I.image(V.rephased(weighted), sky, observation, masked))

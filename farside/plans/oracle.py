@@ -4,7 +4,7 @@ from __future__ import annotations
 
 OPEN = "(pi() - asin(1737100.0 / 2037100.0))"
 SHELLS = 667
-SCALE = 3
+SCALE, SCALE_10MHZ = 3, 5
 
 # Rows and meridians of the twelve faces, in units of nside and of an eighth of a turn.
 FACE_ROW = "[2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4]"
@@ -86,12 +86,8 @@ def _rounded(*columns: str, places: int = 4) -> str:
 
 
 def _at_10mhz(sql: str) -> str:
-    """Lengths ten times as many wavelengths, and shells up to the same length."""
-    return sql.replace(f"::DOUBLE * {SCALE} AS", f"::DOUBLE * {10 * SCALE} AS").replace(f"BETWEEN 1 AND {SHELLS}", "BETWEEN 1 AND 6667")
-
-
-def _unmasked_forward(sql: str) -> str:
-    return sql.replace(f"FROM half, sky WHERE {_SEEN}", "FROM half, sky")
+    """Other lengths, and shells up to the same length in metres."""
+    return sql.replace(f"::DOUBLE * {SCALE} AS", f"::DOUBLE * {SCALE_10MHZ} AS").replace(f"BETWEEN 1 AND {SHELLS}", "BETWEEN 1 AND 6667")
 
 
 _GENERAL = _image(False).split("inv AS (")[0] + """inv AS (SELECT day, ipix,
@@ -100,6 +96,20 @@ _GENERAL = _image(False).split("inv AS (")[0] + """inv AS (SELECT day, ipix,
 _SETTINGS = f"""SELECT unnest(['nside', 'npix', 'resolution_degrees', 'theta', 'phi', 'wavelength', 'shells']) AS name,
   round(unnest([nside::DOUBLE, 12.0::DOUBLE * nside * nside, degrees(sqrt(4 * pi() / (12 * nside * nside))), pi() - {OPEN}, {OPEN}, 3e8 / 1e6,
     ceil(100000.0::DOUBLE / (3e8 / 1e6) * 2)]), 6) AS value FROM k"""
+_SPREAD = lambda v: " + ".join(f"((({v} >> {k}) & 1) << {2 * k})" for k in range(14))
+_VIEW = f"""
+place AS (SELECT range // 800 AS row, range % 800 AS col, 2 - (range % 800 + 0.5::DOUBLE) * (4.0::DOUBLE / 800) AS x, 1 - (range // 800 + 0.5::DOUBLE) * (2.0::DOUBLE / 400) AS y FROM range(320000)),
+aux AS (SELECT row, col, x, asin(y) AS a FROM place WHERE x * x / 4 + y * y < 1),
+dir AS (SELECT row, col, asin((2 * a + sin(2 * a)) / pi()) AS lat, x * (pi() / 2) / cos(a) AS lon FROM aux),
+pos AS (SELECT row, col, cos(pi() / 2 - lat) AS z, (CASE WHEN lon < 0 THEN lon + 2 * pi() ELSE lon END) / (pi() / 2) AS t, nside FROM dir, k),
+par AS (SELECT *, least(floor(t), 3)::BIGINT AS q, sqrt(3 * (1 - abs(z))) AS s, abs(z) > 2.0::DOUBLE / 3 AS cap FROM pos),
+dia AS (SELECT *, CASE WHEN cap THEN least(floor(nside * s * (t - q)), nside - 1) ELSE floor(nside * (0.5::DOUBLE + t - 0.75::DOUBLE * z)) END::BIGINT AS up,
+          CASE WHEN cap THEN least(floor(nside * s * (1 - (t - q))), nside - 1) ELSE floor(nside * (0.5::DOUBLE + t + 0.75::DOUBLE * z)) END::BIGINT AS down FROM par),
+fac AS (SELECT *, CASE WHEN cap THEN CASE WHEN z > 0 THEN q ELSE q + 8 END WHEN up // nside = down // nside THEN (up // nside) % 4 + 4
+          WHEN up // nside < down // nside THEN (up // nside) % 4 ELSE (down // nside) % 4 + 8 END AS face,
+          CASE WHEN cap THEN CASE WHEN z > 0 THEN nside - 1 - down ELSE up END ELSE down % nside END AS fx,
+          CASE WHEN cap THEN CASE WHEN z > 0 THEN nside - 1 - up ELSE down END ELSE nside - 1 - up % nside END AS fy FROM dia),
+view_ AS (SELECT row, col, face * nside * nside + ({_SPREAD('fx')}) + 2 * ({_SPREAD('fy')}) AS ipix FROM fac)"""
 _COLUMNS = ("u", "v", "w", "x1", "y1", "z1", "x2", "y2", "z2", "bll")
 _TOTAL = "SELECT ipix, round(sum(CASE WHEN isnan(c) THEN 0 ELSE c END), 3) AS c FROM img GROUP BY ipix"
 _NUMBERED = f"{HALF}, num AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY bid) - 1 AS rn FROM half)"
@@ -139,11 +149,13 @@ ORACLE_SQL = {
     "image_total_blockage": f"WITH {_image(True)} {_TOTAL}",
     "image_general": f"WITH {_GENERAL} SELECT day, ipix, round(sum(c_re), 4) AS c_re, round(sum(c_im), 4) AS c_im FROM inv GROUP BY day, ipix",
     "image_10mhz": f"WITH {_at_10mhz(_image(True))} SELECT day, ipix, round(c, 4) AS c FROM img",
-    "image_10mhz_noblockage": f"WITH {_unmasked_forward(_at_10mhz(_image(False)))} SELECT day, ipix, round(c, 4) AS c FROM img",
+    "image_10mhz_noblockage": f"WITH {_at_10mhz(_image(False))} SELECT day, ipix, round(c, 4) AS c FROM img",
     "image_from_files": f"WITH {_image(True)} SELECT day, ipix, round(c, 4) AS c FROM img",
     "viss_injected": f"WITH {_image(False)} SELECT day, ipix, round(c, 4) AS c FROM img",
     "preview_image": f"WITH {_image(True)} SELECT day, ipix, round(c, 4) AS c FROM img WHERE ipix < 3",
     "map_export": f"WITH {_image(True)} {_TOTAL} ORDER BY ipix",
+    "map_mollweide": f"WITH {_image(True)}, total AS ({_TOTAL}), {_VIEW} SELECT row::INT AS row, col::INT AS col, c FROM view_ LEFT JOIN total USING (ipix)",
+    "mollweide_counts": f"WITH {PIXELS}, {_VIEW} SELECT ipix, count(*) AS n FROM view_ GROUP BY ipix",
     "text_roundtrip": f"WITH {_NUMBERED} SELECT day, rn, {_rounded(*_COLUMNS, places=6)} FROM num",
     "text_roundtrip_all": f"WITH {_NUMBERED} SELECT day, rn, true AS same FROM num",
     "list_counted": f"WITH {PIXELS} SELECT ipix AS rn, round(p_retailprice::DOUBLE, 4) AS b FROM pix JOIN part ON p_partkey = ipix",

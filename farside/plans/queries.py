@@ -17,7 +17,7 @@ from ..operators import healpix as H
 from ..operators import imaging as I
 from ..operators import visibility as V
 from ..operators import weights as W
-from ..sources import fixtures, text
+from ..sources import fixtures, rasters, text
 from . import job
 from .staging import checkpoint_dir, stash
 
@@ -310,10 +310,11 @@ def image_general(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _image_10mhz(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
-    """At ten times the frequency baselines are ten times as many wavelengths long."""
+    """The shorter waves of 10 MHz, on baselines in whose shells the density, and not the cap alone, sets the weights. The data
+    are simulated through the Moon's mask in both forms; without blockage only the reconstruction has none."""
     sky, _ = fixtures.sky(spark, sf)
-    half = fixtures.half(spark, sf, 10 * fixtures.SCALE)
-    viss = stash(V.forward(half, sky, OBSERVATION_10MHZ, masked).drop("n_visible"))
+    half = fixtures.half(spark, sf, fixtures.SCALE_10MHZ)
+    viss = stash(V.forward(half, sky, OBSERVATION_10MHZ).drop("n_visible"))
     both = W.weighted(W.with_shell(B.mirrored(half)), OBSERVATION_10MHZ).where("sgn = 1").join(viss, ["day", "bid"])
     image = I.image(V.rephased(both), sky, OBSERVATION_10MHZ, masked, hermitian=True)
     return image.select("day", "ipix", F.round("c_re", 4).alias("c"))
@@ -337,6 +338,17 @@ def map_export(spark: SparkSession, sf: str) -> DataFrame:
     return I.map_rows(I.total(_images(spark, sf, True))).select("ipix", _r("c", 3))
 
 
+def map_mollweide(spark: SparkSession, sf: str) -> DataFrame:
+    """The summed map as a view of 800 x 400 places, of which only its own pixels are looked up."""
+    nside = fixtures.nside_of(spark, sf)
+    return rasters.mollweide(stash(I.total(_images(spark, sf, True))), nside).select("row", "col", _r("c", 3))
+
+
+def mollweide_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many places of a view each pixel fills."""
+    return rasters.mollweide_pixels(spark, fixtures.nside_of(spark, sf)).groupBy("ipix").agg(F.count("*").alias("n"))
+
+
 def constants_log(spark: SparkSession, sf: str) -> DataFrame:
     """What a job logs of its settings."""
     found = settings(OBSERVATION, fixtures.nside_of(spark, sf))
@@ -349,7 +361,7 @@ QUERIES = {
         pix_face, pix_xy, pix_ring, pix_jp, pix_region_counts, pix2ang, pix_resolution, sky_lmn, satellite_norm, baseline_mirror, baseline_zip, baseline_half,
         shell_id, shell_hist, shell_sorted, shell_sorted_all, shell_dcf, shell_dcf_shifted, incl_gain, weight, weight_shifted, vis_mask_count, vis_forward,
         vis_amplitude, vis_rephased, preview_vis, point_source, image_noblockage, image_blockage, image_blockage_shifted, image_total,
-        image_total_blockage, image_general, image_10mhz, image_10mhz_noblockage, image_from_files, viss_injected, preview_image, map_export,
+        image_total_blockage, image_general, image_10mhz, image_10mhz_noblockage, image_from_files, viss_injected, preview_image, map_export, map_mollweide, mollweide_counts,
         text_roundtrip, text_roundtrip_all, list_counted, list_angles, constants_log,
     )
 }

@@ -16,7 +16,8 @@ from ..operators import healpix
 from ..operators.sky import sky_lmn
 from ..plans.staging import stash
 
-SCALE = 3
+#: Wavelengths in a unit of a vector, at 1 MHz and at 10 MHz: about three quarters and half of the weights are below the cap.
+SCALE, SCALE_10MHZ = 3, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

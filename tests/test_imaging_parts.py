@@ -17,6 +17,7 @@ from farside.operators import weights as W
 from farside.operators.sky import sky_lmn
 from farside.plans.staging import discard, stash
 from farside.sources import fixtures
+from farside.sources import rasters as R
 
 OBS = C.Observation(1e6)
 
@@ -41,6 +42,40 @@ def test_healpix_invariants(spark, nside):
     assert all(abs(v.mean()) < 1e-12 for v in (x, y, z)) and angles.phi.between(0, 2 * math.pi).all()
 
 
+@pytest.mark.parametrize("nside", [1, 2, 4, 8, 16, 32, 64])
+def test_angles_find_their_pixel(spark, nside):
+    found = H.ang2pix_nest(H.pix2ang_nest(spark, nside).withColumnRenamed("ipix", "known"), nside)
+    assert found.count() == 12 * nside**2 and found.where("known <> ipix").isEmpty()
+
+
+def test_directions_fall_to_the_nearest_centre_of_their_ring_region(spark):
+    """Any direction's pixel has a centre within a pixel's greatest radius, and poles and the seam have one too."""
+    nside = 8
+    rng = random.Random(2)
+    rows = [(math.acos(rng.uniform(-1, 1)), rng.uniform(0, 2 * math.pi)) for _ in range(4000)] + [(0.0, 1.0), (math.pi, 6.0), (1.0, 0.0), (1.5, 2 * math.pi), (2.9, 2 * math.pi - 1e-12)]
+    df = spark.createDataFrame(rows, "theta double, phi double")
+    centres = H.pix2ang_nest(spark, nside).toDF("ipix", "theta0", "phi0")
+    away = F.acos(F.least(F.lit(1.0), F.cos("theta") * F.cos("theta0") + F.sin("theta") * F.sin("theta0") * F.cos(F.col("phi") - F.col("phi0"))))
+    found = H.ang2pix_nest(df, nside).join(centres, "ipix").select(F.count("*"), F.max(away)).first()
+    assert found[0] == len(rows) and found[1] < 1.4 * math.sqrt(4 * math.pi / (12 * nside**2))
+
+
+def test_mollweide_view(spark):
+    """All pixels of a coarse map are in view with about their area, the middle row is the equator, longitude grows leftwards."""
+    nside, width, height = 4, 400, 200
+    values = H.pix2ang_nest(spark, nside).withColumn("c", F.col("ipix") + 0.0)
+    out = R.mollweide(values, nside, "c", width, height).toPandas()
+    inside = math.pi / 4 * width * height
+    assert abs(len(out) - inside) < 0.01 * inside and not out.duplicated(["row", "col"]).any() and out.c.notna().all()
+    assert out.groupby("c").size().between(0.8 * inside / 192, 1.2 * inside / 192).all() and out.c.nunique() == 192
+    at = out.set_index(["row", "col"]).c
+    theta, phi = (values.toPandas().set_index("c")[k] for k in ("theta", "phi"))
+    assert phi[at[100, 100]] > 0.5 and phi[at[100, 100]] < math.pi and phi[at[100, 300]] > math.pi and theta[at[3, 200]] < 0.5
+    assert R.mollweide(values.where("ipix < 5"), nside, "c", 80, 40).where("c is null").count() > 2000
+    with pytest.raises(ValueError):
+        R.mollweide_pixels(spark, 1, 10_000, 10_000)
+
+
 def test_nside_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         H.pixels(spark, 3)
