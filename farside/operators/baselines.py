@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.complex import conj, norm3, ratio
+from ..sources.text import sizes
 
 POSITIONS = ("x1", "y1", "z1", "x2", "y2", "z2")
 
 
 def zipped(uvw: DataFrame, first: DataFrame, second: DataFrame, length: DataFrame) -> DataFrame:
-    """Four tables keyed by (day, rn) joined row by row; a row that is missing in any of them is an error."""
+    """Four tables keyed by (day, rn), rn from 0 without gaps, joined row by row; days of unequal lengths are an error. Lengths
+    are compared first (those of files are known from their scan), so that plain joins do, and each table is exchanged once."""
     keys = ["day", "rn"]
     tables = [uvw, first.toDF(*keys, *POSITIONS[:3]), second.toDF(*keys, *POSITIONS[3:]), length.toDF(*keys, "bll")]
+    found = [sizes(t) for t in (uvw, first, second, length)]
+    if None in found:
+        counts = [t.groupBy("day").agg(F.count("*").alias("n")).withColumn("which", F.lit(k)) for k, t in enumerate(tables)]
+        found = [{} for _ in tables]
+        for r in functools.reduce(DataFrame.unionAll, counts).collect():  # four rows a day
+            found[r.which][r.day] = r.n
+    whole = [{d: n for d, n in f.items() if n} for f in found]
+    if any(f != whole[0] for f in whole):
+        wrong = sorted({d for f in whole for d in f if any(f[d] != g.get(d) for g in whole)})
+        raise ValueError(f"the day's files have unequal lengths: days {wrong}")
     out = tables[0]
     for t in tables[1:]:
-        out = out.join(t.withColumn(f"_{t.columns[-1]}", F.lit(True)), keys, "full")
-    whole = F.col("u").isNotNull() & F.col("_z1").isNotNull() & F.col("_z2").isNotNull() & F.col("_bll").isNotNull()
-    checked = out.withColumn("u", F.when(whole, F.col("u")).otherwise(F.raise_error(F.lit("the day's files have unequal lengths")).cast("double")))
-    return checked.select(*keys, "u", "v", "w", *POSITIONS, "bll")
+        out = out.join(t, keys)
+    return out.select(*keys, "u", "v", "w", *POSITIONS, "bll")
 
 
 def first_half(baselines: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Text sources and sinks, and the stream of day images."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,53 @@ def test_rows_keep_their_order_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_rows_over_lines_and_splits(spark, tmp_path):
+    """Rows that begin in one split and end in a later one, splits with less than a row, words in the middle."""
+    rng = random.Random(4)
+    for width, header, size in ((3, 3, "16b"), (3, 3, "64b"), (5, 2, "8b"), (1, 1, "8b")):
+        tokens, lines = [f"{k}.5" if k % 7 else f"-{k}e0" for k in range(400)], []
+        left = ["head"] * header + tokens
+        while left:
+            n = rng.choice((0, 1, 1, 2, 5))
+            lines.append(" ".join(left[:n]))
+            left = left[n:]
+        where = f"{tmp_path}/{width}{size}/uvw"
+        os.makedirs(where)
+        for day, upto in ((1, len(lines)), (2, 90)):
+            with open(f"{where}{day}.txt", "w") as f:
+                f.write("\n".join(lines[:upto]) + ("" if day == 1 else " stop 1 2 3 4 5 6 7 8 9"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            names = list("abcde")[:width]
+            df = text.read_days(spark, f"file://{where}{{day}}.txt", [1, 2], names, header)
+            got = sorted(map(tuple, df.collect()))
+            assert df.rdd.getNumPartitions() > 20
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        want = []
+        for day, upto in ((1, len(lines)), (2, 90)):
+            values = [float(t) for t in " ".join(lines[:upto]).split()[header:]]
+            want += [(day, k, *values[k * width : (k + 1) * width]) for k in range(len(values) // width)]
+        assert got == want and text.sizes(df) == {d: sum(w[0] == d for w in want) for d in (1, 2)}
+
+
+def test_no_token_is_exchanged(spark, tmp_path):
+    (tmp_path / "uvw1.txt").write_text("u v w\n" + "1 2 3\n" * 50)
+    df = text.read_triples(spark, f"file://{tmp_path}/uvw{{day}}.txt", [1], ["u", "v", "w"])
+    assert df.count() == 50 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_tasks_write_a_day_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(d, k, k * 1.5, -k * 1.0, d + 0.25) for d in (1, 2) for k in range(4000)], "day int, rn long, u double, v double, w double").repartition(5)
+    text.write_days(df, f"{tmp_path}/uvw", "rn", ["u", "v", "w"], "u v w", files=16)
+    files = {d: sorted((tmp_path / f"uvw/day={d}").glob("part-*")) for d in (1, 2)}
+    assert all(len(f) >= 7 for f in files.values()) and max(p.stat().st_size for f in files.values() for p in f) < 25_000
+    back = text.read_triples(spark, f"file://{tmp_path}/uvw/day={{day}}", [1, 2], ["u", "v", "w"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(k, float(k)) for k in range(100)], "ipix long, theta double")
     text.write_values(df, f"{tmp_path}/theta", "ipix", "theta")
