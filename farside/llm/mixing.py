@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     return rows.repartitionByRange(position).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def in_order(docs: DataFrame, position_col: str = "position") -> DataFrame:
+    """docs with a column position_col: the place, from 0, of each row of Parquet files in the order of the files' names and of
+    the rows within them, which is the mixed order of what mixed() wrote. Other tables are taken in the order of their
+    partitions."""
+    names, position = [F.col(f"`{c}`") for c in docs.columns], column_name(docs, position_col)
+    part, row, of, before = (column_name(docs, c) for c in ("_part", "_row", "_of", "_before"))
+    try:
+        placed = docs.select(*names, F.col("_metadata.file_path").alias(part), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:  # not files
+        at = F.monotonically_increasing_id()
+        placed = docs.withColumn(part, F.shiftright(at, 33)).withColumn(row, at.bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row for each file
+    sizes = placed.groupBy(F.col(part).alias(of)).count()
+    sizes = sizes.select(of, (F.sum("count").over(Window.orderBy(of)) - F.col("count")).alias(before))
+    return placed.join(F.broadcast(sizes), F.col(part) == F.col(of)).select(*names, (F.col(row) + F.col(before)).alias(position))
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Place of every document in the mixed order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.col("text"))

@@ -393,10 +393,6 @@ class Model:
         self.subsequences, self.strings, self.slope, self.offset = marks.subsequences, marks.strings, slope, offset
         self.table = ((marks.whiten @ weights[:-1]) @ marks.tables).astype(np.float32)[None, :]
         self.bias = float(weights[-1])
-        self.reader: Reader | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"reader": None}
 
     def margins(self, strings: list[str]) -> np.ndarray:
         """Of single pieces."""
@@ -420,9 +416,9 @@ class Model:
 
 
 class Reader:
-    """Margins of words, kept for words seen; emptied when full."""
+    """Margins of words, kept for the words that a task has seen; emptied when full."""
 
-    def __init__(self, model: Model, most: int = 100_000):
+    def __init__(self, model: Model, most: int = 60_000):
         self.model, self.most = model, most
         self.known: dict[str, float] = {}
 
@@ -555,9 +551,14 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
 
     def run(batches):
         fitted = sent.value
-        if fitted and fitted.reader is None:
-            fitted.reader = Reader(fitted)  # a worker's next tasks find the words of those before
-        reader = fitted.reader if fitted else None
+        reader = Reader(fitted) if fitted else None
+        try:
+            yield from scored(batches, reader)
+        finally:
+            if fitted:  # a worker outlives its task, and others work beside it
+                fitted.subsequences.own.known = {}
+
+    def scored(batches, reader):
         for big in batches:
             for k in range(0, big.num_rows, 512):
                 batch = big.slice(k, 512)

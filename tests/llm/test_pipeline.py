@@ -60,16 +60,37 @@ def test_stages(spark, tmp_path):
 def test_mixed_order_reaches_the_result(spark, tmp_path):
     rows = [(k, f"text number {k} " + " ".join(f"w{k * 31 + j}" for j in range(k % 40)), "en", f"src{k % 3}", 1) for k in range(400)]
     rows += [(None, f"without an id {k * 7919} {k}", "en", "src1", 1) for k in range(9)]
-    mixing.mixed(docs(spark, rows).repartition(5)).repartition(7).write.parquet(f"{tmp_path}/mixed")  # several files, scrambled
+    df = docs(spark, rows).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        mixing.mixed(df).write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 2
     out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
     hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    want = [(r.doc_id, hashed(r.text), r.slot, r.position) for r in mixing.mix(docs(spark, rows)).orderBy("position").collect()]
-    assert [(r.doc_id, r.decoded_sha256, r.slot, r.position) for r in out] == want
+    want = [(r.doc_id, hashed(r.text)) for r in mixing.mix(docs(spark, rows)).orderBy("position").collect()]
+    assert [(r.doc_id, r.decoded_sha256) for r in out] == want and [r.position for r in out] == list(range(409))
     assert [r.source for r in out[:48]] == ["src0"] * 16 + [out[16].source] * 16 + [out[32].source] * 16 and {r.source for r in out[:112]} == {"src0", "src1", "src2"}
+    # a table that is not made of files has the order of its partitions
+    assert [r.position for r in mixing.in_order(docs(spark, rows[:50])).collect()] == list(range(50))
+
+
+def test_every_stage_has_its_effect(spark, tmp_path, monkeypatch):
+    """Without any one of the stages the result is another."""
+    rows, labels = made(random.Random(5))
+    rows += [(4000 + k, " ".join(rows[5 * k + 1][1].split()).replace(" ", "\n", 3) + " end", "en", "src1", 1) for k in range(8)]
+    d = directory(tmp_path, documents=docs(spark, rows), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    stages = list(corpus_pipeline.STAGES)
+    whole = [tuple(r) for r in corpus_pipeline.run(spark, d).collect()]
+    for k in range(len(stages) - 1):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages[:k] + stages[k + 1 :])
+        assert [tuple(r) for r in corpus_pipeline.run(spark, d).collect()] != whole, stages[k][0]
+    assert not {"n_tokens", "position"} & set(stages[3][1](spark, docs(spark, rows), d).columns)
 
 
 def slow(rows, labels):
-    """All stages one after the other, in plain Python, over all pairs: [(doc_id, n_tokens, digest, slot, position)]."""
+    """All stages one after the other, in plain Python, over all pairs: [(doc_id, n_tokens, digest)] in the mixed order."""
     texts = {i: t for i, t, *_ in rows}
     known = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5]
     found = sorted(((texts[i], y) for i, y in known), key=lambda r: (r[1], r[0]))
@@ -103,7 +124,7 @@ def slow(rows, labels):
             slot = block // w * len(plan) + turns[s][block % w]
             ids = tokenizer.encode(texts[i], add_special_tokens=False).ids
             out.append((i, len(ids), hashlib.sha256(texts[i].encode()).hexdigest(), slot, slot * mixing.BLOCK + rank % mixing.BLOCK))
-    return sorted(out, key=lambda r: r[-1]), near
+    return [r[:3] for r in sorted(out, key=lambda r: r[-1])], near
 
 
 def test_like_a_slow_pipeline(spark, tmp_path):
@@ -120,6 +141,6 @@ def test_like_a_slow_pipeline(spark, tmp_path):
     labels = [x for x in labels if x[0] < 250]
     d = directory(tmp_path, documents=docs(spark, rows).repartition(4), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     want, near = slow(rows, labels)
-    got = [(r.doc_id, r.n_tokens, r.decoded_sha256, r.slot, r.position) for r in corpus_pipeline.run(spark, d).collect()]
+    got = [(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, d).collect()]
     assert len(near) > 5 and len(want) < len(rows) - 60
     assert got == want
