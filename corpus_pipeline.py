@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Defined results: an empty table passes through; documents keep their columns, whatever else these are and whatever their
-names, up to the last stage, which returns a digest of the encoded text and its place in the mixed order, sorted by it.
+names, up to the last stage, which returns a digest of the encoded text and its place in the order of the files that the
+mixing stage wrote, sorted by it.
 Null and empty texts count as texts without words: the near-dedup keeps one of them all. Documents that line dedup leaves
 empty go. A null id sorts before others in line dedup and goes first of its class in near-dedup if the class has no id; a
 null source is one of its own. Of repeated rows, and of ties in text, one stays. Texts of any length are worked on whole.
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farside.llm import bpe, lines, mixing, simhash, toxicity
-from farside.llm.util import discard, stash
+from farside.llm.util import column_name, discard, stash
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts, with slot and position in the mixed order, by position. Files
-    are not read in the order of their names, so the places are worked out again, from narrow rows: they follow from
-    ids, sources and hashes of texts alone."""
-    hashed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
-    rows = stash(bpe.digest(hashed, bpe.default_tokenizer(), keep=("doc_id", "source", "text_hash")))
-    placed = mixing.mix(rows, hash_col="text_hash")
-    return placed.drop("text_hash", "source_rank", "block").orderBy("position")
+    """Token counts and digests of ids and decoded texts, with each row's place in the mixed order, which is that of the
+    files of the stage before and of their rows."""
+    position = column_name(docs, "position")
+    rows = bpe.digest(mixing.in_order(docs, position), bpe.default_tokenizer(), keep=("doc_id", "source", position))
+    return rows.withColumnRenamed(position, "position").orderBy("position")
 
 
 STAGES = [
