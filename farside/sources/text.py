@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import Store
+
 NUMBER = r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|nan|NaN|inf|Infinity|-?Infinity)"
 
 
@@ -122,16 +124,10 @@ def _maker(places, header: int, width: int, names: list[str]):
     return run
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).getFileStatus(p).isDirectory()
-
-
 def existing(spark: SparkSession, paths: list[str], on_missing: str = "error") -> list[str]:
     """Of the paths those that exist; a missing one is an error unless on_missing is "skip"."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    store = Store(spark)
+    there = [p for p in paths if store.exists(p)]
     if on_missing != "skip" and len(there) < len(paths):
         raise FileNotFoundError(", ".join(p for p in paths if p not in there))
     return there
@@ -160,7 +156,7 @@ def read_days(spark: SparkSession, pattern: str, days: list[int], names: list[st
     if not paths:
         return spark.createDataFrame([], "day int, rn long, " + ", ".join(f"{n} double" for n in names))
     prefix, suffix = map(re.escape, pattern.rsplit("/", 1)[-1].split("{day}"))
-    inner = "/[^/]*" if _is_folder(spark, paths[0]) else ""
+    inner = "/[^/]*" if Store(spark).is_folder(paths[0]) else ""
     day_of = lambda part: int(re.search(rf"/{prefix}(\d+){suffix}{inner}$", part)[1])
     found = scan(spark, paths, header, len(names), day_of)
     out = found.table(spark, names).withColumn("file", F.col("file").cast("int")).withColumnRenamed("file", "day")
@@ -201,5 +197,10 @@ def write_images(images: DataFrame, path: str) -> None:
     images.select("day", "ipix", "c_re").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("day", "ipix", "c_re")
+def read_images(spark: SparkSession, path: str, days: list[int] | None = None) -> DataFrame:
+    """(day, ipix, c_re) of a folder, of some days or all that are in it."""
+    if days is None:
+        return spark.read.parquet(path).select("day", "ipix", "c_re")
+    if not days:
+        return spark.createDataFrame([], "day int, ipix long, c_re double")
+    return spark.read.option("basePath", path).parquet(*(f"{path}/day={d}" for d in days)).select("day", "ipix", "c_re")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from farside.plans import queries
+from farside.plans import job, queries, staging
 from farside.sources import text
 from farside.streaming import days
 
@@ -102,12 +102,71 @@ def test_sinks(spark, tmp_path):
     assert sorted(tuple(r) for r in text.read_images(spark, f"{tmp_path}/images").collect()) == [(1, 0, 1.0), (2, 0, 3.0)]
 
 
-def test_running_total(spark, tmp_path):
-    for day in (1, 2):
-        spark.createDataFrame([(day, 0, float(day)), (day, 1, float("nan"))], days.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{day}")
-    query = days.running_total(days.day_images(spark, f"{tmp_path}/in/*"), "totals", f"{tmp_path}/state")
-    query.awaitTermination(120)
-    assert {r.ipix: r.c for r in spark.sql("SELECT * FROM totals").collect()} == {0: 3.0, 1: 0.0}
+def written(root):
+    return {str(p.relative_to(root)) for p in root.glob("v=*/part=*")}
+
+
+def test_running_total_writes_what_it_touches(spark, tmp_path):
+    root = tmp_path / "sum"
+    day = lambda d, pixels: spark.createDataFrame([(d, p, float(d)) for p in pixels], days.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{d}")
+
+    def go():
+        query = days.running_total(days.day_images(spark, f"{tmp_path}/in/*", 1), "totals", f"file://{root}", f"{tmp_path}/state", size=4)
+        query.awaitTermination(120)
+        return {r.ipix: r.c for r in spark.sql("SELECT * FROM totals").collect()}
+
+    day(1, range(12))
+    assert go() == {p: 1.0 for p in range(12)} and written(root) == {f"v=0/part={r}" for r in range(3)}
+    day(2, range(4, 8))  # one range
+    assert go() == {p: 1.0 + 2.0 * (4 <= p < 8) for p in range(12)}
+    assert written(root) - {f"v=0/part={r}" for r in range(3)} == {"v=1/part=1"}
+    day(4, [0, 20])
+    assert go() == {p: 1.0 + 2.0 * (4 <= p < 8) + 4.0 * (p == 0) for p in range(12)} | {20: 4.0}
+    assert {w for w in written(root) if w.startswith("v=2")} == {"v=2/part=0", "v=2/part=5"}
+    # a batch that comes again, and one that was lost before its index
+    again = spark.createDataFrame([(9, 0, 100.0)], days.SCHEMA)
+    assert days.add(again, 2, f"file://{root}", 4) == [] and days.summed(spark, f"file://{root}").where("ipix = 0").first().c == 5.0
+    spark.range(3).write.parquet(f"{root}/v=3/part=0")
+    assert days.add(again, 3, f"file://{root}", 4) == [0] and days.summed(spark, f"file://{root}").where("ipix = 0").first().c == 105.0
+
+
+def test_running_total_takes_nan_as_zero(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0), (1, 1, float("nan"))], days.SCHEMA)
+    days.add(df, 0, f"file://{tmp_path}/sum")
+    days.add(df.limit(0), 1, f"file://{tmp_path}/sum")
+    assert {r.ipix: r.c for r in days.summed(spark, f"file://{tmp_path}/sum").collect()} == {0: 3.0, 1: 0.0}
+
+
+def test_a_job_goes_on_where_it_stopped(spark, sf_dir, monkeypatch):
+    folder, _, all_days = queries._job_folder(spark, sf_dir)
+    some = all_days[:3]
+    whole = {tuple(r) for r in job.run(spark, folder, some, queries.OBSERVATION, f"{folder}/whole", together=3).collect()}
+    target, asked, real = f"{folder}/C", [], job.images
+
+    def spied(spark, folder, days, *a, **k):
+        asked.append(days)
+        if len(asked) == 2:
+            raise RuntimeError("lost")
+        return real(spark, folder, days, *a, **k)
+
+    monkeypatch.setattr(job, "images", spied)
+    with pytest.raises(RuntimeError):
+        job.run(spark, folder, some, queries.OBSERVATION, target, together=1)
+    assert job.done(spark, target) == some[:1] and asked == [[some[0]], [some[1]]]
+    # what a lost run has left in a day's place is replaced
+    spark.createDataFrame([(0, 99.0)], "ipix long, c_re double").write.parquet(f"{target}/day={some[1]}")
+    got = {tuple(r) for r in job.run(spark, folder, some, queries.OBSERVATION, target, together=2).collect()}
+    assert asked[2:] == [some[1:]] and got == whole and job.done(spark, target) == some
+    assert {tuple(r) for r in job.run(spark, folder, some, queries.OBSERVATION, target).collect()} == whole and len(asked) == 3
+    with pytest.raises(ValueError, match="other settings"):
+        job.run(spark, folder, some, queries.OBSERVATION, target, masked=False)
+
+
+def test_scratch_tables_go(spark):
+    with staging.scratch():
+        a = staging.stash(spark.range(3))
+        b = staging.keep(staging.stash(a))
+    assert b.count() == 3 and not staging.Store(spark).exists(a._stash_path)
 
 
 def test_round_trip_has_every_day(spark, sf_dir, monkeypatch):
