@@ -83,8 +83,11 @@ def indexed(spark: SparkSession, nside: int) -> DataFrame:
 
 
 def pix2ang_nest(spark: SparkSession, nside: int) -> DataFrame:
-    """ipix, theta, phi."""
-    return with_angles(stash(indexed(spark, nside).select("ipix", "jr", "nr", "kshift", "region", "jp")), nside).select("ipix", "theta", "phi")
+    """ipix, theta, phi. The whole-number half is stored; discard() of the result deletes it."""
+    stored = stash(indexed(spark, nside).select("ipix", "jr", "nr", "kshift", "region", "jp"))
+    out = with_angles(stored, nside).select("ipix", "theta", "phi")
+    out._stash_path = stored._stash_path
+    return out
 
 
 def _spaced(v: Column, bits: int) -> Column:

@@ -14,7 +14,7 @@ from ..constants import nside_to_npix
 from ..functions.complex import norm3
 from ..operators import healpix
 from ..operators.sky import sky_lmn
-from ..plans.staging import stash
+from ..plans.staging import discard, stash
 
 #: Wavelengths in a unit of a vector, at 1 MHz and at 10 MHz: about three quarters and half of the weights are below the cap.
 SCALE, SCALE_10MHZ = 3, 5
@@ -36,17 +36,19 @@ def nside_of(spark: SparkSession, sf_dir: str) -> int:
     return nside_for(table(spark, sf_dir, "part").count())
 
 
-def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ipix, b) of all pixels, as a list of the sky would have them."""
+def brightness(spark: SparkSession, sf_dir: str, nside: int | None = None) -> DataFrame:
+    """(ipix, b) of all pixels, as a list of the sky would have them; nside, if it is known."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ipix"), F.col("p_retailprice").cast("double").alias("b"))
-    return rows.where(F.col("ipix") < nside_to_npix(nside_of(spark, sf_dir)))
+    return rows.where(F.col("ipix") < nside_to_npix(nside or nside_of(spark, sf_dir)))
 
 
 def sky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(ipix, b, l, m, n), materialised, and nside."""
     nside = nside_of(spark, sf_dir)
     angles = healpix.pix2ang_nest(spark, nside)
-    return stash(sky_lmn(angles.join(brightness(spark, sf_dir), "ipix"), nside_to_npix(nside))), nside
+    out = stash(sky_lmn(angles.join(brightness(spark, sf_dir, nside), "ipix"), nside_to_npix(nside)))
+    discard(angles)
+    return out, nside
 
 
 def half(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> DataFrame:
