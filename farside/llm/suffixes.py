@@ -438,6 +438,25 @@ def _merged(length, gram):
     return run
 
 
+def _once_or_twice(batches):
+    """(text, h, n): of a task's copies of a text the first, and of all the others one row without the text, so that mass copies
+    send no more than two rows a task."""
+    seen: dict[tuple[int, int], bool] = {}
+    for batch in batches:
+        keep, bare = [], []
+        for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if key not in seen:
+                seen[key] = False
+                keep.append(k)
+            elif not seen[key]:
+                seen[key] = True
+                bare.append(k)
+        for rows, with_text in ((keep, True), (bare, False)):
+            if rows:
+                text, h, n = (batch.column(c).take(pa.array(rows)) for c in range(3))
+                yield pa.RecordBatch.from_arrays([text if with_text else pa.nulls(len(rows), pa.string()), h, n], names=["text", "h", "n"])
+
+
 def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """texts (text, h, n) to (h, n, spans array<struct<a, b>>): starts a..b of windows that repeat, for texts with any."""
     spark = texts.sparkSession
@@ -457,7 +476,8 @@ def windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         # of copies of a text one counts
         seen = seen.groupBy("h", "n", "p").agg(F.first("s").alias("s"))
         splitters, parts = bounds([bytes(r[0]).rstrip(b"\0") for r in seen.select("s").collect()], n_ranges)
-    dealt = near.join(held, ["h", "n"]).select("text", "h", "n", "packed").sortWithinPartitions("h", "n")
+    few = near.select("text", "h", "n").mapInArrow(_once_or_twice, "text string, h long, n int")
+    dealt = few.join(held, ["h", "n"]).select("text", "h", "n", "packed").sortWithinPartitions("h", "n", F.col("text").isNull())
     runs = stash(dealt.mapInArrow(_runs(length, gram, splitters, parts), "range int, run long, seq int, blob binary, h long, n long, a long, b long"))
     merged = runs.where("range >= 0").select("range", "run", "blob").repartition(max(1, sum(parts)), "range").sortWithinPartitions("range", "run")
     found = merged.select("range", "blob").mapInArrow(_merged(length, gram), "h long, n long, a long, b long")

@@ -117,3 +117,15 @@ def test_many_ranges_like_brute_force(spark, monkeypatch):
     want = brute(texts, 40)
     assert sum(n > 0 for n, _, _ in want) > 40
     assert all((r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows)
+
+
+def test_mass_copies_of_one_text(spark):
+    """A task sends a text once and says at most once that it has another copy."""
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    other = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    df = docs(spark, [(k, text, "en", "s", 1) for k in range(3000)] + [(3000, other, "en", "s", 1), (3001, other[:150], "en", "s", 1), (3002, text[:250], "en", "s", 1)]).repartition(6)
+    out = frame(S.remove_repeats(df, keep=("doc_id",))).set_index("doc_id").sort_index()
+    assert (out.loc[:2999].n_removed == 300).all() and out.loc[3000].n_removed == 0 and out.loc[3001].n_removed == 0 and out.loc[3002].n_removed == 250
+    sent = df.selectExpr("text", "xxhash64(text) as h", "octet_length(text) as n").mapInArrow(S._once_or_twice, "text string, h long, n int")
+    assert sent.count() <= 2 * 6 + 3 and sent.where("text is null").count() <= 6
