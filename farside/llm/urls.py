@@ -5,13 +5,15 @@ patterns only, the children of each place are merged into branches: where segmen
 urls (the estimated chance that the next one is new), the place is variable and its children are a wildcard; elsewhere
 children go together whose distributions of what lies below don't differ significantly from their parent's (chi-square);
 and in both cases those whose share of labels lies significantly above or below their parent's stay apart from the rest.
-A child without labels doesn't differ, so it shares its siblings' branch and labels. A template is rejected if its purity
+A child with few labels or none shares its siblings' branch and labels only as far as chance may have left it without: one that
+has significantly fewer labels for its urls than its parent was not left out by chance, so its siblings' labels say nothing
+about it, and it starts from the prior. A template is rejected if its purity
 reaches a threshold: the share of its labelled urls that are to be blocked, smoothed towards that of the place above it,
 and so on up to the host, whose own is smoothed towards a prior, as is that of a branch unlike its siblings. Rules of hosts and path prefixes come first.
 
 Defined results: a null url, or one without "://", has an empty host and path, and is judged like any other template;
 labels other than 0 and 1 count as none; repeated urls count each time; paths of any depth keep all segments, and segments
-of any length are compared whole; of rules of equal length that fit the last in order of text wins; of merged names the
+of any length are compared whole; a branch of more than max_names is shown as a wildcard, which is its name only; of rules of equal length that fit the last in order of text wins; of merged names the
 order is that of text; an empty table gives an empty result; other columns are kept, and a clash of names with the new
 ones is avoided by leading underscores.
 """
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .util import column_name, discard, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Marks branches that have significantly fewer labels than their siblings.
+UNLABELLED = "?"
 #: The rules of the query.
 RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -125,16 +129,20 @@ def _branches(rows: DataFrame, unseen: float, max_names: int, z: float) -> DataF
     judged = kids.join(parents.join(kinds, ["host", "done"]), ["host", "done"]).join(chi, ["host", "done", "seg"])
     variable = (F.col("kids") > 2) & (F.col("once") >= unseen * F.col("total"))
     label = _deviates(F.col("n1"), F.col("n0"), _share(F.col("a1"), F.col("a0")), z)
+    labelled, of_all = F.col("n1") + F.col("n0"), F.col("a1") + F.col("a0")
+    passed = F.when(_deviates(labelled, F.col("n") - labelled, _share(of_all, F.col("total") - of_all), z) == "-", UNLABELLED).otherwise("")
+    label = F.concat(label, passed)
     own = F.when(_unlike(F.col("chi"), F.col("kinds") - 1, z), F.col("shape").cast("string")).otherwise("")
     judged = judged.select("host", "done", "seg", label.alias("label"), F.when(variable, "*").otherwise(own).alias("kind"))
     branch = judged.groupBy("host", "done", "kind", "label").agg(F.count("*").alias("size"))
+    alone = ~F.col("kind").isin("*", "") | F.col("label").endswith(UNLABELLED)
     # few names are listed; many, and those of a variable place, are a wildcard
     named = judged.join(branch, ["host", "done", "kind", "label"]).withColumn("wild", (F.col("kind") == "*") & (F.col("size") > 1) | (F.col("size") > max_names))
     lists = named.where(~F.col("wild")).groupBy("host", "done", "kind", "label").agg(F.sort_array(F.collect_set("seg")).alias("segs"))
     joined = F.when(F.size("segs") > 1, F.concat(F.lit("("), F.array_join("segs", "|"), F.lit(")"))).otherwise(F.col("segs")[0])
-    lists = lists.select("host", "done", F.explode("segs").alias("seg"), joined.alias("name"), (~F.col("kind").isin("*", "")).alias("alone"))
-    alone = ~F.col("kind").isin("*", "")
-    wild = named.where("wild").select("host", "done", "seg", F.concat(F.lit("*"), "label", F.when(alone, F.col("kind")).otherwise("")).alias("name"), alone.alias("alone"))
+    lists = lists.select("host", "done", F.explode("segs").alias("seg"), joined.alias("name"), alone.alias("alone"))
+    shown = F.when(F.col("kind").isin("*", ""), "").otherwise(F.col("kind"))
+    wild = named.where("wild").select("host", "done", "seg", F.concat(F.lit("*"), "label", shown).alias("name"), alone.alias("alone"))
     return lists.unionByName(wild)
 
 
