@@ -172,17 +172,17 @@ def to_pcm(df: DataFrame, media_col: str = "media", rate: int = TARGET_RATE) ->
 
     def run(batches):
         for big in batches:
-            for k in range(0, big.num_rows, 64):
-                batch = big.slice(k, 64)
+            for k in range(0, big.num_rows, 16):  # of long sounds
+                batch = big.slice(k, 16)
                 cols = zip(*(one(x) for x in batch.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string())))], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
-def _features(payloads: list[bytes]) -> list[str]:
+def _features(payloads: list[bytes], sounds: list[bytes]) -> list[str]:
     """Of every payload: level and zero crossings as mu-law, level as A-law, level as ADPCM blocks of one frame each (all
-    payloads' blocks are decoded together), and the checksum of the PCM resampled to TARGET_RATE."""
+    payloads' blocks are decoded together), and the checksum of the samples in its stored, resampled PCM."""
     counts = [len(p) // FRAME for p in payloads]
     starts = np.r_[0, np.cumsum(counts)[:-1]]
     joined = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
@@ -194,21 +194,35 @@ def _features(payloads: list[bytes]) -> list[str]:
     squares = [t.astype(np.int64) ** 2 for t in (MULAW, ALAW)]
     per_block = (FRAME - 4) * 2 + 1
     out = []
-    for p, n, w in zip(payloads, counts, power):
+    for p, n, w, stored in zip(payloads, counts, power, sounds):
         raw = np.frombuffer(p, np.uint8)
         seen = np.bincount(raw, minlength=256)
         mu, a = (int(np.sqrt(int(seen @ s) / len(raw))) for s in squares)
         sign = raw & 128
         crossings = int(np.count_nonzero(sign[1:] != sign[:-1]))
-        pcm = resample(MULAW[raw], RATE, TARGET_RATE)
+        pcm = decode(stored)[2]
         out.append(f"mulaw={mu} crossings={crossings} alaw={a} ima={int(np.sqrt(int(w) / (n * per_block)))} pcm{TARGET_RATE}={zlib.crc32(pcm.astype('<i2', copy=False).tobytes()):08x}")
     return out
 
 
-def op9_audio(spark, sf_dir: str) -> DataFrame:
-    """Every document's bytes stored as mu-law samples, read back and described."""
-    small_batches(spark)
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def as_mulaw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): every text's bytes, padded to whole frames, as the samples of a mu-law container."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches):
+        for big in batches:
+            for k in range(0, big.num_rows, 256):
+                batch = big.slice(k, 256)
+                raw = [(text or "").encode() for text in batch.column(1).to_pylist()]
+                media = [wav(r + b"\xff" * ((-len(r)) % FRAME if r else FRAME), "mulaw") for r in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def described(sounds: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm) as as_mulaw() and to_pcm() store them to digests and features of what is read back."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -216,17 +230,19 @@ def op9_audio(spark, sf_dir: str) -> DataFrame:
         for big in batches:
             for k in range(0, big.num_rows, 256):
                 batch = big.slice(k, 256)
-                sizes, media, payloads = [], [], []
-                for text in batch.column(1).to_pylist():
-                    raw = (text or "").encode()
-                    sizes.append(len(raw))
-                    media.append(wav(raw + b"\xff" * ((-len(raw)) % FRAME if raw else FRAME), "mulaw"))
-                    payloads.append(read_wav(media[-1])[4])
+                media, pcm = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                payloads = [read_wav(m)[4] for m in media]
                 cols = [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array([len(p) for p in payloads], pa.int64()),
+                    batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(_features(payloads)),
+                    pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(_features(payloads, pcm)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return sounds.mapInArrow(run, schema)
+
+
+def op9_audio(spark, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as mu-law samples, decoded, resampled and stored as PCM, read back and described."""
+    sounds = to_pcm(as_mulaw(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return described(sounds.select("doc_id", "n_bytes", "media", "pcm"))
