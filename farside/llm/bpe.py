@@ -21,7 +21,6 @@ plain byte-level BPE with its usual pre-splitting, are refused with a ValueError
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .util import column_name, small_batches, tidy
+from .util import column_name, shared, small_batches, tidy
 
 #: Fixed value: the pre-splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -290,12 +289,7 @@ def _sent(spark: SparkSession, path: str):
         source = f.read()
     if len(source) > MAX_FILE_MB << 20:
         raise ValueError(f"{path} has over {MAX_FILE_MB} MB")
-    return spark.sparkContext.broadcast(_compiled(source))
-
-
-@functools.lru_cache(maxsize=2)
-def _compiled(source: bytes) -> Automaton:
-    return Automaton(source)
+    return shared(spark, ("bpe", source), lambda: Automaton(source))
 
 
 def _arrays(column, step: int = 64):

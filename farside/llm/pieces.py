@@ -20,7 +20,6 @@ by the space mark, are refused with a ValueError, and so are files of over MAX_F
 from __future__ import annotations
 
 import codecs
-import functools
 import hashlib
 import itertools
 import re
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name, small_batches, tidy
+from .util import column_name, shared, small_batches, tidy
 
 MARK = "▁"  # stands for a space
 MAX_FILE_MB = 64
@@ -286,11 +285,6 @@ class Pieces:
         return raw.decode("utf-8", "each-byte")
 
 
-@functools.lru_cache(maxsize=2)
-def _compiled(source: bytes) -> Pieces:
-    return Pieces(source)
-
-
 def _sent(spark: SparkSession, path: str):
     """The compiled model, for all executors."""
     small_batches(spark)
@@ -298,7 +292,7 @@ def _sent(spark: SparkSession, path: str):
         source = f.read()
     if len(source) > MAX_FILE_MB << 20:
         raise ValueError(f"{path} has over {MAX_FILE_MB} MB")
-    return spark.sparkContext.broadcast(_compiled(source))
+    return shared(spark, ("pieces", source), lambda: Pieces(source))
 
 
 def _few(batch, rows: int = 64):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column_name, discard, small_batches, stash, tidy
+from .util import column_name, discard, small_batches, stash, tidy, trim
 
 #: Letters in a piece of a longer word, and from one piece's start to the next one's: short pieces for what stands within
 #: a word or before an ending, long ones for long insults.
@@ -540,7 +540,9 @@ _TRAIN = "crc32(encode(cast(i as string), 'UTF-8')) % 5 <> 0"
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """Fitted on labelled rows of which crc32 of the id as text modulo 5 is not 0."""
-    return fit(*sample(docs, labels, s, train=_TRAIN), s)
+    model = fit(*sample(docs, labels, s, train=_TRAIN), s)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -28,22 +28,41 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Hand freed memory back: Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    found = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others have no such call
+    if found:
+        found(0)
+
+
 def tidy(function):
-    """A function over Arrow batches that hands freed memory back when its task ends: Arrow and the C library keep it
-    otherwise, and Python workers stay for tasks to come beside those of other stages."""
+    """A function over Arrow batches that hands freed memory back when its task ends: Python workers stay for tasks to come
+    beside those of other stages."""
 
     def run(batches):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others have no such call
-            if trim:
-                trim(0)
+            trim()
 
     return run
 
 
+_shared: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, key: tuple, make):
+    """A broadcast of make(), made once for a key and an application. The driver keeps no copy of the object itself."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _shared:
+        for other in [k for k in _shared if k[0] != key[0]]:
+            del _shared[other]
+        _shared[key] = spark.sparkContext.broadcast(make())
+        trim()
+    return _shared[key]
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of df's, compared without case."""
     taken, name = {c.lower() for c in df.columns}, base

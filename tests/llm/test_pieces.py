@@ -25,7 +25,7 @@ def library():
 @pytest.fixture(scope="module")
 def model():
     with open(PATH, "rb") as f:
-        return pieces._compiled(f.read())
+        return pieces.Pieces(f.read())
 
 
 def test_odd_texts(library, model):
