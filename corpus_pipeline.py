@@ -43,7 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, with each row's place in the mixed order, which is that of the
     files of the stage before and of their rows."""
     position = column_name(docs, "position")
-    rows = bpe.digest(mixing.in_order(docs, position), bpe.default_tokenizer(), keep=("doc_id", "source", position))
+    # stored, as an order by ranges reads its input twice
+    rows = stash(bpe.digest(mixing.in_order(docs, position), bpe.default_tokenizer(), keep=("doc_id", "source", position)))
     return rows.withColumnRenamed(position, "position").orderBy("position")
 
 
