@@ -31,7 +31,6 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
         baselines = with_directions(baselines)
         columns += [f"{a}{k}" for k in "12" for a in "abc"]
     few = stash(baselines.select(*columns))
-    sky = sky.select("ipix", "l", "m", "n")
     pixels, nside, _ = extent(sky)
     tree = quadtree(sky, nside, observation)
     # sums of a day are at most this

@@ -78,7 +78,20 @@ def _as_level(cones: DataFrame) -> DataFrame:
 
 
 def quadtree(sky: DataFrame, nside: int, observation: Observation) -> Quadtree:
-    """Of a materialised sky (ipix, l, m, n, with or without b); also of a part of one."""
+    """Of a materialised sky (ipix, l, m, n, with or without b); also of a part of one. The sky's object remembers it, for the
+    next use of the same sky; forget() ends that."""
+    key = (nside, observation.open_angle)
+    if getattr(sky, "_tree", (None, None))[0] != key:
+        sky._tree = (key, _quadtree(sky, nside, observation))
+    return sky._tree[1]
+
+
+def forget(sky: DataFrame) -> None:
+    """Before the tables of a sky's tree are deleted."""
+    sky._tree = (None, None)
+
+
+def _quadtree(sky: DataFrame, nside: int, observation: Observation) -> Quadtree:
     bits = 2 * (nside.bit_length() - 1)
     block = tile = max(0, min(BLOCK_BITS, bits - 4))
     values = [c for c in ("ipix", "b", "l", "m", "n") if c in sky.columns]

@@ -36,8 +36,10 @@ def spread(df: DataFrame, rows: int, per_task: int = 256) -> DataFrame:
 
 def extent(sky: DataFrame) -> tuple[int, int, float]:
     """(rows, nside, sum of absolute brightness) of a materialised sky; nside of the smallest whole sky that holds it."""
-    bright = F.sum(F.abs("b")) if "b" in sky.columns else F.lit(0.0)
-    rows, last, total = sky.agg(F.count("*"), F.max("ipix"), bright).first()
+    if not hasattr(sky, "_extent"):
+        bright = F.sum(F.abs("b")) if "b" in sky.columns else F.lit(0.0)
+        sky._extent = tuple(sky.agg(F.count("*"), F.max("ipix"), bright).first())
+    rows, last, total = sky._extent
     nside = 1
     while rows and nside_to_npix(nside) <= last:
         nside *= 2
@@ -116,7 +118,7 @@ def visible_counts(half: DataFrame, sky: DataFrame, observation: Observation) ->
     """(day, bid, n_visible) alone: wholly seen blocks are counted, only mixed ones come down to pixels."""
     half, (pixels, nside, _) = _half(half), extent(sky)
     n = half.count()
-    tree = quadtree(sky.select("ipix", "l", "m", "n"), nside, observation)
+    tree = quadtree(sky, nside, observation)
     both = pixels_of(met(spread(half, n), n, tree, pixels, True, True, ("day", "bid")), all_=False)
     found = F.when(F.col("sure"), F.col("size")).when(seen(observation), 1).otherwise(0)
     return _every(half, both.groupBy("day", "bid").agg(F.sum(found).alias("n_visible")))

@@ -19,6 +19,7 @@ from ..operators import baselines as B
 from ..operators import imaging as I
 from ..operators import visibility as V
 from ..operators import weights as W
+from ..operators.mask import forget
 from ..operators.sky import staged_sky
 from ..sources import text
 from .staging import Store, discard, keep, scratch, stash
@@ -57,17 +58,22 @@ def images(
     conjugates, and its own lengths and places; data always come through the Moon's mask, masked is for the reconstruction.
     known_viss: visibilities come from files, to try the inverse alone. sky: as read_sky() gives it, if it is known."""
     began = time.perf_counter()
+    pixels, nside = sky or read_sky(spark, folder)
+    for name, value in settings(observation, nside):
+        log.info("%s: %s", name, value)
     with scratch():
-        pixels, nside = sky or read_sky(spark, folder)
-        for name, value in settings(observation, nside):
-            log.info("%s: %s", name, value)
-        rows = stash(read_baselines(spark, folder, days))
-        if known_viss:
-            full = rows.join(read_viss(spark, folder, days), ["day", "rn"])
-        else:
-            full = B.with_conjugates(rows, stash(V.forward(B.first_half(rows), pixels, observation).drop("n_visible")))
-        weighted = W.weighted(W.with_shell(full), observation)
-        out = keep(stash(I.image(V.rephased(weighted), pixels, observation, masked)))
+        try:
+            rows = stash(read_baselines(spark, folder, days))
+            if known_viss:
+                full = rows.join(read_viss(spark, folder, days), ["day", "rn"])
+            else:
+                full = B.with_conjugates(rows, stash(V.forward(B.first_half(rows), pixels, observation).drop("n_visible")))
+            weighted = W.weighted(W.with_shell(full), observation)
+            out = keep(stash(I.image(V.rephased(weighted), pixels, observation, masked)))
+        finally:
+            forget(pixels)  # its tree ends with this block
+    if sky is None:
+        discard(pixels)
     log.info("total time: %.1f s", time.perf_counter() - began)
     return out
 
