@@ -47,6 +47,8 @@ SCALES = ((8, 2), (12, 4))
 WIDTH = 12
 #: Strings looked up together, so that their keys stay in the processor's cache.
 STEP = 256
+#: Rows of features that the fit copies at a time.
+ROWS = 4096
 START = "^"
 #: From this kernel value on a word of a toxic text is an example for a landmark.
 HELD = 0.6
@@ -251,7 +253,10 @@ class Landmarks:
         return _normalised(self.subsequences, self.tables, strings)
 
     def features(self, strings: list[str]) -> np.ndarray:
-        return self.values(strings) @ self.whiten
+        out = np.empty((len(strings), len(self.strings)))
+        for k in range(0, len(strings), ROWS):
+            out[k : k + ROWS] = self.values(strings[k : k + ROWS]) @ self.whiten
+        return out
 
 
 def _values(subsequences: Subsequences, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -354,16 +359,24 @@ def _forms(word: str, count: int) -> list[str]:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Weights and, last, the bias of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    keep = np.eye(x.shape[1])
+def _machine(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
+    """Weights and, last, the bias of a linear machine with squared hinge loss, by Newton steps. blocks: the examples' features,
+    one block after the other, of which a few rows at a time are copied."""
+    ends = np.cumsum([len(x) for x in blocks])
+    parts = [(x[k : k + ROWS], end - len(x) + k) for x, end in zip(blocks, ends) for k in range(0, len(x), ROWS)]
+    keep = np.eye(blocks[0].shape[1] + 1)
     keep[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(keep))
     for _ in range(30):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost * weight[active]
-        new = np.linalg.solve(keep + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        square, side = keep.copy(), np.zeros(len(keep))
+        for x, at in parts:
+            z, own = np.c_[x, np.ones(len(x))], y[at : at + len(x)]
+            active = own * (z @ w) < 1
+            z = z[active]
+            scaled = z * (cost * weight[at : at + len(x)][active])[:, None]
+            square += scaled.T @ z
+            side += scaled.T @ own[active]
+        new = np.linalg.solve(square, side)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -487,7 +500,7 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
         np.add.at(at, kind[plain], most[plain] * weight)
         forms = [(f, w / s.forms) for c, w in zip(chosen, at) for f in _forms(c, 4 * s.forms)]
         more = marks.features([f for f, _ in forms])
-        examples = np.concatenate([x, marks.features([strings[k] for k in plain]), more])
+        examples = [x, marks.features([strings[k] for k in plain]), more]
         y = np.r_[-np.ones(len(clean)), np.ones(len(plain) + len(more))]
         # a word of clean texts weighs as their number, all examples of a toxic text as one
         weights = _machine(examples, y, np.r_[often[clean], weight, [w for _, w in forms]] / len(bad), s.cost)
