@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import setting
 from .util import column_name, discard, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,7 +80,13 @@ def _unlike(chi: Column, freedom: Column, z: float) -> Column:
 
 
 def templates(patterns: DataFrame, prior: float = 0.25, strength: float = 4.0, unseen: float = 0.2, max_names: int = 16, z: float = 1.96) -> DataFrame:
-    """(host, pattern, n, n1, n0) to (host, pattern, template, purity)."""
+    """(host, pattern, n, n1, n0) to (host, pattern, template, purity). Every level is a handful of small plans of its own, for
+    which compiled stages would fill the driver's memory with classes: they are interpreted."""
+    with setting(patterns.sparkSession, "spark.sql.codegen.wholeStage", "false"):
+        return _templates(patterns, prior, strength, unseen, max_names, z)
+
+
+def _templates(patterns: DataFrame, prior: float, strength: float, unseen: float, max_names: int, z: float) -> DataFrame:
     hosts = patterns.groupBy("host").agg(F.sum("n1").alias("p1"), F.sum("n0").alias("p0"))
     hosts = hosts.select("host", "p1", "p0", ((F.col("p1") + strength * prior) / (F.col("p1") + F.col("p0") + strength)).alias("purity"))
     rows = patterns.join(hosts, "host").select(
