@@ -87,8 +87,8 @@ def quadtree(sky: DataFrame, nside: int, observation: Observation) -> Quadtree:
 
 
 def forget(sky: DataFrame) -> None:
-    """Before the tables of a sky's tree are deleted."""
-    sky._tree = (None, None)
+    """Before the tables of a sky's tree, and of its layers, are deleted."""
+    sky._tree = sky._far = (None, None)
 
 
 def _quadtree(sky: DataFrame, nside: int, observation: Observation) -> Quadtree:
