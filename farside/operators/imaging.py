@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import Observation
 from ..functions.complex import cabs, cmul, turn
 from ..plans.staging import stash
-from . import visibility
+from . import farfield, visibility
 from .baselines import with_directions
+from .farfield import Far
 from .mask import pixels_of, quadtree, sifted
 from .visibility import exact_sum, extent, hidden, met, spread
 
@@ -34,7 +35,14 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
     pixels, nside, _ = extent(sky)
     tree = quadtree(sky, nside, observation)
     # sums of a day are at most this
-    n, most = few.groupBy("day").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("wt")) * cabs((F.col("re"), F.col("im")))).alias("most")).agg(F.sum("n"), F.max("most")).first()
+    size = F.abs(F.col("wt")) * cabs((F.col("re"), F.col("im")))
+    length = farfield.length(size < float("inf"))
+    per_day = few.groupBy("day").agg(F.count("*").alias("n"), F.sum(size).alias("most"), F.max(F.when(length < float("inf"), length)).alias("longest"))
+    n, most, longest, days = per_day.agg(F.sum("n"), F.max("most"), F.max("longest"), F.sort_array(F.collect_list("day"))).first()  # days: a few hundred
+    known = len(days) == per_day.count()
+    far = farfield.layered(sky, pixels, nside, observation, longest) if known else None
+    if far:
+        return _far_image(few.withColumn("length", length), n, days, most, sky, far, pixels, observation, masked, hermitian)
     if (n or 0) * ROW_BYTES <= visibility.BROADCAST_BYTES:
         blocks = tree.blocks.drop("tile", "size")
         both = spread(blocks, -(-pixels // 16), 64).crossJoin(F.broadcast(few))
@@ -44,9 +52,7 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
     both = pixels_of(both)
     if masked:
         both = both.where(F.col("sure") | ~hidden(observation))
-    phase = 2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * F.col("n"))
-    re, im = cmul((F.col("re"), F.col("im")), turn(phase))
-    real, imaginary = (exact_sum(F.col("wt") * part, most or 0.0) for part in (re, im))
+    real, imaginary = _sums(most or 0.0)
     found = both.groupBy("day", "ipix").agg(*([(2 * real).alias("c_re")] if hermitian else [real.alias("c_re"), imaginary.alias("c_im")]))
     found = found.withColumn("c_im", F.lit(0.0)) if hermitian else found
     if not masked:
@@ -57,6 +63,30 @@ def image(baselines: DataFrame, sky: DataFrame, observation: Observation, masked
     return every.join(found, ["day", "ipix"], "left").select("day", "ipix", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("c_re", "c_im")))
 
 
+def _sums(most: float) -> tuple[Column, Column]:
+    """Real and imaginary parts of what meets a direction."""
+    phase = 2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * F.col("n"))
+    re, im = cmul((F.col("re"), F.col("im")), turn(phase))
+    return exact_sum(F.col("wt") * re, most), exact_sum(F.col("wt") * im, most)
+
+
+def _far_image(few: DataFrame, n: int, days: list[int], most: float, sky: DataFrame, far: Far, pixels: int, observation: Observation, masked: bool, hermitian: bool) -> DataFrame:
+    """image() of a sky with layers: sums at the points of cells, and at the pixels of those that no layer takes."""
+    dealt = min(len(days), farfield.DAY_SLOTS)
+    parts = -(-n // (farfield.SLOT_ROWS * dealt))
+    slot = (F.pmod("day", F.lit(dealt)) * parts + F.pmod(F.xxhash64("u", "v", "w"), F.lit(parts))).cast("int")
+    both = farfield.met(spread(few, n), far, far.points, pixels, False, masked, dealt * parts, slot, ["id", "l", "m", "n"])
+    if masked:
+        both = [x.where(F.col("sure") | ~hidden(observation)) for x in both]
+    real, imaginary = _sums(most)
+    own = F.when(F.col("layer") > 0, F.col("cell")).otherwise(0).alias("cell")
+    # layers of the two are not the same, so these are whole sums
+    sums = farfield.stashed(farfield.union([x.groupBy("day", "layer", own, "id").agg(real.alias("re"), (F.lit(0.0) if hermitian else imaginary).alias("im")) for x in both]))
+    near = sums.where("layer = 0").select("day", F.col("id").alias("ipix"), "re", "im")
+    found = farfield.filled(far, sky, sums.where("layer > 0"), days).unionAll(near).groupBy("day", "ipix").agg(F.sum("re").alias("c_re"), F.sum("im").alias("c_im"))
+    return found.withColumn("c_re", 2 * F.col("c_re")) if hermitian else found
+
+
 def map_rows(sums: DataFrame) -> DataFrame:
     """(ipix, c) in the order of the pixels, as a map's plot takes its values."""
     return sums.select("ipix", "c").orderBy("ipix")
