@@ -6,8 +6,9 @@ the whole cell meets these instead of the pixels. Inversely, baselines are summe
 between. A baseline takes points of the coarsest cell that is wholly seen and within its reach; only at the rim of the Moon, and
 where it is too long for any cell, it goes down to pixels. So pairs grow with baselines times the rim, not times the sky.
 
-Cells form layers, each with a quarter of the one above. Coarse layers are broadcast. What goes below a tile is sent to it once:
-tile and slot (a part of the baselines) are explicit keys of one exchange, and what lies in a tile stands ready under them.
+Cells form layers, each with a quarter of the one above. Coarse layers are broadcast, and a baseline is sent once to each coarse
+cell that takes it and to each tile that none does: these and slot (a part of the baselines) are explicit keys of one exchange.
+A task sums the pairs of a tile and a slot in arrays (tilesums.py), so pairs never are rows.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from pyspark.sql import functions as F
 from ..constants import Observation, nside_to_npix
 from ..functions import interpolation as P
 from ..functions.complex import norm3
-from ..plans.staging import setting, stash
+from ..plans.staging import stash
+from . import tilesums as T
 from .mask import BLOCK_BITS, _cell, _cones, quadtree, sifted
 
 #: Pixels from which a sky has layers, and bytes of a point or a pixel.
 LEAST_PIXELS, POINT_BYTES = 49_152, 64
 #: Bits between layers, of a tile, and cells of the lowest layer at most.
 STEP, TILE_BITS, MOST_CELLS = 2, 14, 300_000
-#: Baselines of a slot, and slots that days are dealt over.
-SLOT_ROWS, DAY_SLOTS = 250_000, 5
+#: Baselines of a slot, and of a task that finds their cells.
+SLOT_ROWS, TASK_ROWS = 100_000, 1024
 
 
 @dataclass
@@ -167,33 +169,9 @@ def dealt(far: Far, sky: DataFrame) -> DataFrame:
     return rows.groupBy("tile").cogroup(far.places.groupBy("tile")).applyInPandas(deal, "layer int, cell long, id long, b double")
 
 
-def filled(far: Far, sky: DataFrame, sums: DataFrame, days: list[int]) -> DataFrame:
-    """(day, ipix, re, im) of every pixel and day: what lies between sums (day, layer, cell, id, re, im) at the cells' points."""
-    spec = _spec(far)
-    n = max(1, -(-len(days) // 8))
-    bunches = [days[k::n] for k in range(n)]
-    places = {d: k for k, some in enumerate(bunches) for d in some}
-
-    def fill(key, pixels: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        pixels, own = pixels.sort_values("ipix"), bunches[key[1]]
-        out = np.zeros((len(pixels), 2, len(own)))
-        values = {k: v for k, v in found.sort_values(["day", "id"]).groupby(["layer", "cell"])}
-        for layer, cell, some, terms, degree in _cells(pixels, found.drop_duplicates(["layer", "cell"]), spec):
-            v = values[layer, cell]
-            there = [own.index(d) for d in v["day"].unique()]
-            at = P.solved(degree) @ v[["re", "im"]].to_numpy().reshape(len(there), -1, 2).transpose(1, 2, 0).reshape(P.count(degree), -1)
-            out[some][:, :, there] += (terms @ at).reshape(-1, 2, len(there))
-        return pd.DataFrame({"day": np.repeat(own, len(pixels)), "ipix": np.tile(pixels["ipix"].to_numpy(), len(own)), "re": out[:, 0].T.ravel(), "im": out[:, 1].T.ravel()})
-
-    bunch = F.element_at(F.create_map(*(F.lit(x) for pair in places.items() for x in pair)), F.col("day"))
-    left = sky.select(_cell(far.tile).alias("tile"), "ipix", "l", "m", "n").withColumn("bunch", F.explode(F.array(*(F.lit(k) for k in range(n)))))
-    right = sums.join(far.places, ["layer", "cell"]).withColumn("bunch", bunch)
-    return left.groupBy("tile", "bunch").cogroup(right.groupBy("tile", "bunch")).applyInPandas(fill, "day int, ipix long, re double, im double")
-
-
 def _sifted(rows: DataFrame, layer: Layer, forward: bool, masked: bool) -> DataFrame:
     rows = sifted(rows, forward) if masked else rows.drop("cl", "cm", "cn", "whole", "none", "near")
-    taken = (F.col("layer") == 0) & F.col("sure") & (F.col("length") <= layer.reach)
+    taken = (F.col("layer") == 0) & F.col("sure") & (F.col("length") <= layer.reach) & F.lit(layer.reach > 0)
     # a row count ends the method that Spark generates: several layers in one would be more than the JVM compiles
     return rows.withColumn("layer", F.when(taken, layer.shift).otherwise(F.col("layer"))).observe(f"layer {layer.shift}", F.count(F.lit(1)).alias("n"))
 
@@ -211,12 +189,18 @@ def _members(points: DataFrame, values: list[str]) -> DataFrame:
     return points.groupBy("layer", "cell").agg(F.collect_list(F.struct(*values)).alias("members"))
 
 
-def met(rows: DataFrame, far: Far, points: DataFrame, pixels: int, forward: bool, masked: bool, slots: int, slot: Column, values: list[str]) -> list[DataFrame]:
-    """Rows of directions with a length, together with the points, or pixels, that they meet: of coarse cells, and of what lies
-    in tiles. Every row has layer (0: a pixel's), cell, sure and the values. points: (layer, cell, values)."""
+def _upper(rows: DataFrame, far: Far, forward: bool, masked: bool) -> DataFrame:
+    """Rows at the coarse cells that take them (layer, cell, sure), or at tiles (layer 0)."""
     top, *others = far.upper
     down = rows.crossJoin(F.broadcast(top.cones.drop("parent"))).withColumns({"sure": F.lit(not masked), "layer": F.lit(0)})
-    down = _down(_sifted(down, top, forward, masked), others, forward, masked)
+    return _down(_sifted(down, top, forward, masked), others, forward, masked)
+
+
+def met(rows: DataFrame, far: Far, points: DataFrame, pixels: int, forward: bool, masked: bool, slots: int, slot: Column, values: list[str]) -> list[DataFrame]:
+    """The pairs as rows, to count or look at them; the sums go without. Rows of directions with a length, together with the
+    points, or pixels, that they meet: of coarse cells, and of what lies in tiles. Every row has layer (0: a pixel's), cell, sure
+    and the values. points: (layer, cell, values)."""
+    top, down = far.upper[0], _upper(rows, far, forward, masked)
     shifts = [x.shift for x in far.upper]
     coarse = F.broadcast(_members(points.where(F.col("layer").isin(shifts)), values))
     out = [down.where("layer > 0").join(coarse, ["layer", "cell"])]
@@ -244,7 +228,128 @@ def _value(pixel: Column, name: str) -> Column:
     return F.lit(1).cast("long").alias(name) if name == "many" else pixel["ipix" if name == "id" else name].alias(name)
 
 
-def stashed(df: DataFrame) -> DataFrame:
-    """stash(), with joins in place where both sides are dealt by some of their keys."""
-    with setting(df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        return stash(df)
+def _plan(far: Far, observation: Observation, forward: bool, masked: bool) -> T.Plan:
+    spec = {x.shift: (x.degree, x.side, x.reach) for x in far.layers if x.reach}
+    return T.Plan(far.tile, STEP, spec, observation.open_angle, forward, masked)
+
+
+def _tasks(df: DataFrame, groups: int) -> int:
+    return min(4096, max(8 * df.sparkSession.sparkContext.defaultParallelism, groups >> 3))
+
+
+def _not_null(sums: DataFrame) -> DataFrame:
+    """What is undefined comes out of pandas as null."""
+    return sums.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("re", "im")})
+
+
+def _arrays(left: pd.DataFrame, masked: bool) -> tuple[np.ndarray, ...]:
+    """(u, v, w), lengths and both satellites' directions of rows."""
+    a, b = ((left[[f"{x}{k}" for x in "abc"]].to_numpy() if masked else None) for k in "12")
+    return left[["u", "v", "w"]].to_numpy(), left["length"].to_numpy(), a, b
+
+
+def seen(rows: DataFrame, far: Far, points: DataFrame, sky: DataFrame, pixels: int, observation: Observation, masked: bool, slots: int) -> DataFrame:
+    """(day, bid, re, im, n) of baselines, in parts: a row for each tile or coarse cell where they see something. points: (layer,
+    cell, id, l, m, n, b)."""
+    plan, key = _plan(far, observation, True, masked), ["at", "cell", "slot"]
+
+    def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(left), 3))
+        if len(left):
+            lines, every = _arrays(left, masked), np.arange(len(left))
+            right = right.sort_values(["layer", "inner", "id"])
+            layer, at, bright = right["layer"].to_numpy(), right[["l", "m", "n"]].to_numpy(), right["b"].to_numpy()
+            if group[0]:
+                T.seen_by(plan, *lines, at, bright, every, True, out, 1 << group[0])
+            else:
+                where = {x: slice(*np.searchsorted(layer, [x, x + 1])) for x in np.unique(layer)}
+                own = at[where[0]]
+                for x, shift, start, some, sure in T.down(plan, own, *lines[1:], every, left["sure"].to_numpy(), plan.tile):
+                    size = P.count(plan.spec[x][0]) if x else 1
+                    first = where[x].start + (start >> x) * size
+                    some_of = slice(first, first + (size if x else 1 << shift))
+                    T.seen_by(plan, *lines, at[some_of], bright[some_of], some, sure, out, 1 << x)
+        there = out[:, 2] > 0
+        named = {"re": out[there, 0], "im": out[there, 1], "n": out[there, 2].astype("int64")}
+        return pd.DataFrame({"day": left["day"][there], "bid": left["bid"][there]} | named)
+
+    tasks = _tasks(sky, (pixels >> far.tile) * slots)
+    slot = F.pmod(F.xxhash64("day", "bid"), F.lit(slots)).cast("int").alias("slot")
+    left = _upper(rows, far, True, masked).withColumnRenamed("layer", "at").select("*", slot)
+    upper = F.col("layer") >= far.tile
+    at = F.when(upper, F.col("layer")).otherwise(0).alias("at"), F.when(upper, F.col("cell")).otherwise(F.expr(f"shiftright(cell, {far.tile} - layer)")).alias("cell")
+    right = points.select(*at, "layer", F.col("cell").alias("inner"), "id", "l", "m", "n", "b")
+    none = F.lit(0).cast("long")
+    right = right.unionAll(sky.select(F.lit(0).alias("at"), _cell(far.tile).alias("cell"), F.lit(0).alias("layer"), none.alias("inner"), F.col("ipix").alias("id"), "l", "m", "n", "b"))
+    right = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    left, right = (x.repartition(tasks, *key).groupBy(*key) for x in (left, right))
+    return _not_null(left.cogroup(right).applyInPandas(run, "day int, bid long, re double, im double, n long"))
+
+
+def coarse(rows: DataFrame, far: Far, pixels: int, observation: Observation, masked: bool, hermitian: bool, days: int, parts: int) -> DataFrame:
+    """(day, layer, cell, id, re, im) in parts: rows' values (zr, zi) summed at the points of coarse cells. rows: as _upper()
+    gives them, with part."""
+    plan, key = _plan(far, observation, False, masked), ["layer", "cell", "day", "part"]
+
+    def run(group: tuple, left: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(["u", "v", "w", "zr", "zi"])  # so that sums don't depend on the order of rows
+        degree, side, _ = plan.spec[group[0]]
+        at = P.directions(P.padua(degree), left[["cl", "cm", "cn"]].to_numpy()[0], side)
+        found = T.shone_on(plan, *_arrays(left, False), left[["zr", "zi"]].to_numpy(), at, np.arange(len(left)), True, hermitian)
+        return pd.DataFrame({"day": group[2], "layer": group[0], "cell": group[1], "id": np.arange(len(at)), "re": found[:, 0], "im": found[:, 1]})
+
+    centres = far.places.where(F.col("layer") >= far.tile).select("layer", "cell", "cl", "cm", "cn").distinct()
+    left = rows.where("layer > 0").join(F.broadcast(centres), ["layer", "cell"]).select(*key, "u", "v", "w", "zr", "zi", "length", "cl", "cm", "cn")
+    groups = left.repartition(_tasks(rows, (pixels >> far.tile) * days * parts), *key).groupBy(*key)
+    return groups.applyInPandas(run, "day int, layer int, cell long, id long, re double, im double")
+
+
+def shone(rows: DataFrame | None, sums: DataFrame, days: DataFrame, far: Far, sky: DataFrame, pixels: int, observation: Observation, masked: bool, hermitian: bool, n_days: int, parts: int) -> DataFrame:
+    """(day, ipix, re, im) of every pixel and day, in parts: rows, if there are any that no coarse cell takes, summed in tiles, and
+    what lies between sums (day, layer, cell, id, re, im) of coarse cells."""
+    plan, key = _plan(far, observation, False, masked), ["cell", "day", "part"]
+
+    def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["layer", "id"])
+        layer, ids, at = right["layer"].to_numpy(), right["id"].to_numpy(), right[["l", "m", "n"]].to_numpy()
+        own, values, centres = at[layer == 0], {}, {}
+        for x in np.unique(layer[layer > 0]):
+            place = int(x), int(group[0]) >> int(x) - plan.tile
+            some = at[layer == x]
+            centres[place] = some[0]
+            if len(some) > 1:
+                values[place] = some[1:, :2]
+        out = np.zeros((len(own), 2))
+        if len(left):
+            left = left.sort_values(["u", "v", "w", "zr", "zi"])
+            lines, z = _arrays(left, masked), left[["zr", "zi"]].to_numpy()
+            for x, shift, start, some, sure in T.down(plan, own, *lines[1:], np.arange(len(left)), left["sure"].to_numpy(), plan.tile):
+                at = T.points(plan, own, x, start) if x else own[start : start + (1 << shift)]
+                found = T.shone_on(plan, *lines, z, at, some, sure, hermitian)
+                if x:
+                    values[x, (int(group[0]) << plan.tile - x) + (start >> x)] = found
+                else:
+                    out[start : start + (1 << shift)] += found
+        out += T.filled(plan, own, int(group[0]), values, centres)
+        return pd.DataFrame({"day": group[1], "ipix": ids[layer == 0], "re": out[:, 0], "im": out[:, 1]})
+
+    tasks = _tasks(sky, (pixels >> far.tile) * n_days * parts)
+    of = ["cell", "day", "part", "layer", "id", "l", "m", "n"]
+    every = F.broadcast(days.select((F.col("day") + 0).alias("day")))  # not the column that rows have, or the two sides are one to Spark
+    cells = sky.select(_cell(far.tile).alias("cell"), F.lit(0).alias("layer"), F.col("ipix").alias("id"), "l", "m", "n")
+    right = cells.crossJoin(every).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*of)
+    upper, first = far.places.where(F.col("layer") >= far.tile), F.lit(0).alias("part")
+    right = right.unionAll(upper.crossJoin(every).select(F.col("tile").alias("cell"), "day", first, "layer", F.lit(-1).cast("long").alias("id"), F.col("cl").alias("l"), F.col("cm").alias("m"), F.col("cn").alias("n")))
+    inside = sums.join(F.broadcast(upper.select("layer", "cell", "tile")), ["layer", "cell"])
+    right = right.unionAll(inside.select(F.col("tile").alias("cell"), "day", first, "layer", "id", F.col("re").alias("l"), F.col("im").alias("m"), F.lit(0.0).alias("n")))
+    right = right.repartition(tasks, *key)
+    schema = "day int, ipix long, re double, im double"
+    if rows is None:
+        
+        def alone(group: tuple, right: pd.DataFrame) -> pd.DataFrame:
+            return run(group, pd.DataFrame(), right)
+
+        return _not_null(right.groupBy(*key).applyInPandas(alone, schema))
+    directions = [f"{x}{k}" for k in "12" for x in "abc"] if masked else []
+    left = rows.where("layer = 0").select(*key, "u", "v", "w", "zr", "zi", "length", "sure", *directions)
+    return _not_null(left.repartition(tasks, *key).groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema))

@@ -72,19 +72,18 @@ def _sums(most: float) -> tuple[Column, Column]:
 
 def _far_image(few: DataFrame, n: int, days: list[int], most: float, sky: DataFrame, far: Far, pixels: int, observation: Observation, masked: bool, hermitian: bool) -> DataFrame:
     """image() of a sky with layers: sums at the points of cells, and at the pixels of those that no layer takes."""
-    dealt = min(len(days), farfield.DAY_SLOTS)
-    parts = -(-n // (farfield.SLOT_ROWS * dealt))
-    slot = (F.pmod("day", F.lit(dealt)) * parts + F.pmod(F.xxhash64("u", "v", "w"), F.lit(parts))).cast("int")
-    both = farfield.met(spread(few, n), far, far.points, pixels, False, masked, dealt * parts, slot, ["id", "l", "m", "n"])
-    if masked:
-        both = [x.where(F.col("sure") | ~hidden(observation)) for x in both]
-    real, imaginary = _sums(most)
-    own = F.when(F.col("layer") > 0, F.col("cell")).otherwise(0).alias("cell")
-    # layers of the two are not the same, so these are whole sums
-    sums = farfield.stashed(farfield.union([x.groupBy("day", "layer", own, "id").agg(real.alias("re"), (F.lit(0.0) if hermitian else imaginary).alias("im")) for x in both]))
-    near = sums.where("layer = 0").select("day", F.col("id").alias("ipix"), "re", "im")
-    found = farfield.filled(far, sky, sums.where("layer > 0"), days).unionAll(near).groupBy("day", "ipix").agg(F.sum("re").alias("c_re"), F.sum("im").alias("c_im"))
-    return found.withColumn("c_re", 2 * F.col("c_re")) if hermitian else found
+    parts = -(-n // (farfield.SLOT_ROWS * len(days)))
+    part = F.pmod(F.xxhash64("u", "v", "w", "re", "im"), F.lit(parts)).cast("int")
+    rows = spread(few.withColumns({"part": part, "zr": F.col("wt") * F.col("re"), "zi": F.col("wt") * F.col("im")}).drop("re", "im", "wt"), n, farfield.TASK_ROWS)
+    rows = farfield._upper(rows, far, False, masked)
+    both = [exact_sum(F.col(c), most).alias(c) for c in ("re", "im")]
+    how = (pixels, observation, masked, hermitian)
+    sums = stash(farfield.coarse(rows, far, *how, len(days), parts).groupBy("day", "layer", "cell", "id").agg(*both))
+    # without a mask, and with none too long for the coarsest, there is nothing in tiles
+    inside = masked or few.where(~(F.col("length") <= far.upper[0].reach)).limit(1).count()
+    found = farfield.shone(rows if inside else None, sums, few.select("day").distinct(), far, sky, *how, len(days), parts)
+    found = found.groupBy("day", "ipix").agg(*both) if parts > 1 else found
+    return found.select("day", "ipix", (2 * F.col("re") if hermitian else F.col("re")).alias("c_re"), F.col("im").alias("c_im"))
 
 
 def map_rows(sums: DataFrame) -> DataFrame:

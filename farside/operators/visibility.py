@@ -109,24 +109,19 @@ def forward(half: DataFrame, sky: DataFrame, observation: Observation, masked: b
     n, longest = half.agg(F.count("*"), F.max(F.when(farfield.length() < float("inf"), farfield.length()))).first()
     far = farfield.layered(sky, pixels, nside, observation, longest) if math.isfinite(bright) else None
     if far:
-        values, slots = ["b", "l", "m", "n", "many"], -(-n // farfield.SLOT_ROWS)
         bright *= 64  # what is dealt out is at most so much more in all
         points = farfield.dealt(far, sky).groupBy("layer", "cell", "id").agg(exact_sum(F.col("b"), bright).alias("b"))
-        points = stash(points.join(far.points, ["layer", "cell", "id"]).withColumn("many", F.when(F.col("id") == 0, F.expr("shiftleft(1L, layer)")).otherwise(0)))
-        rows = spread(half.withColumn("length", farfield.length()), n)
-        slot = F.pmod(F.xxhash64("day", "bid"), F.lit(slots)).cast("int")
-        both, many = farfield.met(rows, far, points, pixels, True, masked, slots, slot, values), F.sum("many")
-    else:
-        both = [pixels_of(met(spread(half, n), n, quadtree(sky, nside, observation), pixels, True, masked, ("day", "bid")))]
-        many = F.count("*")
-    open_ = F.col("sure") | seen(observation) if masked else F.lit(True)
+        points = stash(points.join(far.points, ["layer", "cell", "id"]))
+        rows = spread(half.withColumn("length", farfield.length()), n, farfield.TASK_ROWS)
+        found = farfield.seen(rows, far, points, sky, pixels, observation, masked, -(-n // farfield.SLOT_ROWS))
+        sums = [exact_sum(F.col(c), bright).alias(c) for c in ("re", "im")]
+        return _every(half, stash(found.groupBy("day", "bid").agg(*sums, F.sum("n").alias("n_visible"))))
+    both = pixels_of(met(spread(half, n), n, quadtree(sky, nside, observation), pixels, True, masked, ("day", "bid")))
+    both = both.where(F.col("sure") | seen(observation)) if masked else both
     phase = -2 * math.pi * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * (F.col("n") - 1))
     re, im = turn(phase)
     sums = [exact_sum(F.col("b") * part, bright).alias(name) for name, part in (("re", re), ("im", im))]
-    found = [x.where(open_).groupBy("day", "bid").agg(*sums, many.alias("n_visible")) for x in both]
-    if far:  # at most two, whose order is of no consequence
-        found = [farfield.stashed(farfield.union(found).groupBy("day", "bid").agg(*(F.sum(c).alias(c) for c in ("re", "im", "n_visible"))))]
-    return _every(half, found[0])
+    return _every(half, both.groupBy("day", "bid").agg(*sums, F.count("*").alias("n_visible")))
 
 
 def visible_counts(half: DataFrame, sky: DataFrame, observation: Observation) -> DataFrame:
