@@ -260,11 +260,11 @@ def seen(rows: DataFrame, far: Far, points: DataFrame, sky: DataFrame, pixels: i
             right = right.sort_values(["layer", "inner", "id"])
             layer, at, bright = right["layer"].to_numpy(), right[["l", "m", "n"]].to_numpy(), right["b"].to_numpy()
             if group[0]:
-                T.seen_by(plan, *lines, at, bright, every, True, out, 1 << group[0])
+                T.seen_by(plan, *lines, at, bright, every, 3, out, 1 << group[0])
             else:
                 where = {x: slice(*np.searchsorted(layer, [x, x + 1])) for x in np.unique(layer)}
                 own = at[where[0]]
-                for x, shift, start, some, sure in T.down(plan, own, *lines[1:], every, left["sure"].to_numpy(), plan.tile):
+                for x, shift, start, some, sure in T.down(plan, own, *lines[1:], every, 3 * left["sure"].to_numpy(np.int8), plan.tile):
                     size = P.count(plan.spec[x][0]) if x else 1
                     first = where[x].start + (start >> x) * size
                     some_of = slice(first, first + (size if x else 1 << shift))
@@ -295,7 +295,7 @@ def coarse(rows: DataFrame, far: Far, pixels: int, observation: Observation, mas
         left = left.sort_values(["u", "v", "w", "zr", "zi"])  # so that sums don't depend on the order of rows
         degree, side, _ = plan.spec[group[0]]
         at = P.directions(P.padua(degree), left[["cl", "cm", "cn"]].to_numpy()[0], side)
-        found = T.shone_on(plan, *_arrays(left, False), left[["zr", "zi"]].to_numpy(), at, np.arange(len(left)), True, hermitian)
+        found = T.shone_on(plan, *_arrays(left, False), left[["zr", "zi"]].to_numpy(), at, np.arange(len(left)), 3, hermitian)
         return pd.DataFrame({"day": group[2], "layer": group[0], "cell": group[1], "id": np.arange(len(at)), "re": found[:, 0], "im": found[:, 1]})
 
     centres = far.places.where(F.col("layer") >= far.tile).select("layer", "cell", "cl", "cm", "cn").distinct()
@@ -323,7 +323,7 @@ def shone(rows: DataFrame | None, sums: DataFrame, days: DataFrame, far: Far, sk
         if len(left):
             left = left.sort_values(["u", "v", "w", "zr", "zi"])
             lines, z = _arrays(left, masked), left[["zr", "zi"]].to_numpy()
-            for x, shift, start, some, sure in T.down(plan, own, *lines[1:], np.arange(len(left)), left["sure"].to_numpy(), plan.tile):
+            for x, shift, start, some, sure in T.down(plan, own, *lines[1:], np.arange(len(left)), 3 * left["sure"].to_numpy(np.int8), plan.tile):
                 at = T.points(plan, own, x, start) if x else own[start : start + (1 << shift)]
                 found = T.shone_on(plan, *lines, z, at, some, sure, hermitian)
                 if x:

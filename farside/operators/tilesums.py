@@ -16,8 +16,8 @@ import numpy as np
 from ..functions import interpolation as P
 from .mask import BLOCK_BITS, MARGIN
 
-#: Pairs that are worked on at once; greatest phases of the short and the longer series.
-PAIRS, PHASES = 16_384, ((0.25, 5), (1.0, 9))
+#: Pairs that are worked on at once; greatest phases of each power series, with its terms.
+PAIRS, PHASES = 16_384, ((0.08, 4), (0.25, 5), (1.0, 9))
 
 
 @dataclass(frozen=True)
@@ -42,49 +42,52 @@ def waves(rows: np.ndarray, length: np.ndarray, at: np.ndarray, centre: np.ndarr
         some = np.flatnonzero((most <= high) & ((most > low) | (low == 0))) if n else np.flatnonzero(~(most <= low))
         for k in range(0, len(some), chunk := max(1, PAIRS // max(1, len(at)))):
             own = some[k : k + chunk]
-            u = rows[own]
-            x = u[:, :1] * off[0]
-            x += u[:, 1:2] * off[1]
-            x += u[:, 2:] * off[2]
+            x = _product(rows[own], off)
             yield own, *(_series(x, n) if n else (np.cos(x), np.sin(x)))
 
 
 def _series(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Cosine and sine by n + 1 and n terms."""
-    square = x * x
-    c, s = np.full_like(x, 1.0), np.full_like(x, 1.0)
-    for k in range(n, 0, -1):
+    square, of = x * x, [(-1) ** (k // 2) / math.factorial(k) for k in range(2 * n + 1)]
+    c, s = square * of[2 * n], square * of[2 * n - 1]
+    for k in range(n - 1, 0, -1):
+        c += of[2 * k]
         c *= square
-        c *= -1.0 / ((2 * k - 1) * (2 * k))
-        c += 1.0
-        if k < n:
+        if k > 1:
+            s += of[2 * k - 1]
             s *= square
-            s *= -1.0 / ((2 * k) * (2 * k + 1))
-            s += 1.0
+    c += 1.0
+    s += 1.0
     s *= x
     return c, s
 
 
-def _cosine(directions: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(k, m) of directions (k, 3) and places (m, 3)."""
-    x = directions[:, :1] * at[:, 0]
-    x += directions[:, 1:2] * at[:, 1]
-    x += directions[:, 2:] * at[:, 2]
+def _product(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(k, m) of rows (k, 3) and columns (3, m), each added up in the same order."""
+    x = rows[:, :1] * at[0]
+    y = rows[:, 1:2] * at[1]
+    x += y
+    np.multiply(rows[:, 2:], at[2], out=y)
+    x += y
     return x
 
 
-def open_(plan: Plan, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places that the Moon leaves free for both satellites; undefined angles are as in visibility.seen() and hidden()."""
-    least, out = math.cos(plan.free), None
-    for x in (a, b):
-        cosine = _cosine(x, at)
+def open_(plan: Plan, directions: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Places that the Moon leaves free for the satellites given; undefined angles are as in visibility.seen() and hidden()."""
+    least, out, at = math.cos(plan.free), None, np.ascontiguousarray(at.T)
+    for x in directions:
+        cosine = _product(x, at)
         one = (cosine >= least) & (cosine <= 1.0) if plan.forward else ~((cosine < least) & (cosine >= -1.0))
         out = one if out is None else out & one
     return out
 
 
+def _tested(a: np.ndarray, b: np.ndarray, some: np.ndarray, sure: int) -> list[np.ndarray]:
+    return [x[some] for bit, x in ((1, a), (2, b)) if not sure & bit]
+
+
 def sift(plan: Plan, a: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a cell is hidden from baselines, and whether wholly seen, by its cone as in mask.py."""
+    """Whether a cell is hidden from baselines, and which satellites (1, 2 or 3) see it wholly, by its cone as in mask.py."""
     centre = own.mean(0)
     centre /= math.sqrt(centre @ centre)
     wide = float(np.arccos(np.clip(own @ centre, -1.0, 1.0)).max()) + MARGIN
@@ -92,15 +95,15 @@ def sift(plan: Plan, a: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.
     least = math.cos(free - wide) if wide < free else 2.0
     none = math.cos(wide + free) if wide + free < math.pi else -2.0
     near = math.cos(wide) if wide < math.pi else -2.0
-    hidden, whole = np.zeros(len(a), bool), np.ones(len(a), bool)
-    for x in (a, b):
+    hidden, whole = np.zeros(len(a), bool), np.zeros(len(a), np.int8)
+    for bit, x in ((1, a), (2, b)):
         cosine = x[:, 0] * centre[0] + x[:, 1] * centre[1] + x[:, 2] * centre[2]
         if plan.forward:
             hidden |= (cosine < none) | np.isnan(cosine)
-            whole &= (cosine >= least) & (cosine < near)
+            whole |= bit * ((cosine >= least) & (cosine < near))
         else:
             hidden |= (cosine < none) & (cosine > -near)
-            whole &= (cosine >= least) | np.isnan(cosine)
+            whole |= bit * ((cosine >= least) | np.isnan(cosine))
     return hidden, whole
 
 
@@ -110,21 +113,22 @@ def middle(pixels: np.ndarray, shift: int, start: int) -> np.ndarray:
 
 
 def down(plan: Plan, pixels: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, some: np.ndarray, sure: np.ndarray, shift: int, start: int = 0, top: bool = True) -> Iterator:
-    """(layer, shift, start, rows, sure) of what rows meet in a tile's cell: its points, or (layer 0) the pixels of a block."""
+    """(layer, shift, start, rows, sure) of what rows meet in a tile's cell: its points, or (layer 0) the pixels of a block. sure:
+    bits of the satellites that see all of it, by now."""
     if not top:
         if plan.masked:
             hidden, whole = sift(plan, a[some], b[some], pixels[start : start + (1 << shift)])
-            left = sure | ~hidden
+            left = (sure == 3) | ~hidden
             some, sure = some[left], (sure | whole)[left]
         if shift in plan.spec:
-            taken = sure & (length[some] <= plan.spec[shift][2])
+            taken = (sure == 3) & (length[some] <= plan.spec[shift][2])
             if taken.any():
-                yield shift, shift, start, some[taken], True
+                yield shift, shift, start, some[taken], 3
                 some, sure = some[~taken], sure[~taken]
     if not len(some):
         return
     if shift <= BLOCK_BITS:
-        for kind in (True, False):
+        for kind in range(4):
             if len(own := some[sure == kind]):
                 yield 0, shift, start, own, kind
         return
@@ -133,18 +137,18 @@ def down(plan: Plan, pixels: np.ndarray, length: np.ndarray, a: np.ndarray, b: n
         yield from down(plan, pixels, length, a, b, some, sure, shift - step, start + (k << (shift - step)), False)
 
 
-def seen_by(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, bright: np.ndarray, some: np.ndarray, sure: bool, out: np.ndarray, each: int = 1) -> None:
+def seen_by(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, bright: np.ndarray, some: np.ndarray, sure: int, out: np.ndarray, each: int = 1) -> None:
     """Adds to out (rows, 3) the sums of brightness times waves over directions, and how many of them are seen. each: pixels
     that all the directions stand for, where these are points."""
     centre = at[len(at) // 2]
     u, found = rows[some], np.zeros((len(some), 3))
     for own, c, s in waves(u, length[some], at, centre):
-        if sure:
+        if sure == 3:
             found[own, 0], found[own, 1], found[own, 2] = np.einsum("ij,j->i", c, bright), -np.einsum("ij,j->i", s, bright), each if each > 1 else len(at)
         else:
-            free = open_(plan, a[some[own]], b[some[own]], at)
+            free = open_(plan, _tested(a, b, some[own], sure), at)
             given = free * bright
-            n = free.sum(1)
+            n = np.count_nonzero(free, axis=1)
             # a row that sees none of them has no sum, whatever its waves are
             found[own, 0], found[own, 1] = np.where(n, np.einsum("ij,ij->i", c, given), 0.0), np.where(n, -np.einsum("ij,ij->i", s, given), 0.0)
             found[own, 2] = n
@@ -155,7 +159,7 @@ def seen_by(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b:
     out[some] += np.stack([np.where(none, 0.0, re), np.where(none, 0.0, im), found[:, 2]], axis=1)
 
 
-def shone_on(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, at: np.ndarray, some: np.ndarray, sure: bool, hermitian: bool) -> np.ndarray:
+def shone_on(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, at: np.ndarray, some: np.ndarray, sure: int, hermitian: bool) -> np.ndarray:
     """(directions, 2): sums over baselines of their values z (rows, 2) times waves. hermitian: without imaginary parts."""
     centre, out = at[len(at) // 2], np.zeros((2, len(at)))
     u = rows[some]
@@ -164,7 +168,7 @@ def shone_on(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b:
     re, im = z[some, 0] * c - z[some, 1] * s, z[some, 0] * s + z[some, 1] * c
     odd = ~(np.isfinite(re) & np.isfinite(im))
     for own, c, s in waves(u, length[some], at, centre):
-        free = None if sure else open_(plan, a[some[own]], b[some[own]], at)
+        free = None if sure == 3 else open_(plan, _tested(a, b, some[own], sure), at)
         if odd[own].any():  # what is not finite stays out of what is hidden
             free = np.ones_like(c, dtype=bool) if free is None else free
             x, y = re[own, None], im[own, None]
