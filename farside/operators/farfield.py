@@ -9,10 +9,14 @@ where it is too long for any cell, it goes down to pixels. So pairs grow with ba
 Cells form layers, each with a quarter of the one above. Coarse layers are broadcast, and a baseline is sent once to each coarse
 cell that takes it and to each tile that none does: these and slot (a part of the baselines) are explicit keys of one exchange.
 A task sums the pairs of a tile and a slot in arrays (tilesums.py), so pairs never are rows.
+
+Inversely and without a mask every baseline within reach meets all the cells of a coarse layer: there a day's baselines come down to
+one polynomial (moments.py) of bounded size, from which the points of those cells get their values.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..constants import Observation, nside_to_npix
 from ..functions import interpolation as P
+from ..functions import moments as M
 from ..functions.complex import norm3
 from ..plans.staging import stash
 from . import tilesums as T
@@ -34,6 +39,8 @@ LEAST_PIXELS, POINT_BYTES = 49_152, 64
 STEP, TILE_BITS, MOST_CELLS = 2, 14, 300_000
 #: Baselines of a slot, and of a task that finds their cells.
 SLOT_ROWS, TASK_ROWS = 100_000, 1024
+#: Baselines of a task that sums moments; days whose images a task fills together, without baselines and with some.
+MOMENT_ROWS, DAYS, DAYS_MET = 16_384, 16, 4
 
 
 @dataclass
@@ -55,13 +62,23 @@ class Far:
     layers: list[Layer]
     tile: int
     places: DataFrame
-    points: DataFrame
     blocks: DataFrame
 
+    @functools.cached_property
+    def points(self) -> DataFrame:
+        """Made when they are first asked for: only forward sums read them."""
+        centres = self.places.select("layer", "cell", "cl", "cm", "cn").distinct()
+        return stash(centres.mapInPandas(_points(_spec(self)), "layer int, cell long, id long, l double, m double, n double"))
+
     @property
     def upper(self) -> list[Layer]:
         return [x for x in self.layers if x.shift >= self.tile]
 
+    @property
+    def widest(self) -> Layer:
+        """Of the coarse layers the one that reaches farthest; of several the coarsest."""
+        return max(self.upper, key=lambda x: (x.reach, x.shift))
+
     @property
     def lower(self) -> list[Layer]:
         return [x for x in self.layers if x.shift < self.tile]
@@ -113,12 +130,10 @@ def _layered(sky: DataFrame, nside: int, observation: Observation, longest: floa
     centres = stash(union(places).where(F.col("layer").isin([x.shift for x in layers if x.reach])))
     # tiles inside the cell, or the one that it is in
     met = F.expr(f"CASE WHEN layer >= {tile} THEN sequence(shiftleft(cell, layer - {tile}), shiftleft(cell + 1, layer - {tile}) - 1) ELSE array(shiftright(cell, {tile} - layer)) END")
-    spec = {x.shift: (x.degree, x.side) for x in layers}
-    points = stash(centres.mapInPandas(_points(spec), "layer int, cell long, id long, l double, m double, n double"))
     blocks = quadtree(sky, nside, observation).blocks
     first = F.col("pixels")[0]["ipix"]
     blocks = blocks.select(F.shiftright(first, tile).alias("tile"), F.lit(0).alias("layer"), F.shiftright(first, low).alias("cell"), "pixels", "cl", "cm", "cn", "whole", "none", "near")
-    return Far(layers, tile, stash(centres.withColumn("tile", F.explode(met))), points, blocks)
+    return Far(layers, tile, stash(centres.withColumn("tile", F.explode(met))), blocks)
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -132,10 +147,13 @@ def union(tables: list[DataFrame]) -> DataFrame:
 def _points(spec: dict[int, tuple[int, float]]):
     def run(batches):
         for batch in batches:
-            for layer, cell, *centre in batch.itertuples(index=False):
+            for layer, cells in batch.groupby("layer"):
                 degree, side = spec[layer]
-                at = P.directions(P.padua(degree), np.array(centre), side)
-                yield pd.DataFrame({"layer": layer, "cell": cell, "id": np.arange(len(at)), "l": at[:, 0], "m": at[:, 1], "n": at[:, 2]})
+                size = P.count(degree)
+                for k in range(0, len(cells), 256):
+                    some = cells.iloc[k : k + 256]
+                    at = np.concatenate([P.directions(P.padua(degree), centre, side) for centre in some[["cl", "cm", "cn"]].to_numpy()])
+                    yield pd.DataFrame({"layer": layer, "cell": np.repeat(some["cell"].to_numpy(), size), "id": np.tile(np.arange(size), len(some)), "l": at[:, 0], "m": at[:, 1], "n": at[:, 2]})
 
     return run
 
@@ -304,52 +322,91 @@ def coarse(rows: DataFrame, far: Far, pixels: int, observation: Observation, mas
     return groups.applyInPandas(run, "day int, layer int, cell long, id long, re double, im double")
 
 
-def shone(rows: DataFrame | None, sums: DataFrame, days: DataFrame, far: Far, sky: DataFrame, pixels: int, observation: Observation, masked: bool, hermitian: bool, n_days: int, parts: int) -> DataFrame:
+def moments(rows: DataFrame, far: Far, n: int, days: int, hermitian: bool, added: list[Column]) -> DataFrame:
+    """(day, layer, cell, id, re, im): the values (zr, zi) of rows within the reach of the widest layer, none of which is hidden, summed at
+    its points. A task sums moments of a part of a day's rows; of a day they are as many as the reach needs. added: sums of
+    re and im."""
+    layer, spec = far.widest, _spec(far)
+    shift, reach = layer.shift, layer.reach
+    degree, parts = M.degree_for(reach), max(1, -(-n // (MOMENT_ROWS * days)))
+    centres = [tuple(r) for r in far.places.where(F.col("layer") == shift).select("cell", "cl", "cm", "cn").distinct().orderBy("cell").collect()]  # few hundred at most
+
+    def part(group: tuple, left: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(["u", "v", "w", "zr", "zi"])  # so that sums don't depend on the order of rows
+        found = M.moments(left[["u", "v", "w"]].to_numpy(), left[["zr", "zi"]].to_numpy(), reach, degree)
+        return pd.DataFrame({"day": group[0], "id": np.arange(len(found)), "re": found[:, 0], "im": found[:, 1]})
+
+    def at(group: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        some = centres[group[1] :: shares]
+        places = [P.directions(P.padua(spec[shift][0]), np.array(c[1:]), spec[shift][1]) for c in some]
+        found = M.values(sums.sort_values("id")[["re", "im"]].to_numpy(), np.concatenate(places), reach, degree)
+        size = len(places[0])
+        cells, ids = np.repeat([c[0] for c in some], size), np.tile(np.arange(size), len(places))
+        return pd.DataFrame({"day": group[0], "layer": shift, "cell": cells, "id": ids, "re": found[:, 0], "im": 0.0 if hermitian else found[:, 1]})
+
+    shares = min(4, len(centres))
+    own = F.pmod(F.xxhash64("u", "v", "w", "zr", "zi"), F.lit(parts)).cast("int").alias("share")
+    groups = rows.select("day", own, "u", "v", "w", "zr", "zi").repartition(_tasks(rows, days * parts), "day", "share").groupBy("day", "share")
+    sums = groups.applyInPandas(part, "day int, id long, re double, im double").groupBy("day", "id").agg(*added)
+    sums = sums.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return sums.repartition(_tasks(rows, days * shares), "day", "share").groupBy("day", "share").applyInPandas(at, "day int, layer int, cell long, id long, re double, im double")
+
+
+def shone(rows: DataFrame | None, sums: DataFrame, days: list[int], far: Far, sky: DataFrame, pixels: int, observation: Observation, masked: bool, hermitian: bool, parts: int) -> DataFrame:
     """(day, ipix, re, im) of every pixel and day, in parts: rows, if there are any that no coarse cell takes, summed in tiles, and
-    what lies between sums (day, layer, cell, id, re, im) of coarse cells."""
-    plan, key = _plan(far, observation, False, masked), ["cell", "day", "part"]
+    what lies between sums (day, layer, cell, id, re, im) of coarse cells. A tile is sent once for some days together."""
+    plan, key, each = _plan(far, observation, False, masked), ["cell", "some", "part"], DAYS if rows is None else DAYS_MET
 
     def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tile, some = int(group[0]), np.array(days[int(group[1]) * each : (int(group[1]) + 1) * each])
         right = right.sort_values(["layer", "id"])
         layer, ids, at = right["layer"].to_numpy(), right["id"].to_numpy(), right[["l", "m", "n"]].to_numpy()
+        which = np.searchsorted(some, right["day"].to_numpy())
         own, values, centres = at[layer == 0], {}, {}
         for x in np.unique(layer[layer > 0]):
-            place = int(x), int(group[0]) >> int(x) - plan.tile
-            some = at[layer == x]
-            centres[place] = some[0]
-            if len(some) > 1:
-                values[place] = some[1:, :2]
-        out = np.zeros((len(own), 2))
+            place = int(x), tile >> int(x) - plan.tile
+            centre, inside = (layer == x) & (ids < 0), (layer == x) & (ids >= 0)
+            centres[place] = at[centre][0]
+            if inside.any():
+                values[place] = np.zeros((P.count(plan.spec[place[0]][0]), len(some), 2))
+                values[place][ids[inside], which[inside]] = at[inside, :2]
+        out = np.zeros((len(own), len(some), 2))
         if len(left):
-            left = left.sort_values(["u", "v", "w", "zr", "zi"])
-            lines, z = _arrays(left, masked), left[["zr", "zi"]].to_numpy()
-            for x, shift, start, some, sure in T.down(plan, own, *lines[1:], np.arange(len(left)), 3 * left["sure"].to_numpy(np.int8), plan.tile):
-                at = T.points(plan, own, x, start) if x else own[start : start + (1 << shift)]
-                found = T.shone_on(plan, *lines, z, at, some, sure, hermitian)
-                if x:
-                    values[x, (int(group[0]) << plan.tile - x) + (start >> x)] = found
-                else:
-                    out[start : start + (1 << shift)] += found
-        out += T.filled(plan, own, int(group[0]), values, centres)
-        return pd.DataFrame({"day": group[1], "ipix": ids[layer == 0], "re": out[:, 0], "im": out[:, 1]})
-
-    tasks = _tasks(sky, (pixels >> far.tile) * n_days * parts)
-    of = ["cell", "day", "part", "layer", "id", "l", "m", "n"]
-    every = F.broadcast(days.select((F.col("day") + 0).alias("day")))  # not the column that rows have, or the two sides are one to Spark
-    cells = sky.select(_cell(far.tile).alias("cell"), F.lit(0).alias("layer"), F.col("ipix").alias("id"), "l", "m", "n")
-    right = cells.crossJoin(every).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*of)
+            left = left.sort_values(["day", "u", "v", "w", "zr", "zi"])
+            lines, z, sure = _arrays(left, masked), left[["zr", "zi"]].to_numpy(), 3 * left["sure"].to_numpy(np.int8)
+            for k, day in enumerate(some):
+                of_day = np.arange(*np.searchsorted(left["day"].to_numpy(), [day, day + 1]))
+                for x, shift, start, met, seen in T.down(plan, own, *lines[1:], of_day, sure[of_day], plan.tile) if len(of_day) else ():
+                    at = T.points(plan, own, x, start) if x else own[start : start + (1 << shift)]
+                    found = T.shone_on(plan, *lines, z, at, met, seen, hermitian)
+                    if x:
+                        values.setdefault((x, (tile << plan.tile - x) + (start >> x)), np.zeros((len(at), len(some), 2)))[:, k] += found
+                    else:
+                        out[start : start + (1 << shift), k] += found
+        if values:
+            out += T.filled(plan, own, tile, {c: v.reshape(len(v), -1) for c, v in values.items()}, centres).reshape(out.shape)
+        day, ipix = np.repeat(some, len(own)), np.tile(ids[layer == 0], len(some))
+        return pd.DataFrame({"day": day, "ipix": ipix, "re": out[:, :, 0].T.ravel(), "im": out[:, :, 1].T.ravel()})
+
+    lots = -(-len(days) // each)
+    tasks = _tasks(sky, (pixels >> far.tile) * lots * parts)
+    lot = lambda: F.floor((F.array_position(F.array(*map(F.lit, days)), F.col("day")) - 1) / each).cast("int").alias("some")
+    of = ["cell", "some", "part", "layer", "id", "day", "l", "m", "n"]
+    every, no_day = F.explode(F.sequence(F.lit(0), F.lit(lots - 1))), F.lit(None).cast("int").alias("day")
+    right = sky.select(_cell(far.tile).alias("cell"), F.lit(0).alias("layer"), F.col("ipix").alias("id"), no_day, "l", "m", "n")
+    right = right.withColumn("some", every).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*of)
     upper, first = far.places.where(F.col("layer") >= far.tile), F.lit(0).alias("part")
-    right = right.unionAll(upper.crossJoin(every).select(F.col("tile").alias("cell"), "day", first, "layer", F.lit(-1).cast("long").alias("id"), F.col("cl").alias("l"), F.col("cm").alias("m"), F.col("cn").alias("n")))
+    middles = upper.select(F.col("tile").alias("cell"), first, "layer", F.lit(-1).cast("long").alias("id"), no_day, F.col("cl").alias("l"), F.col("cm").alias("m"), F.col("cn").alias("n"))
     inside = sums.join(F.broadcast(upper.select("layer", "cell", "tile")), ["layer", "cell"])
-    right = right.unionAll(inside.select(F.col("tile").alias("cell"), "day", first, "layer", "id", F.col("re").alias("l"), F.col("im").alias("m"), F.lit(0.0).alias("n")))
-    right = right.repartition(tasks, *key)
+    inside = inside.select(F.col("tile").alias("cell"), lot(), first, "layer", "id", "day", F.col("re").alias("l"), F.col("im").alias("m"), F.lit(0.0).alias("n"))
+    right = union([right, middles.withColumn("some", every).select(*of), inside]).repartition(tasks, *key)
     schema = "day int, ipix long, re double, im double"
     if rows is None:
-        
+
         def alone(group: tuple, right: pd.DataFrame) -> pd.DataFrame:
             return run(group, pd.DataFrame(), right)
 
         return _not_null(right.groupBy(*key).applyInPandas(alone, schema))
     directions = [f"{x}{k}" for k in "12" for x in "abc"] if masked else []
-    left = rows.where("layer = 0").select(*key, "u", "v", "w", "zr", "zi", "length", "sure", *directions)
+    left = rows.where("layer = 0").select("cell", lot(), "part", "day", "u", "v", "w", "zr", "zi", "length", "sure", *directions)
     return _not_null(left.repartition(tasks, *key).groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema))

@@ -73,15 +73,21 @@ def _sums(most: float) -> tuple[Column, Column]:
 def _far_image(few: DataFrame, n: int, days: list[int], most: float, sky: DataFrame, far: Far, pixels: int, observation: Observation, masked: bool, hermitian: bool) -> DataFrame:
     """image() of a sky with layers: sums at the points of cells, and at the pixels of those that no layer takes."""
     parts = -(-n // (farfield.SLOT_ROWS * len(days)))
-    part = F.pmod(F.xxhash64("u", "v", "w", "re", "im"), F.lit(parts)).cast("int")
-    rows = spread(few.withColumns({"part": part, "zr": F.col("wt") * F.col("re"), "zi": F.col("wt") * F.col("im")}).drop("re", "im", "wt"), n, farfield.TASK_ROWS)
-    rows = farfield._upper(rows, far, False, masked)
     both = [exact_sum(F.col(c), most).alias(c) for c in ("re", "im")]
-    how = (pixels, observation, masked, hermitian)
-    sums = stash(farfield.coarse(rows, far, *how, len(days), parts).groupBy("day", "layer", "cell", "id").agg(*both))
-    # without a mask, and with none too long for the coarsest, there is nothing in tiles
-    inside = masked or few.where(~(F.col("length") <= far.upper[0].reach)).limit(1).count()
-    found = farfield.shone(rows if inside else None, sums, few.select("day").distinct(), far, sky, *how, len(days), parts)
+    rows = few.withColumns({"zr": F.col("wt") * F.col("re"), "zi": F.col("wt") * F.col("im")}).drop("re", "im", "wt")
+    sums, met_ = [], None
+    if not masked:
+        # all within reach meet all cells of a layer; others, if there are any, go down to tiles
+        short = F.coalesce(F.col("length") <= far.widest.reach, F.lit(False)) & F.lit(far.widest.reach > 0)
+        if rows.where(short).limit(1).count():
+            sums.append(farfield.moments(rows.where(short), far, n, len(days), hermitian, both))
+        rows = rows.where(~short)
+    if masked or rows.limit(1).count():
+        part = F.pmod(F.xxhash64("u", "v", "w", "zr", "zi"), F.lit(parts)).cast("int")
+        met_ = farfield._upper(spread(rows.withColumn("part", part), n, farfield.TASK_ROWS), far, False, masked)
+        sums.append(farfield.coarse(met_, far, pixels, observation, masked, hermitian, len(days), parts))
+    sums = stash(farfield.union(sums).groupBy("day", "layer", "cell", "id").agg(*both))
+    found = farfield.shone(met_, sums, days, far, sky, pixels, observation, masked, hermitian, parts)
     found = found.groupBy("day", "ipix").agg(*both) if parts > 1 else found
     return found.select("day", "ipix", (2 * F.col("re") if hermitian else F.col("re")).alias("c_re"), F.col("im").alias("c_im"))
 

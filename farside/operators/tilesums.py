@@ -186,9 +186,10 @@ def shone_on(plan: Plan, rows: np.ndarray, length: np.ndarray, a: np.ndarray, b:
 
 
 def filled(plan: Plan, pixels: np.ndarray, tile: int, values: dict[tuple[int, int], np.ndarray], centres: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
-    """(pixels, 2) of a tile: what lies between values (points, 2) of cells (layer, cell), which are passed on to the points of
+    """(pixels, k) of a tile: what lies between values (points, k) of cells (layer, cell), which are passed on to the points of
     the next layer that reaches as far, and from the last to the pixels. centres: of the cells that are not smaller than the tile."""
-    out = np.zeros((len(pixels), 2))
+    columns = next((v.shape[1] for v in values.values()), 2)
+    out = np.zeros((len(pixels), columns))
     for layer in sorted(plan.spec, reverse=True):
         degree, side, reach = plan.spec[layer]
         least = max(0, plan.tile - layer)
@@ -203,7 +204,7 @@ def filled(plan: Plan, pixels: np.ndarray, tile: int, values: dict[tuple[int, in
                 continue
             starts = range(some.start, some.stop, 1 << inner)
             at = np.concatenate([points(plan, pixels, inner, k) for k in starts])
-            passed = (P.terms(P.projected(at, centre, side), degree) @ factors).reshape(len(starts), -1, 2)
+            passed = (P.terms(P.projected(at, centre, side), degree) @ factors).reshape(len(starts), -1, columns)
             for k, new in zip(starts, passed):
                 key = inner, (tile << plan.tile - inner) + (k >> inner)
                 values[key] = values[key] + new if key in values else new
