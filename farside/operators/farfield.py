@@ -39,6 +39,8 @@ LEAST_PIXELS, POINT_BYTES = 49_152, 64
 STEP, TILE_BITS, MOST_CELLS = 2, 14, 300_000
 #: Baselines of a slot, and of a task that finds their cells.
 SLOT_ROWS, TASK_ROWS = 100_000, 1024
+#: A layer that reaches so many times less far than the one below is left out.
+SHORT = 4
 #: Baselines of a task that sums moments; days whose images a task fills together, without baselines and with some.
 MOMENT_ROWS, DAYS, DAYS_MET = 16_384, 16, 4
 
@@ -68,6 +70,7 @@ class Far:
     def points(self) -> DataFrame:
         """Made when they are first asked for: only forward sums read them."""
         centres = self.places.select("layer", "cell", "cl", "cm", "cn").distinct()
+        centres = centres.repartition(centres.sparkSession.sparkContext.defaultParallelism, "layer", "cell")
         return stash(centres.mapInPandas(_points(_spec(self)), "layer int, cell long, id long, l double, m double, n double"))
 
     @property
@@ -124,6 +127,9 @@ def _layered(sky: DataFrame, nside: int, observation: Observation, longest: floa
         degree, reach = P.degree_for(side, longest, (1 << s) // 2) if side * math.sqrt(2) < 1.9 else (0, 0.0)
         own = [F.col(c).alias(f"c{c}") for c in "lmn"]
         layers.append(Layer(s, side, degree, reach, cones[s].select("cell", _cell(STEP, "cell").alias("parent"), *own, "whole", "none", "near")))
+    for x, inner in zip(layers, layers[1:]):
+        if x.reach * SHORT <= inner.reach:
+            x.reach = 0.0  # hardly a baseline would take it, and every pixel would be dealt out to its many points
     if not any(x.reach for x in layers):
         return None
     tile = max(low, min(TILE_BITS, bits - 4))

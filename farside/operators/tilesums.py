@@ -17,7 +17,7 @@ from ..functions import interpolation as P
 from .mask import BLOCK_BITS, MARGIN
 
 #: Pairs that are worked on at once; greatest phases of each power series, with its terms.
-PAIRS, PHASES = 16_384, ((0.08, 4), (0.25, 5), (1.0, 9))
+PAIRS, PHASES = 32_768, ((0.08, 4), (0.25, 5), (1.0, 9))
 
 
 @dataclass(frozen=True)

@@ -36,8 +36,11 @@ def read_sky(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     b = text.read_counted(spark, f"{folder}/{SKY}", "b").withColumnRenamed("rn", "ipix")
     for name in (THETA, PHI):
         b = b.join(text.read_scalars(spark, f"{folder}/{name}", name).withColumnRenamed("rn", "ipix"), "ipix")
+    b = stash(b)  # else the lists are read and joined once more to be counted
     npix = b.count()
-    return staged_sky(b, npix), npix_to_nside(npix)
+    out = staged_sky(b, npix), npix_to_nside(npix)
+    discard(b)
+    return out
 
 
 def read_baselines(spark: SparkSession, folder: str, days: list[int]) -> DataFrame:
