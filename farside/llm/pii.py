@@ -21,13 +21,16 @@ new ones is avoided by leading underscores.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import column_name
 
 # The patterns.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# a host up to its last dot before two letters; possessive loops of groups, as Java's others go a call deeper with each label
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9\-]++(?:\.(?![A-Za-z]{2})[A-Za-z0-9\-]++)*+\.(?=[A-Za-z]{2}))++[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 DATE = r"(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/)[0-9]{4}(?![0-9])"
@@ -239,16 +242,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     return rows.select(*kept, *counts)
 
 
-#: Where the query's key comes from. Only in local mode, as in tests, it may be missing; the key below is no secret.
+#: Where the query's key comes from. Only in local mode, as in tests, the key below, which is no secret, stands in for it.
 KEY_SETTING = "spark.farside.pii.key"
 TEST_KEY = "farside-demonstration-key"
+_drawn: dict[str, str] = {}
 
 
-def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document's text with pseudonyms, and how many of each kind; the key is the session's KEY_SETTING."""
+def query_key(spark) -> str:
+    """The session's KEY_SETTING. Where it is missing outside of local mode, a secret key is drawn once for an application
+    and stored nowhere: pseudonyms are then linked within the application's results and not with those of others."""
     key = spark.conf.get(KEY_SETTING, None)
-    if key is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{KEY_SETTING} is not set: pseudonyms need a secret key")
-        key = TEST_KEY
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
+    if key is not None:
+        return key
+    context = spark.sparkContext
+    return TEST_KEY if context.master.startswith("local") else _drawn.setdefault(context.applicationId, secrets.token_hex(32))
+
+
+def op5_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and how many of each kind, under query_key()."""
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), query_key(spark))

@@ -130,3 +130,41 @@ def test_feistel_against_a_slow_network(spark):
         df = spark.createDataFrame([(k * 7919 % a, k * 104729 % b) for k in range(60)], "x long, y long")
         got = df.select("x", "y", pii.feistel(F.col("x"), F.col("y"), a, b, "some", "key").alias("p")).collect()
         assert all((r.p.l, r.p.r) == slow(r.x, r.y, a, b, "some", "key") for r in got)
+
+
+def test_without_a_key_outside_local_mode_a_secret_one_is_drawn(spark, tmp_path, monkeypatch):
+    found = [*cards(40), cards(1)[0]]
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    out = list(frame(pii.op5_pii(spark, directory(tmp_path, documents=plain(spark, found))).orderBy("doc_id")).text)
+    assert len(set(out)) == 40 and out[0] == out[-1] and all(luhn(x) for x in out) and not set(out) & set(found)
+    key = pii.query_key(spark)  # the same for all of an application's results
+    assert len(key) == 64 and out == list(run(spark, found, key).text)
+    monkeypatch.setattr(pii, "_drawn", {})
+    assert pii.query_key(spark) not in (key, pii.TEST_KEY)
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.query_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    monkeypatch.undo()
+    assert pii.query_key(spark) == pii.TEST_KEY
+
+
+def test_hosts_of_any_number_of_labels(spark):
+    """A host ends behind its last dot before two letters, however many labels it has."""
+    many = "b." * 20_000
+    out = run(spark, [f"x jo@{many}com y", f"x jo@{many}com.{many}1 y", f"x jo@{many}1 y"])
+    assert re.fullmatch(r"x [a-z0-9]{2}@" + re.escape(many) + "com y", out.text[0]) and out.text[0] != f"x jo@{many}com y"
+    assert re.fullmatch(r"x [a-z0-9]{2}@" + re.escape(f"{many}com.{many}1 y"), out.text[1]) and out.text[2] == f"x jo@{many}1 y"
+    assert list(out.n_email) == [1, 1, 0]
+
+
+def test_hosts_end_as_by_a_plain_pattern(spark):
+    import random
+
+    plainly = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+    r = random.Random(5)
+    texts = ["".join(r.choices("ab1-._@ ", (6, 6, 2, 1, 6, 1, 3, 1), k=r.randrange(4, 40))) for _ in range(4000)]
+    df = plain(spark, texts).select("doc_id", F.regexp_replace("text", "(?<![A-Za-z0-9])" + pii.EMAIL, "<$0>").alias("x")).orderBy("doc_id")
+    assert [x.x for x in df.collect()] == [plainly.sub(r"<\g<0>>", t) for t in texts]
+    assert sum("<" in plainly.sub("<", t) for t in texts) > 300
